@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sorrel.llm import exact_dedup, mixing, quality, sentencepiece_codec, sql
+from sorrel.llm import exact_dedup, mixing, ngram_join, quality, sentencepiece_codec, sql
 
 #: Production parameters that several places share.
 MIX = {"alpha": 0.7, "budget_ratio": 1.0, "max_epochs": 4.0, "seed": 20240229}
@@ -28,6 +28,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(table(spark, sf_dir, "documents"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     planned = mixing.plan(docs, mixing.tempered(MIX["alpha"]), MIX["budget_ratio"], MIX["max_epochs"])
@@ -47,4 +51,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": sql.quality_rules(quality.Limits()), "op3_source_mixing": sql.source_mixing(**MIX), "op10_exact_dedup": sql.exact_dedup()}
+    return {"op1_quality_rules": sql.quality_rules(quality.Limits()), "op2_ngram_join": sql.ngram_join(), "op3_source_mixing": sql.source_mixing(**MIX), "op10_exact_dedup": sql.exact_dedup()}

@@ -69,3 +69,15 @@ def exact_dedup(docs: str = "documents") -> str:
 SELECT coalesce(min(doc_id) FILTER ({BEFORE}), min(doc_id)) AS doc_id, bool_or({BEFORE}) AS in_history, list_sort(list(doc_id), 'ASC', 'NULLS LAST') AS doc_ids
 FROM {docs} WHERE text IS NOT NULL GROUP BY text
 UNION ALL SELECT doc_id, {BEFORE}, [doc_id] FROM {docs} WHERE text IS NULL"""
+
+
+def ngram_join(threshold: float = 0.8, docs: str = "documents") -> str:
+    """All pairs of word sets, for 1-grams."""
+    return rf"""
+WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[0-9A-Za-z_\x{{80}}-\x{{10FFFF}}]+')) AS word FROM {docs} WHERE doc_id IS NOT NULL),
+sets AS (SELECT doc_id, list_sort(list(word)) AS words FROM w GROUP BY doc_id),
+names AS (SELECT words, min(doc_id) AS doc, len(words) AS n FROM sets GROUP BY words),
+u AS (SELECT doc, n, unnest(words) AS word FROM names),
+common AS (SELECT a.doc AS a, b.doc AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM u a JOIN u b ON a.word = b.word AND a.doc < b.doc AND a.n >= {threshold} * b.n AND b.n >= {threshold} * a.n GROUP BY a.doc, b.doc)
+SELECT a AS doc_a, b AS doc_b, c / (na + nb - c)::DOUBLE AS jaccard FROM common WHERE c / (na + nb - c) >= {threshold}
+UNION ALL SELECT n.doc, s.doc_id, 1.0::DOUBLE FROM sets s JOIN names n USING (words) WHERE s.doc_id <> n.doc"""
