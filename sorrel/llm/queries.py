@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sorrel.llm import exact_dedup, mixing, ngram_join, quality, sentencepiece_codec, sql
+from sorrel.llm import exact_dedup, mixing, ngram_join, quality, sentencepiece_codec, sql, substring_dedup
 
 #: Production parameters that several places share.
 MIX = {"alpha": 0.7, "budget_ratio": 1.0, "max_epochs": 4.0, "seed": 20240229}
@@ -38,6 +38,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sample(docs.select("doc_id", "source"), planned, MIX["seed"], "repetition")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated(table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), SENTENCEPIECE_MODEL)
 
@@ -51,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": sql.quality_rules(quality.Limits()), "op2_ngram_join": sql.ngram_join(), "op3_source_mixing": sql.source_mixing(**MIX), "op10_exact_dedup": sql.exact_dedup()}
+    return {"op1_quality_rules": sql.quality_rules(quality.Limits()), "op2_ngram_join": sql.ngram_join(), "op3_source_mixing": sql.source_mixing(**MIX), "op4_substring_dedup": sql.substring_dedup(), "op10_exact_dedup": sql.exact_dedup()}

@@ -81,3 +81,16 @@ u AS (SELECT doc, n, unnest(words) AS word FROM names),
 common AS (SELECT a.doc AS a, b.doc AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM u a JOIN u b ON a.word = b.word AND a.doc < b.doc AND a.n >= {threshold} * b.n AND b.n >= {threshold} * a.n GROUP BY a.doc, b.doc)
 SELECT a AS doc_a, b AS doc_b, c / (na + nb - c)::DOUBLE AS jaccard FROM common WHERE c / (na + nb - c) >= {threshold}
 UNION ALL SELECT n.doc, s.doc_id, 1.0::DOUBLE FROM sets s JOIN names n USING (words) WHERE s.doc_id <> n.doc"""
+
+
+def substring_dedup(min_words: int = 50, docs: str = "documents") -> str:
+    """Windows of min_words words that several documents have, then islands of their intervals."""
+    return rf"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(text), '[0-9A-Za-z_\x{{80}}-\x{{10FFFF}}]+') AS words FROM {docs} WHERE doc_id IS NOT NULL),
+p AS (SELECT doc_id, words, unnest(range(1, len(words) - {min_words} + 2)) AS pos FROM w WHERE len(words) >= {min_words}),
+g AS (SELECT doc_id, pos - 1 AS lo, md5(array_to_string(words[pos:pos + {min_words} - 1], ' ')) AS gram FROM p),
+s AS (SELECT gram FROM g GROUP BY gram HAVING min(doc_id) < max(doc_id)),
+i AS (SELECT DISTINCT doc_id, lo FROM g JOIN s USING (gram)),
+b AS (SELECT *, CASE WHEN lo <= lag(lo) OVER (PARTITION BY doc_id ORDER BY lo) + {min_words} THEN 0 ELSE 1 END AS new FROM i),
+n AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY lo) AS island FROM b)
+SELECT doc_id, min(lo)::INT AS start_word, (max(lo) + {min_words})::INT AS end_word FROM n GROUP BY doc_id, island"""
