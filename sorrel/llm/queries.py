@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sorrel.llm import exact_dedup, mixing, ngram_join, quality, sentencepiece_codec, sql, substring_dedup
+from sorrel.llm import exact_dedup, language_id, mixing, ngram_join, quality, secret_scan, sentencepiece_codec, sql, substring_dedup, warc_fixity
 
 #: Production parameters that several places share.
 MIX = {"alpha": 0.7, "budget_ratio": 1.0, "max_epochs": 4.0, "seed": 20240229}
@@ -42,6 +42,20 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    ours, theirs = warc_fixity.page_records(pages), warc_fixity.page_records(warc_fixity.damaged(pages))
+    return warc_fixity.audit(warc_fixity.trees(ours), warc_fixity.trees(theirs))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), SENTENCEPIECE_MODEL)
 
@@ -55,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": sql.quality_rules(quality.Limits()), "op2_ngram_join": sql.ngram_join(), "op3_source_mixing": sql.source_mixing(**MIX), "op4_substring_dedup": sql.substring_dedup(), "op10_exact_dedup": sql.exact_dedup()}
+    return {"op1_quality_rules": sql.quality_rules(quality.Limits()), "op2_ngram_join": sql.ngram_join(), "op3_source_mixing": sql.source_mixing(**MIX), "op4_substring_dedup": sql.substring_dedup(), "op6_warc_fixity": sql.warc_fixity(), "op10_exact_dedup": sql.exact_dedup()}

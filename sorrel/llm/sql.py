@@ -94,3 +94,19 @@ i AS (SELECT DISTINCT doc_id, lo FROM g JOIN s USING (gram)),
 b AS (SELECT *, CASE WHEN lo <= lag(lo) OVER (PARTITION BY doc_id ORDER BY lo) + {min_words} THEN 0 ELSE 1 END AS new FROM i),
 n AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY lo) AS island FROM b)
 SELECT doc_id, min(lo)::INT AS start_word, (max(lo) + {min_words})::INT AS end_word FROM n GROUP BY doc_id, island"""
+
+
+def warc_fixity(per_file: int = 1000, often: int = 50, seldom: int = 1500, pages: str = "pages") -> str:
+    """Both replicas' records with their offsets, without trees, matched one by one."""
+    nl = "chr(13) || chr(10)"
+    record = f"'WARC/1.0' || {nl} || 'WARC-Type: resource' || {nl} || 'WARC-Record-ID: <' || record_id || '>' || {nl} || 'WARC-Target-URI: ' || url || {nl} || 'Content-Type: text/html' || {nl} || 'Content-Length: ' || strlen(html) || {nl} || {nl} || html || {nl} || {nl}"
+    laid = lambda t: f"SELECT *, sum(strlen(record)) OVER (PARTITION BY file ORDER BY position, record_id, digest ROWS UNBOUNDED PRECEDING) AS stop, row_number() OVER (PARTITION BY file, record_id ORDER BY digest) AS copy FROM (SELECT *, sha256(record) AS digest FROM (SELECT *, {record} AS record FROM {t}))"
+    return f"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, coalesce(floor(page_id / {per_file}), -1)::BIGINT AS file, 'urn:page:' || coalesce(page_id::VARCHAR, 'none') AS record_id, coalesce(page_id, -1) AS position, ('0x' || substr(md5('fault:' || coalesce(page_id::VARCHAR, '')), 1, 8))::BIGINT AS draw FROM {pages}),
+q AS (SELECT * REPLACE (CASE WHEN draw % {often} = 0 THEN '~' || substr(html, 2) WHEN draw % {seldom} = 1 THEN left(html, greatest(length(html) - 1, 0)) ELSE html END AS html) FROM p WHERE draw % {seldom} <> 2),
+a AS ({laid("p")}), b AS ({laid("q")})
+SELECT coalesce(a.file, b.file) AS file, coalesce(a.record_id, b.record_id) AS record_id, coalesce(a.copy, b.copy)::INT AS copy,
+  CASE WHEN b.file IS NULL THEN 'missing' WHEN a.file IS NULL THEN 'extra' WHEN a.digest <> b.digest THEN 'corrupt' ELSE 'moved' END AS status,
+  (a.stop - strlen(a.record))::BIGINT AS "begin", a.stop::BIGINT AS "end", (b.stop - strlen(b.record))::BIGINT AS replica_begin, b.stop::BIGINT AS replica_end
+FROM a FULL JOIN b ON a.file = b.file AND a.record_id = b.record_id AND a.copy = b.copy
+WHERE b.file IS NULL OR a.file IS NULL OR a.digest <> b.digest OR a.stop - strlen(a.record) <> b.stop - strlen(b.record)"""
