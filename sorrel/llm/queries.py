@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sorrel.llm import exact_dedup, language_id, mixing, ngram_join, quality, secret_scan, sentencepiece_codec, sql, substring_dedup, warc_fixity
+from sorrel.llm import exact_dedup, language_id, mixing, ngram_join, quality, secret_scan, sentencepiece_codec, sql, substring_dedup, warc_fixity, wrappers
 
 #: Production parameters that several places share.
 MIX = {"alpha": 0.7, "budget_ratio": 1.0, "max_epochs": 4.0, "seed": 20240229}
@@ -60,6 +60,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), SENTENCEPIECE_MODEL)
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"), ingested_before())
 
