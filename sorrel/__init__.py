@@ -1,0 +1,3 @@
+"""Code-intelligence analytics on Spark DataFrames."""
+
+__version__ = "0.1.0"

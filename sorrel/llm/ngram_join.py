@@ -8,17 +8,18 @@ into n2 parts, of which at least n2 - k2 are alike in both sets. Enumerating all
 signing for the features in them, so gives every such pair a signature in common. k2 and n2 are chosen by band
 for the number of sets, as few signatures as keep chance agreements rare.
 
-Pairs that share a signature are verified on their whole sets, and reported from threshold on. All pairs of
-index guarantee or more are found; between threshold and guarantee, a pair is found if its differences fall
-unevenly enough, as most do (tests/llm hold recall against brute force).
+Sets that share a signature are tied in a star, whose edges grow with the signatures and not with their pairs. All
+sets that edges connect meet in one group, once each, where every pair is verified on the whole sets; pairs from
+threshold on are reported. All pairs of index guarantee or more are found; between threshold and guarantee, a pair
+is found if a signature or a chain of them ties it, as is so for most (tests/llm hold recall against brute force).
 
 Words are runs of letters, digits, underscores and non-ASCII characters of the lower-case text; a text of fewer
 than n words has the one n-gram of all its words. Features are 32-bit hashes of n-grams.
 
 Defined results: documents without words (null and empty texts too) and with a null doc_id are in no pair.
 Documents of equal sets are tied to the one of smallest doc_id (jaccard 1), which stands for them in other
-pairs; doc_a is below doc_b. Rows of one doc_id and set count once; a doc_id with several texts may be in pairs by
-any of them, never with itself. Columns other than doc_id and text are ignored, or passed through by keep_one().
+pairs; doc_a is below doc_b. Rows of one doc_id and set count once; a doc_id with several texts is in pairs by
+each of them, never with itself. Columns other than doc_id and text are ignored, or passed through by keep_one().
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from math import ceil, comb, exp, floor
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,8 +60,8 @@ def bands(threshold: float, largest: int) -> np.ndarray:
 def shape(top: int, guarantee: float, sets: int) -> tuple[int, int, int]:
     """n1, k2 and n2 for a band of sets of at most top features, for a corpus of so many sets.
 
-    Of the shapes whose expected number of chance agreements by set is below one, that of fewest signatures; a
-    signature for m features agrees by chance with probability of about exp(-1.36 m) (features that most sets
+    Of the shapes whose expected number of chance agreements by set is below a tenth (so that chance doesn't chain
+    sets into large groups), that of fewest signatures; a signature for m features agrees by chance with probability of about exp(-1.36 m) (features that most sets
     share tell nothing, and sets smaller than top have fewer in it).
     """
     k = floor(2 * (1 - guarantee) / (1 + guarantee) * top + 1e-9)
@@ -69,7 +71,7 @@ def shape(top: int, guarantee: float, sets: int) -> tuple[int, int, int]:
         for n2 in range(k2 + 1, 11) if k2 else (1,):
             signs = n1 * comb(n2, k2)
             chance = signs * sets / 20 * exp(-1.36 * top / n1 * (n2 - k2) / n2)
-            rank = (max(1.0, chance), signs)
+            rank = (max(0.1, chance), signs)
             if best is None or rank < best[0]:
                 best = rank, (n1, k2, n2)
     return best[1]
@@ -161,80 +163,113 @@ def _sign(join: Join, sets: int):
     return run
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """Pairs of different sets in each run of equal signatures, of which one signs for its own band."""
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In each run of equal signatures, edges from one set that signs for its own band to all others."""
     held_sign, held_node = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def pairs(sign: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def stars(sign: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(sign):
             return
-        fresh = np.ones(len(sign), bool)
-        fresh[1:] = (sign[1:] != sign[:-1]) | (node[1:] != node[:-1])
-        sign, node = sign[fresh], node[fresh]
-        new = np.ones(len(sign), bool)
-        new[1:] = sign[1:] != sign[:-1]
-        start = np.flatnonzero(new)
-        before = np.arange(len(sign)) - np.repeat(start, np.diff(np.append(start, len(sign))))
-        upto, at = np.cumsum(before), 0
-        while at < len(sign):
-            done = upto[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(upto, done + most, "right")))
-            index = np.arange(at, to)
-            right = np.repeat(index, before[at:to])
-            left = spread(index - before[at:to], before[at:to])
-            use = (node[left] | node[right]) & 1 == 1
-            a, b = node[left[use]] >> 1, node[right[use]] >> 1
-            a, b = np.minimum(a, b), np.maximum(a, b)
-            a, b = a[a != b], b[a != b]
-            order, groups = grouped(mix(a.view(U64) * U64(0x9E3779B97F4A7C15) ^ mix(b.view(U64))))
-            one = order[groups]
-            if len(one):
-                yield pa.RecordBatch.from_arrays([pa.array(a[one]), pa.array(b[one])], ["a", "b"])
-            at = to
+        own, node = (node & 1).astype(bool), node >> 1
+        new = np.append(True, sign[1:] != sign[:-1])
+        run = np.cumsum(new) - 1
+        centre = np.full(run[-1] + 1, -1, np.int64)
+        mine = np.flatnonzero(own)[::-1]
+        centre[run[mine]] = node[mine]
+        a = centre[run]
+        use = (a >= 0) & (a != node)
+        a, b = a[use], node[use]
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        order, groups = grouped(mix(a.view(U64) * U64(0x9E3779B97F4A7C15) ^ mix(b.view(U64))))
+        one = order[groups]
+        if len(one):
+            yield pa.RecordBatch.from_arrays([pa.array(a[one]), pa.array(b[one])], ["doc_a", "doc_b"])
 
     for batch in batches:
         sign = np.append(held_sign, batch.column("sign").to_numpy())
         node = np.append(held_node, batch.column("node").to_numpy())
         last = int(np.searchsorted(sign, sign[-1])) if len(sign) else 0
-        yield from pairs(sign[:last], node[:last])
+        yield from stars(sign[:last], node[:last])
         held_node = np.unique(node[last:])
         held_sign = np.repeat(sign[-1:], len(held_node))
-    yield from pairs(held_sign, held_node)
+    yield from stars(held_sign, held_node)
 
 
-def _verify(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = np.empty(batch.num_rows)
-            for i, (x, y) in enumerate(zip(batch.column("fa").to_pylist(), batch.column("fb").to_pylist())):
-                both = np.concatenate([np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                score[i] = common / (len(both) - common)
-            keep = pa.array(score >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(score).filter(keep)], ["a", "b", "jaccard"])
+def _alike(table: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows i and j, and Jaccard index, of the pairs of sets from threshold on; rows are in order of size."""
+    blobs = table.column("features").to_pylist()
+    first = np.append(0, np.cumsum([len(b) // 4 for b in blobs]))
+    size = np.diff(first)
+    _, codes = np.unique(np.frombuffer(b"".join(blobs), np.uint32), return_inverse=True)
+    mine = np.zeros(codes.max(initial=0) + 1, bool)
+    out = []
+    upto = np.searchsorted(size, np.floor(size / threshold + 1e-9), "right")
+    for i in range(len(blobs) - 1):
+        if upto[i] <= i + 1:
+            continue
+        own = codes[first[i] : first[i + 1]]
+        mine[own] = True
+        common = np.add.reduceat(mine[codes[first[i + 1] : first[upto[i]]]], first[i + 1 : upto[i]] - first[i + 1], dtype=np.int64)
+        mine[own] = False
+        score = common / (size[i] + size[i + 1 : upto[i]] - common)
+        good = np.flatnonzero(score >= threshold)
+        out.append((np.full(len(good), i), good + i + 1, score[good]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _in_order(table: pa.Table) -> pa.Table:
+    size = pa.compute.binary_length(table.column("features"))
+    return table.append_column("size", size).sort_by([("size", "ascending"), ("node", "ascending")])
+
+
+def _pair_rows(threshold: float):
+    def run(table: pa.Table) -> pa.Table:
+        table = _in_order(table)
+        i, j, score = _alike(table, threshold)
+        doc = table.column("doc").to_numpy()
+        a, b = np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])
+        use = a != b
+        return pa.table({"doc_a": a[use], "doc_b": b[use], "jaccard": score[use]})
 
     return run
 
 
-def similar(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """doc_a, doc_b and jaccard of the pairs described above."""
+def _root_rows(threshold: float):
+    def run(table: pa.Table) -> pa.Table:
+        table = _in_order(table)
+        i, j, _ = _alike(table, threshold)
+        root = table.column("doc").to_numpy().copy()
+        while True:
+            before = root.copy()
+            least = np.minimum(root[i], root[j])
+            np.minimum.at(root, i, least)
+            np.minimum.at(root, j, least)
+            if (before == root).all():
+                return pa.table({"node": table.column("node"), "root": pa.array(root)})
+
+    return run
+
+
+def _met(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
+    """The sets, stored, and the distinct ones that an edge ties to another: group, node, doc (smallest), features."""
     sets = stored(sets_of(docs, join.n), "sets")
     total = sets.count()
     signs = sets.select("node", "features").mapInArrow(_sign(join, total), "sign long, node long")
-    found = signs.repartition("sign").sortWithinPartitions("sign", "node").mapInArrow(_pairs, "a long, b long")
-    candidates = stored(found.distinct(), "candidates")
-    nodes = limited_broadcast(candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct(), 1_000_000)
-    needed = sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("features").alias("features"))
-    needed = stored(needed, "needed")
-    with_a = candidates.join(needed.select(F.col("node").alias("a"), F.col("features").alias("fa")), "a")
-    both = with_a.join(needed.select(F.col("node").alias("b"), F.col("features").alias("fb")), "b")
-    alike = both.select("a", "b", "fa", "fb").mapInArrow(_verify(join.threshold), "a long, b long, jaccard double")
-    names = sets.groupBy("node").agg(F.min("doc_id").alias("doc"))
-    pairs = alike.join(names.select(F.col("node").alias("a"), F.col("doc").alias("x")), "a").join(names.select(F.col("node").alias("b"), F.col("doc").alias("y")), "b")
-    pairs = pairs.where("x <> y").groupBy(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).agg(F.max("jaccard").alias("jaccard"))
-    copies = sets.select("node", "doc_id").distinct().join(names, "node").where("doc_id <> doc").select(F.col("doc").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    return pairs.unionByName(copies).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    edges = signs.repartition("sign").sortWithinPartitions("sign", "node").mapInArrow(_stars, "doc_a long, doc_b long")
+    tied = components(edges)
+    tied = stored(tied.select(F.col("doc_id").alias("node"), "root").union(tied.select("root", "root")).distinct(), "tied")
+    needed = sets.join(limited_broadcast(tied), "node").groupBy("root", "node").agg(F.min("doc_id").alias("doc"), F.first("features").alias("features"))
+    return sets, needed
+
+
+def similar(docs: DataFrame, join: Join = Join()) -> DataFrame:
+    """doc_a, doc_b and jaccard of the pairs described above."""
+    sets, needed = _met(docs, join)
+    pairs = needed.groupBy("root").applyInArrow(_pair_rows(join.threshold), "doc_a long, doc_b long, jaccard double")
+    copies = sets.groupBy("node").agg(F.min("doc_id").alias("doc_a"), F.collect_set("doc_id").alias("docs")).where(F.size("docs") > 1)
+    return pairs.unionByName(copies.select("doc_a", F.explode("docs").alias("doc_b"), F.lit(1.0).alias("jaccard")).where("doc_a <> doc_b"))
 
 
 def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
@@ -269,5 +304,9 @@ def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
 
 def keep_one(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """The rows of docs but for documents that are joined, over any chain of pairs, to one of smaller doc_id."""
-    gone = limited_broadcast(stored(components(similar(docs, join)).select(F.col("doc_id").alias("__gone")), "gone"))
+    sets, needed = _met(docs, join)
+    roots = needed.groupBy("root").applyInArrow(_root_rows(join.threshold), "node long, root long")
+    least = sets.groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left").select("node", F.coalesce("root", "least").alias("root"))
+    gone = sets.select("node", "doc_id").join(least, "node").where("doc_id > root").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = limited_broadcast(stored(gone, "gone"))
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

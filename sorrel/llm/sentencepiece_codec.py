@@ -170,13 +170,13 @@ class WordCodec:
     Words are known by 64-bit hashes; the memory keeps keep of them and then starts anew.
     """
 
-    def __init__(self, model: Model, keep: int = 1_000_000):
+    def __init__(self, model: Model, keep: int = 200_000):
         if any(MARK in piece.lstrip(MARK) for piece, _, _ in model.pieces):
             raise ValueError("pieces that go over the start of a word: encode whole texts with build()")
-        self.whole = build(model)
         self.prepared = bool(model.charsmap) or model.squeeze_spaces
         self.prefix = model.dummy_prefix
         self.words = build(model)
+        self.normalizer = self.words.normalizer
         self.words.normalizer = None
         self.words.pre_tokenizer = None
         self.keep = keep
@@ -214,7 +214,7 @@ class WordCodec:
         column = pc.fill_null(column.cast(pa.large_string()), "")
         empty = pc.equal(pc.binary_length(column), 0)
         if self.prepared:
-            column = pa.array([self.whole.normalizer.normalize_str(t) for t in column.to_pylist()], pa.large_string())
+            column = pa.array([self.normalizer.normalize_str(t) for t in column.to_pylist()], pa.large_string())
         elif self.prefix:
             column = pc.if_else(empty, column, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), column, pa.scalar("", pa.large_string())))
         body = texts(pc.replace_substring(column, MARK, " "))
@@ -283,7 +283,7 @@ def decode(encoded: DataFrame, model_path: str, threads: int = 2) -> DataFrame:
     """doc_id and text of rows of token_ids; null ids give null text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = load(model_path, threads).whole
+        codec = load(model_path, threads).words
         for part in batches:
             ids = part.column("token_ids").to_pylist()
             back = codec.decode_batch([x or [] for x in ids], skip_special_tokens=False)

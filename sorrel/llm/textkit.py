@@ -123,7 +123,7 @@ def texts(column: pa.Array, lower: bool = False) -> Texts:
     return Texts(raw[at[0] : at[-1]], at - at[0])
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts hold about limit bytes (one text of any length at least)."""
     for batch in batches:
         sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
