@@ -15,9 +15,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SYMBOL_TYPE = T.StructType.fromDDL("name string, qualified_name string, kind string, parent_qname string, lineno int, end_lineno int, col int, docstring string, signature string, is_private int, complexity int, line_count int")
-IMPORT_TYPE = T.StructType.fromDDL("imported_module string, imported_name string, alias string, lineno int")
-CALL_TYPE = T.StructType.fromDDL("caller_qname string, callee_name string, lineno int")
+_KINDS = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType()}
+
+
+def struct(fields: str) -> T.StructType:
+    """A struct of plain fields, made without a session."""
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (f.split() for f in fields.split(", "))])
+
+
+SYMBOL_TYPE = struct("name string, qualified_name string, kind string, parent_qname string, lineno int, end_lineno int, col int, docstring string, signature string, is_private int, complexity int, line_count int")
+IMPORT_TYPE = struct("imported_module string, imported_name string, alias string, lineno int")
+CALL_TYPE = struct("caller_qname string, callee_name string, lineno int")
 _s = lambda t: "struct<" + ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in t) + ">"
 FACTS = f"rel_path string, content string, mtime long, parse_error string, symbols array<{_s(SYMBOL_TYPE)}>, imports array<{_s(IMPORT_TYPE)}>, calls array<{_s(CALL_TYPE)}>"
 PARSED = FACTS.replace("parse_error", "abs_path string, module_path string, sha256 string, size_bytes long, indexed_at long, parse_error")
