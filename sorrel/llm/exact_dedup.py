@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sorrel.llm.storage import limited_broadcast, stored
+from sorrel.llm.storage import fresh, limited_broadcast, stored
 from sorrel.llm.textkit import U64, mix
 
 SHARD_KEYS = 100_000
@@ -171,8 +171,9 @@ def keep(docs: DataFrame, history: Column, shards: int | None = None) -> DataFra
     kept = _kept(rows, shards).select("digest", F.col("winner").alias("doc_id"))
     counts = rows.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     marks = counts.join(kept.withColumn("stays", F.lit(True)), ["digest", "doc_id"], "left").where("stays is null or n > 1")
-    marks = limited_broadcast(stored(marks.select(F.col("digest").alias("__digest"), F.col("doc_id").alias("__id"), F.coalesce("stays", F.lit(False)).alias("__stays")), "copies"))
-    marked = docs.join(marks, (digest(docs["text"]) == marks["__digest"]) & (F.coalesce(docs["doc_id"], _last()) == marks["__id"]), "left")
-    single = marked.where(F.col("__stays").isNull()).select(*docs.columns)
-    repeated = marked.where("__stays").dropDuplicates(["__digest", "__id"]).select(*docs.columns)
+    name, id_, stays = fresh(docs, "digest", "id", "stays")
+    marks = limited_broadcast(stored(marks.select(F.col("digest").alias(name), F.col("doc_id").alias(id_), F.coalesce("stays", F.lit(False)).alias(stays)), "copies"))
+    marked = docs.join(marks, (digest(docs["text"]) == marks[name]) & (F.coalesce(docs["doc_id"], _last()) == marks[id_]), "left")
+    single = marked.where(F.col(stays).isNull()).select(*docs.columns)
+    repeated = marked.where(F.col(stays)).dropDuplicates([name, id_]).select(*docs.columns)
     return single.unionByName(repeated)

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sorrel.llm.storage import limited_broadcast, stored
+from sorrel.llm.storage import fresh, limited_broadcast, stored
 
 
 def water_fill(size: pd.Series, weight: pd.Series, budget: float, max_epochs: float) -> pd.Series:
@@ -74,11 +74,11 @@ def _draw(doc_id: Column, seed: int) -> Column:
 
 def sample(docs: DataFrame, planned: DataFrame, seed: int, number: str | None = None) -> DataFrame:
     """The rows of docs, repeated by their source's epochs; number: a column that counts the repetitions from 1."""
-    epochs = limited_broadcast(stored(planned.select(F.col("source").alias("__source"), F.col("epochs").alias("__epochs")), "mix"))
-    joined = docs.join(epochs, docs["source"].eqNullSafe(epochs["__source"]), "left")
-    whole = F.floor("__epochs").cast("int")
-    times = whole + (_draw(docs["doc_id"], seed) < F.col("__epochs") - whole).cast("int")
-    out = joined.withColumn("__times", F.coalesce(times, F.lit(0))).where("__times > 0")
-    name = number or "__number"
-    out = out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias(name))
+    name, share, count, one = fresh(docs, "planned_source", "epochs", "times", number or "number")
+    epochs = limited_broadcast(stored(planned.select(F.col("source").alias(name), F.col("epochs").alias(share)), "mix"))
+    joined = docs.join(epochs, docs["source"].eqNullSafe(epochs[name]), "left")
+    whole = F.floor(share).cast("int")
+    times = whole + (_draw(docs["doc_id"], seed) < F.col(share) - whole).cast("int")
+    out = joined.withColumn(count, F.coalesce(times, F.lit(0))).where(F.col(count) > 0)
+    out = out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(count))).alias(one))
     return out if number else out.select(*docs.columns)

@@ -31,18 +31,13 @@ def limited_broadcast(df: DataFrame, rows: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Size of the files that df reads, or 0 where it reads none."""
-    import os
-    from urllib.parse import unquote, urlparse
-
-    spark, total = df.sparkSession, 0
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for name in df.inputFiles():
-        parts = urlparse(name)
-        if parts.scheme in ("", "file") and os.path.exists(unquote(parts.path)):
-            total += os.path.getsize(unquote(parts.path))
-        else:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-            total += path.getFileSystem(hadoop).getFileStatus(path).getLen()
-    return total
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that df doesn't have, whatever its columns are called."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        taken.add(stem.lower())
+        out.append(stem)
+    return out
