@@ -8,9 +8,10 @@ into n2 parts, of which at least n2 - k2 are alike in both sets. Enumerating all
 signing for the features in them, so gives every such pair a signature in common. k2 and n2 are chosen by band
 for the number of sets, as few signatures as keep chance agreements rare.
 
-Sets that share a signature are tied in a star, whose edges grow with the signatures and not with their pairs. All
-sets that edges connect meet in one group, once each, where every pair is verified on the whole sets; pairs from
-threshold on are reported. All pairs of index guarantee or more are found; between threshold and guarantee, a pair
+Among sets that share a signature, those whose sketches (128 bits of MinHash, which travel with the signature) are near
+are tied in stars, whose edges grow with the signatures and not with their pairs. So a signature may be of few
+features, as sketches turn chance agreements away. All sets that edges connect meet in one group, once each, where
+every pair is verified on the whole sets; pairs from threshold on are reported. All pairs of index guarantee or more are found; between threshold and guarantee, a pair
 is found if a signature or a chain of them ties it, as is so for most (tests/llm hold recall against brute force).
 
 Words are runs of letters, digits, underscores and non-ASCII characters of the lower-case text; a text of fewer
@@ -36,7 +37,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sorrel.llm.storage import limited_broadcast, stored
+from sorrel.llm.storage import fresh, limited_broadcast, stored
 from sorrel.llm.textkit import U64, chunks, grouped, mix, owner, spread, texts
 
 
@@ -56,13 +57,22 @@ def bands(threshold: float, largest: int) -> np.ndarray:
     return np.array([*lows, floor(lows[-1] / threshold + 1e-9) + 1], np.int64)
 
 
+def chance_limit(top: int) -> float:
+    """Chance agreements by set that a band of sets of at most top features may have.
+
+    Sketches turn all but one in a thousand of them away where sets are large, and fewer where they are small; what
+    is left stays below a tenth by set, so that chance doesn't chain sets into large groups.
+    """
+    return 0.1 if top < 40 else 1.0 if top < 100 else 32.0
+
+
 @lru_cache(4096)
 def shape(top: int, guarantee: float, sets: int) -> tuple[int, int, int]:
     """n1, k2 and n2 for a band of sets of at most top features, for a corpus of so many sets.
 
-    Of the shapes whose expected number of chance agreements by set is below a tenth (so that chance doesn't chain
-    sets into large groups), that of fewest signatures; a signature for m features agrees by chance with probability of about exp(-1.36 m) (features that most sets
-    share tell nothing, and sets smaller than top have fewer in it).
+    Of the shapes whose expected number of chance agreements by set is within chance_limit(), that of fewest
+    signatures; a signature for m features agrees by chance with probability of about exp(-1.36 m) (features that
+    most sets share tell nothing, and sets smaller than top have fewer in it).
     """
     k = floor(2 * (1 - guarantee) / (1 + guarantee) * top + 1e-9)
     best = None
@@ -71,7 +81,7 @@ def shape(top: int, guarantee: float, sets: int) -> tuple[int, int, int]:
         for n2 in range(k2 + 1, 11) if k2 else (1,):
             signs = n1 * comb(n2, k2)
             chance = signs * sets / 20 * exp(-1.36 * top / n1 * (n2 - k2) / n2)
-            rank = (max(0.1, chance), signs)
+            rank = (max(chance_limit(top), chance), signs)
             if best is None or rank < best[0]:
                 best = rank, (n1, k2, n2)
     return best[1]
@@ -132,6 +142,20 @@ def signatures(features: np.ndarray, first: np.ndarray, join: Join, sets: int) -
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+BINS = 128
+#: Sketches of sets of Jaccard index 0.8 differ in 12.8 bits on average, with a standard deviation of 3.4.
+FAR = 24
+
+
+def sketches(features: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """BINS bits of each set: one of the smallest hash of each bin (one-permutation MinHash); 0 of empty bins."""
+    value = mix(features.astype(U64) + U64(0x2545F4914F6CDD1D))
+    least = np.full((len(first) - 1) * BINS, 2**64 - 1, U64)
+    np.minimum.at(least, owner(first) * BINS + (value >> U64(57)).astype(np.int64), value << U64(7))
+    bits = ((least >> U64(7)) & U64(1)).astype(bool) & (least != U64(2**64 - 1))
+    return np.packbits(bits.reshape(-1, BINS), axis=1).view(np.int64)
+
+
 SETS = "doc_id long, node long, features binary"
 
 
@@ -149,6 +173,9 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SETS)
 
 
+SIGNED = "sign long, node long, sketch0 long, sketch1 long"
+
+
 def _sign(join: Join, sets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,41 +185,61 @@ def _sign(join: Join, sets: int):
                 first = np.append(0, np.cumsum([len(b) // 4 for b in blobs]))
                 signs, which, own = signatures(features, first, join, sets)
                 node = part.column("node").to_numpy()[which] * 2 + own
-                yield pa.RecordBatch.from_arrays([pa.array(signs.view(np.int64)), pa.array(node)], ["sign", "node"])
+                sketch = sketches(features, first)[which]
+                yield pa.RecordBatch.from_arrays([pa.array(signs.view(np.int64)), pa.array(node), pa.array(sketch[:, 0].copy()), pa.array(sketch[:, 1].copy())], ["sign", "node", "sketch0", "sketch1"])
 
     return run
 
 
+def ties(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges among the rows (sign, node, two halves of the sketch) of equal signature, which must lie side by side.
+
+    In each run a first row is the centre; it is tied to all whose sketch is near its own. Of the rows that no centre
+    is tied to, the first is the next centre, until none is left. Sets that both sign for the next band aren't tied.
+    """
+    new = np.append(True, rows[1:, 0] != rows[:-1, 0])
+    keep = new | np.append(True, rows[1:, 1] != rows[:-1, 1])  # copies of a set count once
+    rows, run = rows[keep], np.cumsum(new)[keep] - 1
+    out = []
+    open_ = np.ones(len(rows), bool)
+    while len(rows):
+        starts = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+        sizes = np.diff(np.append(starts, len(rows)))
+        at = np.where(open_, np.arange(len(rows)), len(rows))
+        centre = np.minimum.reduceat(at, starts)  # some row of every run is open
+        mid = np.repeat(centre, sizes)
+        far = np.bitwise_count((rows[:, 2] ^ rows[mid, 2]).view(U64)) + np.bitwise_count((rows[:, 3] ^ rows[mid, 3]).view(U64))
+        near = far <= FAR
+        tied = near & (mid != np.arange(len(rows))) & ((rows[:, 1] | rows[mid, 1]) & 1 == 1)
+        out.append((rows[mid[tied], 1] >> 1, rows[tied, 1] >> 1))
+        open_ &= ~near
+        open_[centre] = False
+        more = np.repeat(np.logical_or.reduceat(open_, starts) & (sizes > 1), sizes)
+        rows, run, open_ = rows[more], run[more], open_[more]
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b = (np.concatenate(x) for x in zip(*out))
+    return np.minimum(a, b), np.maximum(a, b)
+
+
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In each run of equal signatures, edges from one set that signs for its own band to all others."""
-    held_sign, held_node = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def stars(sign: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not len(sign):
-            return
-        own, node = (node & 1).astype(bool), node >> 1
-        new = np.append(True, sign[1:] != sign[:-1])
-        run = np.cumsum(new) - 1
-        centre = np.full(run[-1] + 1, -1, np.int64)
-        mine = np.flatnonzero(own)[::-1]
-        centre[run[mine]] = node[mine]
-        a = centre[run]
-        use = (a >= 0) & (a != node)
-        a, b = a[use], node[use]
-        a, b = np.minimum(a, b), np.maximum(a, b)
+    """The edges of each run of equal signatures, each once by batch."""
+
+    def edges(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        a, b = ties(rows)
         order, groups = grouped(mix(a.view(U64) * U64(0x9E3779B97F4A7C15) ^ mix(b.view(U64))))
         one = order[groups]
         if len(one):
             yield pa.RecordBatch.from_arrays([pa.array(a[one]), pa.array(b[one])], ["doc_a", "doc_b"])
 
+    held = np.zeros((0, 4), np.int64)
     for batch in batches:
-        sign = np.append(held_sign, batch.column("sign").to_numpy())
-        node = np.append(held_node, batch.column("node").to_numpy())
-        last = int(np.searchsorted(sign, sign[-1])) if len(sign) else 0
-        yield from stars(sign[:last], node[:last])
-        held_node = np.unique(node[last:])
-        held_sign = np.repeat(sign[-1:], len(held_node))
-    yield from stars(held_sign, held_node)
+        rows = np.concatenate([held, np.stack([batch.column(c).to_numpy() for c in range(4)], axis=1)])
+        last = int(np.searchsorted(rows[:, 0], rows[-1, 0])) if len(rows) else 0
+        yield from edges(rows[:last])
+        held = rows[last:]
+        held = held[np.append(True, held[1:, 1] != held[:-1, 1])] if len(held) else held
+    yield from edges(held)
 
 
 def _alike(table: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -256,7 +303,7 @@ def _met(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     """The sets, stored, and the distinct ones that an edge ties to another: group, node, doc (smallest), features."""
     sets = stored(sets_of(docs, join.n), "sets")
     total = sets.count()
-    signs = sets.select("node", "features").mapInArrow(_sign(join, total), "sign long, node long")
+    signs = sets.select("node", "features").mapInArrow(_sign(join, total), SIGNED)
     edges = signs.repartition("sign").sortWithinPartitions("sign", "node").mapInArrow(_stars, "doc_a long, doc_b long")
     tied = components(edges)
     tied = stored(tied.select(F.col("doc_id").alias("node"), "root").union(tied.select("root", "root")).distinct(), "tied")
@@ -307,6 +354,6 @@ def keep_one(docs: DataFrame, join: Join = Join()) -> DataFrame:
     sets, needed = _met(docs, join)
     roots = needed.groupBy("root").applyInArrow(_root_rows(join.threshold), "node long, root long")
     least = sets.groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left").select("node", F.coalesce("root", "least").alias("root"))
-    gone = sets.select("node", "doc_id").join(least, "node").where("doc_id > root").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = sets.select("node", "doc_id").join(least, "node").where("doc_id > root").select(F.col("doc_id").alias(name := fresh(docs, "gone")[0])).distinct()
     gone = limited_broadcast(stored(gone, "gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
