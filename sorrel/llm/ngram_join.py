@@ -8,7 +8,7 @@ into n2 parts, of which at least n2 - k2 are alike in both sets. Enumerating all
 signing for the features in them, so gives every such pair a signature in common. k2 and n2 are chosen by band
 for the number of sets, as few signatures as keep chance agreements rare.
 
-Among sets that share a signature, those whose sketches (128 bits of MinHash, which travel with the signature) are near
+Among sets that share a signature, those whose sketches (64 bits of MinHash, which travel with the signature) are near
 are tied in stars, whose edges grow with the signatures and not with their pairs. So a signature may be of few
 features, as sketches turn chance agreements away. All sets that edges connect meet in one group, once each, where
 every pair is verified on the whole sets; pairs from threshold on are reported. All pairs of index guarantee or more are found; between threshold and guarantee, a pair
@@ -60,10 +60,10 @@ def bands(threshold: float, largest: int) -> np.ndarray:
 def chance_limit(top: int) -> float:
     """Chance agreements by set that a band of sets of at most top features may have.
 
-    Sketches turn all but one in a thousand of them away where sets are large, and fewer where they are small; what
-    is left stays below a tenth by set, so that chance doesn't chain sets into large groups.
+    Sketches turn all but a few in ten thousand of them away where sets are large, and fewer where they are small;
+    what is left stays below about a tenth by set, so that chance doesn't chain sets into large groups.
     """
-    return 0.1 if top < 40 else 1.0 if top < 100 else 32.0
+    return 0.1 if top < 40 else 1.0 if top < 100 else 32.0 if top < 200 else 256.0
 
 
 @lru_cache(4096)
@@ -142,18 +142,18 @@ def signatures(features: np.ndarray, first: np.ndarray, join: Join, sets: int) -
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-BINS = 128
-#: Sketches of sets of Jaccard index 0.8 differ in 12.8 bits on average, with a standard deviation of 3.4.
-FAR = 24
+BINS = 64
+#: Sketches of sets of Jaccard index 0.8 differ in 6.4 bits on average, with a standard deviation of 2.4.
+FAR = 14
 
 
 def sketches(features: np.ndarray, first: np.ndarray) -> np.ndarray:
     """BINS bits of each set: one of the smallest hash of each bin (one-permutation MinHash); 0 of empty bins."""
     value = mix(features.astype(U64) + U64(0x2545F4914F6CDD1D))
     least = np.full((len(first) - 1) * BINS, 2**64 - 1, U64)
-    np.minimum.at(least, owner(first) * BINS + (value >> U64(57)).astype(np.int64), value << U64(7))
-    bits = ((least >> U64(7)) & U64(1)).astype(bool) & (least != U64(2**64 - 1))
-    return np.packbits(bits.reshape(-1, BINS), axis=1).view(np.int64)
+    np.minimum.at(least, owner(first) * BINS + (value >> U64(58)).astype(np.int64), value << U64(6))
+    bits = ((least >> U64(6)) & U64(1)).astype(bool) & (least != U64(2**64 - 1))
+    return np.packbits(bits.reshape(-1, BINS), axis=1).view(np.int64).ravel()
 
 
 SETS = "doc_id long, node long, features binary"
@@ -173,7 +173,7 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SETS)
 
 
-SIGNED = "sign long, node long, sketch0 long, sketch1 long"
+SIGNED = "sign long, node long, sketch long"
 
 
 def _sign(join: Join, sets: int):
@@ -186,13 +186,13 @@ def _sign(join: Join, sets: int):
                 signs, which, own = signatures(features, first, join, sets)
                 node = part.column("node").to_numpy()[which] * 2 + own
                 sketch = sketches(features, first)[which]
-                yield pa.RecordBatch.from_arrays([pa.array(signs.view(np.int64)), pa.array(node), pa.array(sketch[:, 0].copy()), pa.array(sketch[:, 1].copy())], ["sign", "node", "sketch0", "sketch1"])
+                yield pa.RecordBatch.from_arrays([pa.array(signs.view(np.int64)), pa.array(node), pa.array(sketch)], ["sign", "node", "sketch"])
 
     return run
 
 
 def ties(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges among the rows (sign, node, two halves of the sketch) of equal signature, which must lie side by side.
+    """Edges among the rows (sign, node, sketch) of equal signature, which must lie side by side.
 
     In each run a first row is the centre; it is tied to all whose sketch is near its own. Of the rows that no centre
     is tied to, the first is the next centre, until none is left. Sets that both sign for the next band aren't tied.
@@ -208,8 +208,7 @@ def ties(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.where(open_, np.arange(len(rows)), len(rows))
         centre = np.minimum.reduceat(at, starts)  # some row of every run is open
         mid = np.repeat(centre, sizes)
-        far = np.bitwise_count((rows[:, 2] ^ rows[mid, 2]).view(U64)) + np.bitwise_count((rows[:, 3] ^ rows[mid, 3]).view(U64))
-        near = far <= FAR
+        near = np.bitwise_count((rows[:, 2] ^ rows[mid, 2]).view(U64)) <= FAR
         tied = near & (mid != np.arange(len(rows))) & ((rows[:, 1] | rows[mid, 1]) & 1 == 1)
         out.append((rows[mid[tied], 1] >> 1, rows[tied, 1] >> 1))
         open_ &= ~near
@@ -232,9 +231,9 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(one):
             yield pa.RecordBatch.from_arrays([pa.array(a[one]), pa.array(b[one])], ["doc_a", "doc_b"])
 
-    held = np.zeros((0, 4), np.int64)
+    held = np.zeros((0, 3), np.int64)
     for batch in batches:
-        rows = np.concatenate([held, np.stack([batch.column(c).to_numpy() for c in range(4)], axis=1)])
+        rows = np.concatenate([held, np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)])
         last = int(np.searchsorted(rows[:, 0], rows[-1, 0])) if len(rows) else 0
         yield from edges(rows[:last])
         held = rows[last:]
