@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,25 +104,48 @@ def kept(paths: DataFrame, rules: DataFrame) -> DataFrame:
     return paths.select("rel_path").join(bad, "rel_path", "left_anti")
 
 
-def _ignore_lines(repo: str) -> list[tuple[str, str]]:
-    out = []
+def _walk(repo: str) -> tuple[list[tuple[str]], list[tuple[str, str]]]:
+    """Paths of the Python files that a walk meets, and the lines of the ignore files with their folders."""
+    paths, lines = [], []
     for folder, names, files in os.walk(repo):
         names[:] = sorted(n for n in names if n not in NOISE and not n.startswith("."))
+        inner = os.path.relpath(folder, repo).replace(os.sep, "/")
+        inner = "" if inner == "." else inner
+        paths += [(f"{inner}/{f}".lstrip("/"),) for f in sorted(files) if f.endswith(".py")]
         if ".gitignore" in files:
-            anchor = os.path.relpath(folder, repo).replace(os.sep, "/")
             with open(os.path.join(folder, ".gitignore"), encoding="utf-8", errors="replace") as f:
-                out += [("" if anchor == "." else anchor, line) for line in f.read().splitlines()]
-    return out
+                lines += [(inner, line) for line in f.read().splitlines()]
+    return paths, lines
+
+
+FILES = "rel_path string, abs_path string, content string, mtime long"
+
+
+def _read_files(repo: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for rel in batch.rel_path:
+                path = os.path.join(repo, rel)
+                try:
+                    with open(path, "rb") as f:
+                        rows.append((rel, path, f.read().decode("utf-8", "replace").removeprefix("\ufeff"), int(os.stat(path).st_mtime)))
+                except OSError:
+                    continue
+            yield pd.DataFrame(rows, columns=["rel_path", "abs_path", "content", "mtime"])
+
+    return run
 
 
 def read(spark: SparkSession, repo: str, respect_ignore: bool = True) -> DataFrame:
-    """rel_path, abs_path, content and mtime of the Python files below a folder."""
+    """rel_path, abs_path, content and mtime of the Python files below a folder that all executors can reach.
+
+    The driver lists paths only; executors read the files. (Spark's own file sources pass over names that begin with
+    an underscore, such as __init__.py.) Files that can't be read are left out; bytes that aren't UTF-8 are replaced.
+    """
     repo = os.path.abspath(repo)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py").load(f"file://{repo}")
-    path = F.regexp_replace(F.col("path"), "^file:/*", "/")
-    files = raw.select(path.alias("abs_path"), F.substr(path, F.lit(len(repo) + 2)).alias("rel_path"), F.col("content").cast("string").alias("content"), F.unix_timestamp("modificationTime").alias("mtime"))
-    files = files.where(visible(F.col("rel_path")))
-    lines = _ignore_lines(repo) if respect_ignore else []
-    if lines:
-        files = files.join(kept(files.select("rel_path"), compile_rules(spark, lines)), "rel_path", "left_semi")
-    return files.select("rel_path", "abs_path", "content", "mtime")
+    paths, lines = _walk(repo)
+    files = spark.createDataFrame(paths, "rel_path string")
+    if lines and respect_ignore:
+        files = kept(files, compile_rules(spark, lines))
+    return files.repartition(max(1, min(10_000, len(paths) // 50))).mapInPandas(_read_files(repo), FILES)

@@ -1,4 +1,4 @@
-"""Continuous indexing: files that appear or change below a folder are taken into the catalog batch by batch."""
+"""Continuous indexing: sources that land in a folder are taken into the catalog batch by batch."""
 
 from __future__ import annotations
 
@@ -8,29 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sorrel.plans.catalog import Store
-from sorrel.sources import scan
+from sorrel.plans.catalog import SOURCE, Store
 
 
-def files(spark: SparkSession, repo: str) -> DataFrame:
-    """A stream of rel_path, abs_path, content and mtime of new Python files."""
-    repo = os.path.abspath(repo)
-    raw = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py").load(f"file://{repo}")
-    path = F.regexp_replace("path", "^file:/*", "/")
-    rows = raw.select(path.alias("abs_path"), F.substr(path, F.lit(len(repo) + 2)).alias("rel_path"), F.col("content").cast("string").alias("content"), F.unix_timestamp("modificationTime").alias("mtime"))
-    return rows.where(scan.visible(F.col("rel_path")))
+def landed(spark: SparkSession, landing: str) -> DataFrame:
+    """A stream of sources (rel_path, content, mtime) from files of JSON lines in a landing folder."""
+    return spark.readStream.schema(SOURCE).json(landing).where("rel_path is not null and content is not null")
 
 
 def merged(store: Store, batch: DataFrame) -> DataFrame:
     """The catalog's sources with those of a batch in their place; the latest of several versions counts."""
-    fresh = batch.groupBy("rel_path").agg(F.max_by(F.struct("content", "mtime"), "mtime").alias("s")).select("rel_path", "s.content", "s.mtime")
+    fresh = batch.groupBy("rel_path").agg(F.max_by(F.struct("content", "mtime"), F.struct("mtime", "content")).alias("s")).select("rel_path", "s.content", "s.mtime")
     return store.open().source.select("rel_path", "content", "mtime").join(fresh, "rel_path", "left_anti").unionByName(fresh)
 
 
-def watch(spark: SparkSession, repo: str, store: str, **trigger) -> StreamingQuery:
+def watch(spark: SparkSession, landing: str, store: str, **trigger) -> StreamingQuery:
     """Starts indexing; trigger: what DataStreamWriter.trigger takes (default: all there is now, then stop).
 
-    A batch that is run again after a failure gives the same catalog, as files are matched by path and content.
+    A batch that is run again after a failure gives the same catalog, as sources are matched by path and content.
     """
     os.makedirs(store, exist_ok=True)
     target = Store(spark, store)
@@ -39,4 +34,4 @@ def watch(spark: SparkSession, repo: str, store: str, **trigger) -> StreamingQue
         if not batch.isEmpty():
             target.index(merged(target, batch))
 
-    return files(spark, repo).writeStream.foreachBatch(take).option("checkpointLocation", f"{store}/stream").trigger(**(trigger or {"availableNow": True})).start()
+    return landed(spark, landing).writeStream.foreachBatch(take).option("checkpointLocation", f"{store}/stream").trigger(**(trigger or {"availableNow": True})).start()

@@ -279,10 +279,11 @@ def test_store_and_command_line(spark, tmp_path, capsys):
 
 
 def test_stream(spark, tmp_path):
-    repo, store = str(tmp_path / "repo"), str(tmp_path / "store")
-    write(repo, {"a.py": "def one():\n    two()\n"})
-    ingest.watch(spark, repo, store).awaitTermination(120)
-    write(repo, {"b.py": "def two():\n    pass\n"})
-    ingest.watch(spark, repo, store).awaitTermination(120)
+    landing, store = tmp_path / "landing", str(tmp_path / "store")
+    landing.mkdir()
+    for n, record in enumerate([{"rel_path": "a.py", "content": "def one():\n    two()\n", "mtime": 1}, {"rel_path": "b.py", "content": "def two():\n    pass\n", "mtime": 2}, {"rel_path": "b.py", "content": "def three():\n    pass\n", "mtime": 3}]):
+        (landing / f"{n}.json").write_text(json.dumps(record) + "\n")
+        if n != 1:
+            ingest.watch(spark, str(landing), store).awaitTermination(120)
     c = catalog.Store(spark, store).open()
-    assert names(c.symbol.where("kind = 'function'"), "name") == ["one", "two"]
+    assert names(c.symbol.where("kind = 'function'"), "name") == ["one", "three"]
