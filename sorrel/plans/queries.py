@@ -7,6 +7,7 @@ text run on modules written from the same tables and parsed again.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +24,8 @@ IGNORED = [("", "# generated"), ("", "tests/"), ("", "*m1?.py"), ("", "/pkg/cli/
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _on_tables(f: Callable[[Catalog], DataFrame], **options) -> Query:
-    return lambda spark, sf_dir: f(adapters.tables(spark, sf_dir), **options)
+def _on_tables(f: Callable[[Catalog], DataFrame], all_lines: bool = False, **options) -> Query:
+    return lambda spark, sf_dir: f(adapters.tables(spark, sf_dir, all_lines), **options)
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> Catalog:
@@ -66,14 +67,14 @@ def _named_calls(c: Catalog) -> DataFrame:
     return c.call_edge.join(by, "caller_symbol_id").join(to, "resolved_symbol_id", "left").select("caller", "callee_name", "resolved")
 
 
-def resolve_imports_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = adapters.tables(spark, sf_dir)
+def resolve_imports_exact(spark: SparkSession, sf_dir: str, all_lines: bool = False) -> DataFrame:
+    c = adapters.tables(spark, sf_dir, all_lines)
     return resolve.imports_exact(c.file, c.import_edge)
 
 
-def resolve_imports_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+def resolve_imports_suffix(spark: SparkSession, sf_dir: str, all_lines: bool = False) -> DataFrame:
     """Imports as if without their first package, so that only suffixes match."""
-    c = adapters.tables(spark, sf_dir)
+    c = adapters.tables(spark, sf_dir, all_lines)
     return resolve.imports_suffix(c.file, c.import_edge.withColumn("imported_module", F.regexp_replace("imported_module", r"^[^.]*\.", "")))
 
 
@@ -153,9 +154,9 @@ def resolve_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.resolve_targets(c, names.union(paths))
 
 
-def enclosing_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
+def enclosing_symbol(spark: SparkSession, sf_dir: str, all_lines: bool = False) -> DataFrame:
     """The innermost symbol around the line of every call."""
-    c = adapters.tables(spark, sf_dir)
+    c = adapters.tables(spark, sf_dir, all_lines)
     at = c.call_edge.select("edge_id", F.col("caller_symbol_id").alias("symbol_id"), "lineno").join(c.symbol.select("symbol_id", "file_id"), "symbol_id").select("file_id", "lineno", "edge_id")
     return text.enclosing(c, at).select("edge_id", "symbol_id", "qualified_name")
 
@@ -187,6 +188,10 @@ def drift_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.drift_counts(drift_scalars(spark, sf_dir), _entries(spark))
 
 
+#: Queries over calls and imports, registered once more as NAME_all_lines over every order line.
+OF_EDGES = ("headline_stats", "repo_summary", "most_imported", "god_files", "fan_out", "callers", "importers", "second_order_callers", "impact_all", "impact_file", "context_file", "context_symbol", "test_reachability", "coverage_gaps", "coverage_summary", "find_path", "circular_deps", "import_graph_stats", "refactor_priority", "health_summary", "resolve_imports_exact", "resolve_imports_suffix", "enclosing_symbol")
+
+
 def queries() -> dict[str, Query]:
     on_tables = {
         "complexity_hotspots": metrics.complexity_hotspots,
@@ -231,8 +236,11 @@ def queries() -> dict[str, Query]:
     }
     plain = (parse_corpus, parsed_imports, index_report, resolve_imports_exact, resolve_imports_suffix, detect_changes, change_report, scan_files, ignore_filter, module_paths, test_paths, noqa_rules, todo_tags, signature_params, pascal_case, resolve_target, enclosing_symbol, drift_scalars, drift_sets, drift_counts)
     out = {name: _on_tables(f) for name, f in on_tables.items()} | {name: _on_corpus(f) for name, f in on_corpus.items()} | {f.__name__: f for f in plain}
-    out["fan_out"] = _on_tables(metrics.fan_out, threshold=1, limit=None)
-    out["refactor_priority"] = _on_tables(priority.refactor_priority, min_priority=30.0, limit=None)
+    limited = {"fan_out": (metrics.fan_out, {"threshold": 1, "limit": None}), "refactor_priority": (priority.refactor_priority, {"min_priority": 30.0, "limit": None})}
+    out |= {name: _on_tables(f, **options) for name, (f, options) in limited.items()}
+    for name in OF_EDGES:
+        f, options = limited.get(name, (on_tables.get(name), {}))
+        out[f"{name}_all_lines"] = _on_tables(f, all_lines=True, **options) if f else partial(out[name], all_lines=True)
     out["lexical_query"] = _on_tables(lexical.search, question=QUESTION, limit=None)
     out["lexical_query_and"] = _on_tables(lexical.search, question=QUESTION, limit=None, match_all=True)
     return out
