@@ -2,17 +2,17 @@
 
 Sets are put into bands of about equal size: the largest of a band is 1 / threshold times the smallest, so two
 similar sets lie in one band or in neighbouring ones, and every set signs for its own band and for the next. In
-a band two sets of Jaccard index at least guarantee differ in at most k features. The feature domain is cut into
+a band two sets of Jaccard index at least threshold differ in at most k features. The feature domain is cut into
 n1 partitions; one of them then holds at most k2 differences, n1 being (k + 1) / (k2 + 1). Each partition is cut
 into n2 parts, of which at least n2 - k2 are alike in both sets. Enumerating all choices of n2 - k2 parts, and
-signing for the features in them, so gives every such pair a signature in common. k2 and n2 are chosen by band
-for the number of sets, as few signatures as keep chance agreements rare.
+signing for the features in them, so gives every such pair a signature in common, whatever k2 and n2 are. These are
+chosen by band for the number of sets, as few signatures as keep chance agreements rare: they decide cost, not recall.
 
 Among sets that share a signature, those whose sketches (64 bits of MinHash, which travel with the signature) are near
 are tied in stars, whose edges grow with the signatures and not with their pairs. So a signature may be of few
 features, as sketches turn chance agreements away. All sets that edges connect meet in one group, once each, where
-every pair is verified on the whole sets; pairs from threshold on are reported. All pairs of index guarantee or more are found; between threshold and guarantee, a pair
-is found if a signature or a chain of them ties it, as is so for most (tests/llm hold recall against brute force).
+every pair is verified on the whole sets; pairs from threshold on are reported. All are found, but for the few whose
+sketches are far apart by chance and that no chain of others ties (tests/llm hold recall against brute force).
 
 Words are runs of letters, digits, underscores and non-ASCII characters of the lower-case text; a text of fewer
 than n words has the one n-gram of all its words. Features are 32-bit hashes of n-grams.
@@ -45,7 +45,6 @@ from sorrel.llm.textkit import U64, chunks, grouped, mix, owner, spread, texts
 class Join:
     n: int = 1
     threshold: float = 0.8
-    guarantee: float = 0.875
 
 
 @lru_cache(64)
@@ -60,21 +59,22 @@ def bands(threshold: float, largest: int) -> np.ndarray:
 def chance_limit(top: int) -> float:
     """Chance agreements by set that a band of sets of at most top features may have.
 
-    Sketches turn all but a few in ten thousand of them away where sets are large, and fewer where they are small;
-    what is left stays below about a tenth by set, so that chance doesn't chain sets into large groups.
+    Sketches turn all but one in ten thousand of them away where sets are large, one in thirty at 30 features, and
+    hardly any below; what is left stays below about a tenth by set where the shapes tried allow it, so that chance
+    doesn't chain sets into large groups.
     """
-    return 0.1 if top < 40 else 1.0 if top < 100 else 32.0 if top < 200 else 256.0
+    return 0.1 if top < 30 else 1.0 if top < 40 else 10.0 if top < 60 else 64.0 if top < 100 else 256.0 if top < 200 else 1024.0
 
 
 @lru_cache(4096)
-def shape(top: int, guarantee: float, sets: int) -> tuple[int, int, int]:
+def shape(top: int, threshold: float, sets: int) -> tuple[int, int, int]:
     """n1, k2 and n2 for a band of sets of at most top features, for a corpus of so many sets.
 
     Of the shapes whose expected number of chance agreements by set is within chance_limit(), that of fewest
     signatures; a signature for m features agrees by chance with probability of about exp(-1.36 m) (features that
     most sets share tell nothing, and sets smaller than top have fewer in it).
     """
-    k = floor(2 * (1 - guarantee) / (1 + guarantee) * top + 1e-9)
+    k = floor(2 * (1 - threshold) / (1 + threshold) * top + 1e-9)
     best = None
     for k2 in range(0, min(k, 5) + 1):
         n1 = ceil((k + 1) / (k2 + 1))
@@ -124,7 +124,7 @@ def signatures(features: np.ndarray, first: np.ndarray, join: Join, sets: int) -
         value = features[where].astype(U64)
         weight, place = mix(value + U64(0x27D4EB2F165667C5)), mix(value + U64(0x165667B19E3779F9))
         for instance in (band, band + 1):
-            n1, k2, n2 = shape(int(lows[instance + 1] - 1), join.guarantee, sets)
+            n1, k2, n2 = shape(int(lows[instance + 1] - 1), join.threshold, sets)
             salt = mix(np.array([instance * 1_000_003 + 17], U64))[0]
             spot = mix(place ^ salt)
             p1 = ((spot >> U64(32)) % U64(n1)).astype(np.int64)

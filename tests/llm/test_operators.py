@@ -196,6 +196,25 @@ def test_ngram_join(spark, n):
     assert got <= want and sure <= got and len(got) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("sets", [1_000, 10_000_000])
+def test_every_pair_shares_a_signature(sets):
+    """By size, for pairs of Jaccard index 0.8 to 0.875 of equal and of different sizes, as if in a corpus of so many sets."""
+    r, join = np.random.default_rng(5), ngram_join.Join()
+    for size in (5, 9, 12, 15, 20, 30, 50, 80, 120, 200):
+        for gone, new in ((size // 9, size // 9), (size // 5, 0)):
+            assert (size - gone) / (size + new) >= join.threshold
+            rows = []
+            for _ in range(40):
+                whole = r.integers(0, 2**32, size + new)
+                rows += [whole[:size], whole[gone:]]
+            first = np.append(0, np.cumsum([len(x) for x in rows]))
+            features = np.concatenate([np.sort(x) for x in rows]).astype(np.uint32)
+            signs, which, own = ngram_join.signatures(features, first, join, sets)
+            of = [({*signs[which == i].tolist()}, {*signs[(which == i) & own].tolist()}) for i in range(len(rows))]
+            found = [bool(a[0] & b[1] or a[1] & b[0]) for a, b in zip(of[::2], of[1::2])]
+            assert all(found), (size, gone, new, sum(found))
+
+
 def test_ties():
     near, far = 0, -1
     row = lambda sign, node, sketch, own=1: (sign, node * 2 + own, sketch)
