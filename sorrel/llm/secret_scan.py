@@ -1,7 +1,7 @@
 """Secret scan by assignment-aware lexing.
 
 Texts are lexed by the rules that source code and configuration share: strings in single, double or triple quotes
-(with escapes), comments, names (dotted, dashed or quoted as keys), numbers, operators. Assignments (name = value,
+(with escapes), comments (whose content is lexed like the rest), names (dotted, dashed or quoted as keys), numbers, operators. Assignments (name = value,
 name: value, name := value, name => value, "name": value, name("value") of setters, and bare values of .env and .ini
 files up to the end of the line) become pairs of a name and a literal. Constants are propagated: a value that is a
 name assigned before stands for that name's literal, and literals or constants joined by + or by juxtaposition are
@@ -34,7 +34,7 @@ _LEXER = re.compile(
     r"""
     (?P<space>[ \t\r\f\v]+)
   | (?P<line>\n)
-  | (?P<block>/\*.*?\*/|<!--.*?-->)
+  | (?P<block>/\*+|\*+/|<!--|-->)
   | (?P<triple>(?:[rRbBuUfF]{0,2})(?:\"\"\".*?\"\"\"|'''.*?'''))
   | (?P<string>(?:[rRbBuUfF]{1,2}(?=["']))?(?:"(?:[^"\\\n]|\\.)*"|(?<![^\W_])'(?:[^'\\\n]|\\.)*'|`[^`\n]*`))
   | (?P<comment>(?:\#|//|--[ ])(?=[^\n]*))
@@ -50,7 +50,7 @@ _LEXER = re.compile(
 )
 _BARE = re.compile(r"[^\s#;,'\"()\[\]{}<>]+")
 #: A line may hold a pair only if it has one of these signs next to a name or a quoted key.
-_SIGN = re.compile(r"[\w\"'\])}][ \t]*(?::=|=>|\+=|=(?!=)|:(?![:/]))[ \t]*\S|\(\s*[\"'`]")
+_SIGN = re.compile(r"[\w\"'\])}][ \t]*(?::=|=>|\+=|=(?!=)|:(?![:/]))\s*\S|\(\s*[\"'`]")
 
 WEIGHTS = {
     "password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.7, "bearer": 0.9,
@@ -85,7 +85,7 @@ def _bare_name(token: str) -> str:
 
 
 def lex(text: str) -> list[tuple[str, str, int]]:
-    """Kind, text and position of the tokens, white space within lines and comment blocks left out."""
+    """Kind, text and position of the tokens, white space within lines and the marks of comment blocks left out."""
     return [(m.lastgroup, m[0], m.start()) for m in _LEXER.finditer(text) if m.lastgroup not in ("space", "block")]
 
 
@@ -108,6 +108,7 @@ def pairs(text: str) -> list[Pair]:
         after = i + 1
         if after < n and tokens[after][1] == "]":  # settings["name"] = value
             after += 1
+        after, kind_name = _annotated(tokens, after)
         called = False
         if after + 1 < n and kind == "name" and tokens[after][1] == "(" and tokens[after + 1][0] == "string":
             called = after + 2 < n and tokens[after + 2][1] == ")"
@@ -118,19 +119,71 @@ def pairs(text: str) -> list[Pair]:
         if literal is None:
             i = after + 1
             continue
+        if kind_name and sensitivity(kind_name) > sensitivity(name):  # if password: token = "..." has no annotation
+            name = kind_name
         if tokens[after][1] == "+=":
             literal, propagated = constants.get(name, "") + literal, True
         if not called:
             constants[name] = constants[name.rsplit(".", 1)[-1]] = literal
         out.append(Pair(name, literal, at, propagated))
+        while not called and tokens[after + 1][0] in ("open", "line") and j < n and tokens[j][1] == ",":  # the list's other values
+            literal, propagated, after_it = _value(text, tokens, j, constants)
+            if literal is None:
+                break
+            out.append(Pair(name, literal, tokens[after_it - 1][2], propagated))
+            j = after_it
         i = max(j, after + 1)
     return out
 
 
+_TYPE_SIGNS = {"[", "]", "<", ">", "|", "&", "*", "?", "'", "(", ")", "{", "}"}
+_BEFORE_TYPE = {"static", "mut", "const", "dyn", "final", "readonly", "unsigned", "'"}
+
+
+def _annotated(tokens: list[tuple[str, str, int]], j: int) -> tuple[int, str | None]:
+    """The sign after a name: j, or that after a type that stands at j (": str =", "?: string =", "string =" of Go), and the type's last name."""
+    n, begin = len(tokens), j
+    if j < n and tokens[j][1] in ("?", "!"):
+        j += 1
+    typed = j < n and tokens[j][1] == ":"
+    if typed:
+        j += 1
+    elif not (j < n and (tokens[j][1] in ("string", "[") and j == begin)):
+        return begin, None
+    last, depth, first = None, 0, j
+    while j < n and j < first + 24:
+        kind, value, _ = tokens[j]
+        if value == "=" and depth == 0:
+            whole = typed or tokens[j - 1][1] == "string"
+            return (j, last if typed else None) if last and whole else (begin, None)
+        if kind == "name":
+            if j > first and tokens[j - 1][0] == "name" and tokens[j - 1][1] not in _BEFORE_TYPE:
+                break
+            last = _bare_name(value)
+        elif value == "," and depth or value in _TYPE_SIGNS:
+            depth += (value in ("[", "(", "{", "<")) - (value in ("]", ")", "}", ">"))
+        else:
+            break
+        j += 1
+    return begin, None
+
+
+def _opened(tokens: list[tuple[str, str, int]], j: int) -> int:
+    """The string that token j leads to by opening brackets, commas, line ends and list types alone, or j."""
+    n, begin = len(tokens), j
+    while j < n and (tokens[j][0] in ("open", "line") and tokens[j][1] != ";" or tokens[j][1] == "]" or tokens[j][0] == "name" and j + 1 < n and tokens[j + 1][1] == "{" and j > begin and tokens[j - 1][1] == "]"):
+        j += 1
+    if j > begin and j < n and tokens[j][0] in ("string", "triple") and not (j + 1 < n and tokens[j + 1][0] == "assign"):
+        return j
+    return begin
+
+
 def _value(text: str, tokens: list[tuple[str, str, int]], j: int, constants: dict[str, str]) -> tuple[str | None, bool, int]:
     """The literal that starts at token j, whether it came through constants, and the token after it."""
     parts: list[str] = []
     propagated, n, begin = False, len(tokens), j
+    j = _opened(tokens, j)
+    wrapped = any(tokens[k][1] == "(" for k in range(begin, j))  # strings on several lines are one
     while j < n:
         kind, value, at = tokens[j]
         if kind in ("string", "triple"):
@@ -141,9 +194,16 @@ def _value(text: str, tokens: list[tuple[str, str, int]], j: int, constants: dic
         else:
             break
         j += 1
+        after = j
+        while wrapped and after < n and tokens[after][0] == "line":
+            after += 1
+        if after < n and tokens[after][0] in ("string", "triple", "join"):
+            j = after
         if j < n and tokens[j][0] == "join":
             j += 1
-        elif not (j < n and tokens[j][0] in ("string", "triple") and parts and tokens[j - 1][0] in ("string", "triple")):
+            while j < n and tokens[j][0] == "line":
+                j += 1
+        elif not (j < n and tokens[j][0] in ("string", "triple") and parts and (wrapped or tokens[j - 1][0] in ("string", "triple"))):
             break
     if parts:
         return "".join(parts), propagated or len(parts) > 1, j
@@ -153,7 +213,8 @@ def _value(text: str, tokens: list[tuple[str, str, int]], j: int, constants: dic
             while j < n and tokens[j][2] < m.end():
                 j += 1
             if not (j < n and tokens[j][1] in ("(", "[")):  # a call or an index isn't a literal
-                return m[0], False, j
+                bare = m[0].removesuffix("--") if text.startswith(">", m.end()) else m[0].removesuffix("*/")  # a comment's end
+                return bare, False, j
     return None, False, begin
 
 
@@ -171,6 +232,11 @@ def name_words(name: str) -> list[str]:
     return words + [a + b for a, b in zip(words, words[1:])]
 
 
+def sensitivity(name: str) -> float:
+    """The weight of the most sensitive word in a name."""
+    return max((WEIGHTS.get(w.removesuffix("s") if w not in WEIGHTS else w, 0.0) for w in name_words(name)), default=0.0)
+
+
 def score(name: str, literal: str) -> float:
     """Between 0 and 1: how much the pair looks like a secret."""
     if PREFIXES.match(literal):
@@ -178,7 +244,7 @@ def score(name: str, literal: str) -> float:
     if len(literal) < 6 or PLACEHOLDER.match(literal) or literal.count(" ") > 3:
         return 0.0
     words = name_words(name)
-    sensitive = max((WEIGHTS.get(w.removesuffix("s") if w not in WEIGHTS else w, 0.0) for w in words), default=0.0)
+    sensitive = sensitivity(name)
     if not sensitive:
         return 0.0
     if any(w in HARMLESS for w in words):

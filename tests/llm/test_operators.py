@@ -419,6 +419,30 @@ def test_assignments(text, want):
     assert brute_pairs_of(text) == want
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ('/* password = "abc123XYZ789" */', [("password", "abc123XYZ789")]),
+        ("<!-- api_key: s3cr3tvalue9 -->", [("api_key", "s3cr3tvalue9")]),
+        ("/*key=s3cr3tvalue9*/", [("key", "s3cr3tvalue9")]),
+        ('cp /data/* x\ntoken = "abc123"\n*/5 * * * * run', [("token", "abc123")]),
+        ('password: str = "abc123"', [("password", "abc123")]),
+        ('const apiKey: string = "abc123"', [("apiKey", "abc123")]),
+        ('key: Optional[dict[str, int]] = "abc123"', [("key", "abc123")]),
+        ('let key: &\'static str = "abc123";', [("key", "abc123")]),
+        ('if user: token = "abc123"', [("token", "abc123")]),
+        ('var token string = "abc123"', [("token", "abc123")]),
+        ('key = (\n    "abc"\n    "def"\n)', [("key", "abcdef")]),
+        ('key =\n    "abc123"', [("key", "abc123")]),
+        ('key = "abc" +\n    "def"', [("key", "abcdef")]),
+        ('tokens = ["abc123", "def456"]', [("tokens", "abc123"), ("tokens", "def456")]),
+        ('{"auth": {"user": "bob", "password": "p@ss"}}', [("user", "bob"), ("password", "p@ss")]),
+    ],
+)
+def test_assignments_in_all_forms(text, want):
+    assert brute_pairs_of(text) == want and secret_scan._SIGN.search(text)
+
+
 def test_secret_scan(spark, odd, none):
     key = "AKIA" + "ABCDEFGH12345678"
     texts = [f'note = "{key}"', 'password = "changeme"', 'part1 = "Zx81kQ90"\npart2 = "mW3vB7tt"\nclient_secret = part1 + part2', 'greeting = "Zx81kQ90mW3vB7tt"', "The password: is kept elsewhere, he said.", 'test_password_label = "Zx81kQ90mW3vB7tt"']
