@@ -54,11 +54,14 @@ _SIGN = re.compile(r"[\w\"'\])}][ \t]*(?::=|=>|\+=|=(?!=)|:(?![:/]))\s*\S|\(\s*[
 
 WEIGHTS = {
     "password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.7, "bearer": 0.9,
-    "private": 0.5, "access": 0.4, "key": 0.6, "signature": 0.6, "salt": 0.6, "cookie": 0.5, "session": 0.5, "cert": 0.5, "dsn": 0.7, "webhook": 0.6, "pin": 0.4, "pass": 0.8,
+    "private": 0.5, "access": 0.5, "key": 0.6, "signature": 0.6, "salt": 0.6, "cookie": 0.5, "session": 0.5, "cert": 0.5, "dsn": 0.7, "webhook": 0.6, "pin": 0.5, "pass": 0.8,
 }
+#: Names whose literals may be of many words.
+PHRASES = {"pass", "passphrase"}
 HARMLESS = {"test", "example", "sample", "dummy", "public", "pub", "id", "name", "type", "count", "length", "size", "url", "uri", "path", "file", "field", "label", "header", "max", "min", "num", "limit", "word", "primary", "foreign", "sort", "cache"}
 PREFIXES = re.compile(r"^(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_\w{20,}|github_pat_\w{20,}|glpat-[\w-]{16,}|xox[abprs]-[\w-]{10,}|sk_live_\w{10,}|rk_live_\w{10,}|AIza[\w-]{30,}|ya29\.[\w.-]+|eyJ[\w-]{8,}\.[\w-]+\.[\w-]*|-----BEGIN [A-Z ]*PRIVATE KEY)")
-PLACEHOLDER = re.compile(r"^(?:|x+|\*+|\.+|-+|_+|<.*>|\$\{.*\}|\$\w+|%\w+%|\{\{.*\}\}|(?:your|my|change|enter|insert|replace|example|dummy|sample|todo|none|null|nil|true|false|undefined|password|secret|token|key)[\w -]*)$", re.IGNORECASE)
+PLACEHOLDER = re.compile(r"^(?:|x+|\*+|\.+|-+|_+|<.*>|\$\{.*\}|\$\w+|%\w+%|\{\{.*\}\})$", re.IGNORECASE)
+_STEM = re.compile(r"(?:your|my|change|enter|insert|replace|example|dummy|sample|todo|none|null|nil|true|false|undefined|password|secret|token|key)([A-Za-z_ -]*)$", re.IGNORECASE)
 _ESCAPE = re.compile(r"\\(.)", re.DOTALL)
 
 
@@ -237,13 +240,24 @@ def sensitivity(name: str) -> float:
     return max((WEIGHTS.get(w.removesuffix("s") if w not in WEIGHTS else w, 0.0) for w in name_words(name)), default=0.0)
 
 
+def placeholder(literal: str) -> bool:
+    """Whether the literal stands for one to be put in: a sign, or a stem and words after it, without digits or random letters."""
+    if PLACEHOLDER.match(literal):
+        return True
+    m = _STEM.match(literal)
+    if not m:
+        return False
+    words = _SPLIT.findall(m[1])
+    return not words or max(map(len, words)) <= 12 and sum(map(len, words)) >= 3 * len(words) - 2
+
+
 def score(name: str, literal: str) -> float:
     """Between 0 and 1: how much the pair looks like a secret."""
     if PREFIXES.match(literal):
         return 1.0
-    if len(literal) < 6 or PLACEHOLDER.match(literal) or literal.count(" ") > 3:
-        return 0.0
     words = name_words(name)
+    if len(literal) < 6 or placeholder(literal) or literal.count(" ") > 3 and not PHRASES.intersection(words):
+        return 0.0
     sensitive = sensitivity(name)
     if not sensitive:
         return 0.0

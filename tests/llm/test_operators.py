@@ -443,6 +443,12 @@ def test_assignments_in_all_forms(text, want):
     assert brute_pairs_of(text) == want and secret_scan._SIGN.search(text)
 
 
+def test_placeholders_are_words():
+    real = [("password", "key-3ax6xnjp29jd6fds4gc373sgvjxteol0"), ("password", "secret_aQzRvTbXkLmWnPoYsUcJdHfGeIqBwVxKtZyMrNlOpSu"), ("password", "MySecr3tPassw0rd99"), ("passphrase", "correct horse battery staple under water"), ("access", "Zx81kQ90mW3vB7tt"), ("pin", "Zx81kQ90mW3vB7tt")]
+    assert all(secret_scan.score(n, v) >= 0.5 for n, v in real)
+    assert not any(secret_scan.score("password", v) for v in ("changeme", "your-api-key-here", "YOUR_PASSWORD_HERE", "my secret password", "MySecretPassword", "example_token", "a note of more than five words"))
+
+
 def test_secret_scan(spark, odd, none):
     key = "AKIA" + "ABCDEFGH12345678"
     texts = [f'note = "{key}"', 'password = "changeme"', 'part1 = "Zx81kQ90"\npart2 = "mW3vB7tt"\nclient_secret = part1 + part2', 'greeting = "Zx81kQ90mW3vB7tt"', "The password: is kept elsewhere, he said.", 'test_password_label = "Zx81kQ90mW3vB7tt"']
