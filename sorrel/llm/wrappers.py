@@ -7,7 +7,8 @@ both have text, it is a slot; where one has tokens that the other lacks, they be
 tokens left over repeat what stands beside them, they become a repeated group. There are no unions: tokens that can't
 be aligned are options one after the other.
 
-A slot whose text is the same on all pages of a host that have it, several of them, is part of the template, and one
+A slot whose text is the same on all pages of a host that have it, several different ones and a tenth of the host's at
+least, is part of the template, and one
 inside nav, footer, aside, form or menu is furniture; extraction gives the texts of the other slots. Scripts, styles
 and comments are no tokens, and inline markup (b, i, a, span, ...) is part of the text around it.
 
@@ -15,8 +16,8 @@ Streams are found in one pass and meet by host, one row for each distinct stream
 heavier than their variety. Extraction reads each page once more and looks its stream up in its host's wrapper.
 
 Defined results: null and empty html, and pages without text, give text "" and 0 slots. A null url, or one without a
-host, belongs to host "". A host with a single page has no text to call template. Repeated
-rows are pages like others. Columns other than page_id, url and html are ignored.
+host, belongs to host "". A host with a single page, or copies of one, has no text to call template. Copies (pages of
+the same texts) count once for the template, and are extracted like others. Columns other than page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*
 FURNITURE = {"nav", "footer", "aside", "form", "menu"}
 TEXT = "#"
 MAX_PERIOD = 12
+#: A slot must be on this share of a host's distinct pages for its text to count as template.
+SHARE = 0.1
 
 
 def tokens(page: str) -> list[tuple[str, str]]:
@@ -252,19 +255,19 @@ def _mark(text: str) -> bytes:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()
 
 
-STREAMS = "host string, stream string, pages long, least array<binary>, most array<binary>"
+STREAMS = "host string, stream string, pages long, kinds array<binary>, least array<binary>, most array<binary>"
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each host and distinct stream: its pages, and the least and greatest text of each entry, as hashes."""
+    """For each host and distinct stream: its pages, distinct ones by a hash of their texts, and the least and greatest text of each entry, as hashes."""
     known: dict[tuple[str, str], list] = {}
 
     def flush() -> pa.RecordBatch:
-        rows = [(h, s, n, lo, hi) for (h, s), (n, lo, hi) in known.items()]
+        rows = [(h, s, n, sorted(kinds), lo, hi) for (h, s), (n, lo, hi, kinds) in known.items()]
         known.clear()
-        columns = list(zip(*rows)) if rows else [()] * 5
-        types = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.binary())]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["host", "stream", "pages", "least", "most"])
+        columns = list(zip(*rows)) if rows else [()] * 6
+        types = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["host", "stream", "pages", "kinds", "least", "most"])
 
     for batch in batches:
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html")):
@@ -275,13 +278,15 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 m = _mark(text)
                 lo[entry] = m if lo[entry] is None else min(lo[entry], m)
                 hi[entry] = m if hi[entry] is None else max(hi[entry], m)
+            kind = _mark("\n".join(texts))
             got = known.get((host, stream))
             if got:
                 got[0] += 1
+                got[3].add(kind)
                 got[1] = [x if y is None else y if x is None else min(x, y) for x, y in zip(got[1], lo)]
                 got[2] = [x if y is None else y if x is None else max(x, y) for x, y in zip(got[2], hi)]
             else:
-                known[host, stream] = [1, lo, hi]
+                known[host, stream] = [1, lo, hi, {kind}]
         if len(known) > 20_000:
             yield flush()
     yield flush()
@@ -306,8 +311,9 @@ def _infer(table: pa.Table) -> pa.Table:
     """The wrapper of one host: for each of its streams the parts that its entries became, and which are template."""
     merged: dict[str, list] = {}
     for r in table.to_pylist():
-        got = merged.setdefault(r["stream"], [0, r["least"], r["most"]])
+        got = merged.setdefault(r["stream"], [0, r["least"], r["most"], set()])
         got[0] += r["pages"]
+        got[3].update(r["kinds"])
         got[1] = [x if y is None else y if x is None else min(x, y) for x, y in zip(got[1], r["least"])]
         got[2] = [x if y is None else y if x is None else max(x, y) for x, y in zip(got[2], r["most"])]
     order = sorted(merged, key=lambda s: (-merged[s][0], s))
@@ -318,13 +324,14 @@ def _infer(table: pa.Table) -> pa.Table:
     most: dict[int, bytes] = {}
     pages: dict[int, int] = {}
     for stream in order:
-        n, lo, hi = merged[stream]
+        _, lo, hi, kinds = merged[stream]
         for slot, a, b in zip(slots[stream], lo, hi):
             if a is not None:
                 least[slot] = min(least.get(slot, a), a)
                 most[slot] = max(most.get(slot, b), b)
-                pages[slot] = pages.get(slot, 0) + n
-    template = {slot for slot in least if least[slot] == most[slot] and pages[slot] > 1}
+                pages[slot] = pages.get(slot, 0) + len(kinds)
+    enough = max(2, SHARE * sum(len(kinds) for *_, kinds in merged.values()))
+    template = {slot for slot in least if least[slot] == most[slot] and pages[slot] >= enough}
     host = table.column("host")[0].as_py()
     return pa.table({"host": pa.array([host] * len(order), pa.string()), "stream": pa.array(order, pa.string()), "stream_id": pa.array([_stream_id(s) for s in order], pa.int64()), "wrapper": pa.array([str(wrapper)] * len(order), pa.string()), "slots": pa.array([slots[s] for s in order], pa.list_(pa.int32())), "drop": pa.array([[x in template or f for x, f in zip(slots[s], furniture(s.split("\n")))] if s else [] for s in order], pa.list_(pa.bool_()))})
 

@@ -500,6 +500,16 @@ def test_wrappers(spark, none):
     assert wrappers.extract(df.limit(0)).count() == 0
 
 
+def test_wrappers_of_copies(spark):
+    """Copies don't make a template, nor do two of many pages."""
+    one = page("T", ["alpha beta"])
+    rare = [page(f"t{i}", [f"p{i}"], "<blockquote>Seldom</blockquote>" if i < 2 else "") for i in range(40)]
+    rows = [(i, "http://copies.org/", one) for i in range(3)] + [(100 + i, "http://rare.org/", h) for i, h in enumerate(rare)]
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(docs_of(spark, rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(3)} == {"T\nT\nalpha beta\nAll rights reserved"}
+    assert got[100] == "t0\nt0\nSeldom\np0" and got[139] == "t39\nt39\np39"
+
+
 def test_alignment():
     w = wrappers.Wrapper()
     for s in (["h1", "#", "/h1", "p", "#", "/p"], ["h1", "#", "/h1", "h2", "#", "/h2", "p", "#", "/p"], ["h1", "#", "/h1"]):
