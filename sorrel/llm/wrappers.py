@@ -9,7 +9,7 @@ be aligned are options one after the other.
 
 A slot whose text is the same on all pages of a host that have it, several different ones and a tenth of the host's at
 least, is part of the template, and one
-inside nav, footer, aside, form or menu is furniture; extraction gives the texts of the other slots. Scripts, styles
+inside nav, footer, aside or menu is furniture; extraction gives the texts of the other slots. Scripts, styles
 and comments are no tokens, and inline markup (b, i, a, span, ...) is part of the text around it.
 
 Streams are found in one pass and meet by host, one row for each distinct stream, so hosts with many pages are no
@@ -36,7 +36,10 @@ from sorrel.llm.storage import limited_broadcast, stored
 
 INLINE = {"a", "abbr", "b", "bdi", "big", "br", "cite", "code", "em", "font", "i", "img", "kbd", "label", "mark", "q", "s", "small", "span", "strong", "sub", "sup", "tt", "u", "wbr"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>", re.DOTALL | re.IGNORECASE)
-FURNITURE = {"nav", "footer", "aside", "form", "menu"}
+FURNITURE = {"nav", "footer", "aside", "menu"}
+#: Elements at which furniture that was never closed ends.
+CONTENT = {"article", "main", "section", "h1"}
+_WORDS = re.compile(r"[^()+ ]+")
 TEXT = "#"
 MAX_PERIOD = 12
 #: A slot must be on this share of a host's distinct pages for its text to count as template.
@@ -296,14 +299,33 @@ WRAPPERS = "host string, stream string, stream_id long, wrapper string, slots ar
 
 
 def furniture(entries: list[str]) -> list[bool]:
-    """Which entries of a stream lie inside an element of FURNITURE."""
-    depth, out = 0, []
-    for key in entries:
-        if key in FURNITURE:
-            depth += 1
-        elif key[0] == "/" and key[1:] in FURNITURE:
-            depth = max(0, depth - 1)
-        out.append(depth > 0)
+    """Which entries of a stream lie inside an element of FURNITURE.
+
+    One that isn't closed before what is around it ends there, or where an element of CONTENT opens.
+    """
+    out, stack = [False] * len(entries), []
+
+    def mark(begin: int, end: int, closed: bool) -> None:
+        if not closed:
+            end = next((i for i in range(begin + 1, end) if CONTENT.intersection(_WORDS.findall(entries[i]))), end)
+        out[begin:end] = [True] * (end - begin)
+
+    opened: dict[str, int] = {}
+    for at, key in enumerate(entries):
+        if key[0] == "/" and opened.get(key[1:]):
+            while True:
+                tag, begin = stack.pop()
+                opened[tag] -= 1
+                if tag in FURNITURE:
+                    mark(begin, at, tag == key[1:])
+                if tag == key[1:]:
+                    break
+        elif key[0] not in "/(#":
+            stack.append((key, at))
+            opened[key] = opened.get(key, 0) + 1
+    for tag, begin in stack:
+        if tag in FURNITURE:
+            mark(begin, len(entries), False)
     return out
 
 

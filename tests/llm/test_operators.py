@@ -510,6 +510,21 @@ def test_wrappers_of_copies(spark):
     assert got[100] == "t0\nt0\nSeldom\np0" and got[139] == "t39\nt39\np39"
 
 
+@pytest.mark.parametrize(
+    ("entries", "kept"),
+    [
+        ("body form # /form /body", [True]),
+        ("body nav # h1 # /h1 p # /p /body", [False, True, True]),
+        ("body div aside # /div p # /p /body", [False, True]),
+        ("body nav section # /section # /nav p # /p /body", [False, False, True]),
+        ("body nav # /nav footer # (article # /article)+ # /body", [False, False, True]),
+    ],
+)
+def test_furniture(entries, kept):
+    entries = re.findall(r"\(.*?\)\+|\S+", entries)
+    assert [not f for e, f in zip(entries, wrappers.furniture(entries)) if e == "#"] == kept
+
+
 def test_alignment():
     w = wrappers.Wrapper()
     for s in (["h1", "#", "/h1", "p", "#", "/p"], ["h1", "#", "/h1", "h2", "#", "/h2", "p", "#", "/p"], ["h1", "#", "/h1"]):
