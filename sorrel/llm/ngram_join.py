@@ -1,44 +1,55 @@
 """Similarity join of documents by the Jaccard index of their word n-gram sets, with PartEnum signatures.
 
 Sets are put into bands of about equal size: the largest of a band is 1 / threshold times the smallest, so two
-similar sets lie in one band or in neighbouring ones, and every set signs for its own band and for the next. In
-a band two sets of Jaccard index at least threshold differ in at most k features. The feature domain is cut into
-n1 partitions; one of them then holds at most k2 differences, n1 being (k + 1) / (k2 + 1). Each partition is cut
-into n2 parts, of which at least n2 - k2 are alike in both sets. Enumerating all choices of n2 - k2 parts, and
-signing for the features in them, so gives every such pair a signature in common, whatever k2 and n2 are. These are
-chosen by band for the number of sets, as few signatures as keep chance agreements rare: they decide cost, not recall.
-
-Among sets that share a signature, those whose sketches (64 bits of MinHash, which travel with the signature) are near
-are tied in stars, whose edges grow with the signatures and not with their pairs. So a signature may be of few
-features, as sketches turn chance agreements away. All sets that edges connect meet in one group, once each, where
-every pair is verified on the whole sets; pairs from threshold on are reported. All are found, but for the few whose
-sketches are far apart by chance and that no chain of others ties (tests/llm hold recall against brute force).
+similar sets lie in one band or in neighbouring ones, and every set signs for its own band and for the next. The
+signatures (sorrel.llm.partenum) enumerate subsets of partitions of the feature domain so that any two sets of Jaccard
+index threshold or more share one. They travel packed, some four bytes each, by blocks of sets.
+
+Sets that share a signature are pairs to look at or, in groups of many, are tied to centres with a near sketch; a pair
+of centres stands for the pairs of those behind them. Pairs are left out only where they can't be similar: parity
+bitmaps differ in no more bits than the sets in features, and by the triangle inequality those behind two centres are
+no nearer than the centres less the two radii. What is left connects sets into groups; in these, all pairs are
+verified on the whole sets, in blocks of BLOCK_SETS, each pair of blocks by a task of its own. So no link is lost, and
+how sets met decides cost only.
+
+classes() gives a row for each document: its class (documents connected by links, named by the smallest doc_id) and
+its number of links, that is of other documents whose index with it is threshold or more. Copies (documents of equal
+sets) are verified once and counted as often as they occur. keep_one() keeps one document of each class.
 
 Words are runs of letters, digits, underscores and non-ASCII characters of the lower-case text; a text of fewer
 than n words has the one n-gram of all its words. Features are 32-bit hashes of n-grams.
 
-Defined results: documents without words (null and empty texts too) and with a null doc_id are in no pair.
-Documents of equal sets are tied to the one of smallest doc_id (jaccard 1), which stands for them in other
-pairs; doc_a is below doc_b. Rows of one doc_id and set count once; a doc_id with several texts is in pairs by
-each of them, never with itself. Columns other than doc_id and text are ignored, or passed through by keep_one().
+Defined results: rows with a null doc_id have no row in classes() and are kept by keep_one(). A document without
+words (null and empty texts too) is a class of its own without links. A document is a doc_id with a set: rows that agree in
+both count once, a doc_id with texts of several sets has a row for each, and of these keep_one() removes those that
+are in another document's class, by their text. Of several rows of the document that stays, those with the
+smallest text hash stay if their texts differ, and all of them if the texts are equal. Columns other than doc_id and
+text are ignored, or passed through by keep_one().
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
-from itertools import combinations
-from math import ceil, comb, exp, floor
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sorrel.llm.storage import fresh, limited_broadcast, stored
-from sorrel.llm.textkit import U64, chunks, grouped, mix, owner, spread, texts
+from sorrel.llm import partenum
+from sorrel.llm.partenum import BLOCK, VALUE, Weights
+from sorrel.llm.storage import discard, fresh, limited_broadcast, size_in_bytes, stored
+from sorrel.llm.textkit import U64, chunks, mix, owner, texts
+
+#: Signatures that one task sorts.
+BUCKET = 1_500_000
+#: Bytes of edges that one task connects.
+ONE_TASK = 32 << 20
+#: Sets of a group that one task compares with so many others.
+BLOCK_SETS = 1_500
 
 
 @dataclass(frozen=True)
@@ -47,46 +58,6 @@ class Join:
     threshold: float = 0.8
 
 
-@lru_cache(64)
-def bands(threshold: float, largest: int) -> np.ndarray:
-    """Smallest size of each band, one beyond the last that holds largest."""
-    lows = [1]
-    while lows[-1] <= largest:
-        lows.append(floor(lows[-1] / threshold + 1e-9) + 1)
-    return np.array([*lows, floor(lows[-1] / threshold + 1e-9) + 1], np.int64)
-
-
-def chance_limit(top: int) -> float:
-    """Chance agreements by set that a band of sets of at most top features may have.
-
-    Sketches turn all but one in ten thousand of them away where sets are large, one in thirty at 30 features, and
-    hardly any below; what is left stays below about a tenth by set where the shapes tried allow it, so that chance
-    doesn't chain sets into large groups.
-    """
-    return 0.1 if top < 30 else 1.0 if top < 40 else 10.0 if top < 60 else 64.0 if top < 100 else 256.0 if top < 200 else 1024.0
-
-
-@lru_cache(4096)
-def shape(top: int, threshold: float, sets: int) -> tuple[int, int, int]:
-    """n1, k2 and n2 for a band of sets of at most top features, for a corpus of so many sets.
-
-    Of the shapes whose expected number of chance agreements by set is within chance_limit(), that of fewest
-    signatures; a signature for m features agrees by chance with probability of about exp(-1.36 m) (features that
-    most sets share tell nothing, and sets smaller than top have fewer in it).
-    """
-    k = floor(2 * (1 - threshold) / (1 + threshold) * top + 1e-9)
-    best = None
-    for k2 in range(0, min(k, 5) + 1):
-        n1 = ceil((k + 1) / (k2 + 1))
-        for n2 in range(k2 + 1, 11) if k2 else (1,):
-            signs = n1 * comb(n2, k2)
-            chance = signs * sets / 20 * exp(-1.36 * top / n1 * (n2 - k2) / n2)
-            rank = (max(chance_limit(top), chance), signs)
-            if best is None or rank < best[0]:
-                best = rank, (n1, k2, n2)
-    return best[1]
-
-
 def feature_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted 32-bit features of all texts, and the first of each text."""
     body = texts(column, lower=True)
@@ -111,220 +82,312 @@ def set_hashes(features: np.ndarray, first: np.ndarray) -> np.ndarray:
     return (mix((run[first[1:]] - run[first[:-1]]) ^ np.diff(first).astype(U64)) >> U64(2)).astype(np.int64)
 
 
-def signatures(features: np.ndarray, first: np.ndarray, join: Join, sets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signature, index of its set, and whether it is of the set's own band (else of the next)."""
-    sizes = np.diff(first)
-    lows = bands(join.threshold, int(sizes.max(initial=1)))
-    own = np.searchsorted(lows, sizes, "right") - 1
-    out = []
-    for band in np.unique(own[sizes > 0]):
-        members = np.flatnonzero((own == band) & (sizes > 0))
-        where = spread(first[:-1][members], sizes[members])
-        local = np.repeat(np.arange(len(members)), sizes[members])
-        value = features[where].astype(U64)
-        weight, place = mix(value + U64(0x27D4EB2F165667C5)), mix(value + U64(0x165667B19E3779F9))
-        for instance in (band, band + 1):
-            n1, k2, n2 = shape(int(lows[instance + 1] - 1), join.threshold, sets)
-            salt = mix(np.array([instance * 1_000_003 + 17], U64))[0]
-            spot = mix(place ^ salt)
-            p1 = ((spot >> U64(32)) % U64(n1)).astype(np.int64)
-            p2 = ((spot & U64(0xFFFFFFFF)) % U64(n2)).astype(np.int64)
-            cells = np.zeros(len(members) * n1 * n2, U64)
-            np.add.at(cells, (local * n1 + p1) * n2 + p2, weight)
-            cells = cells.reshape(len(members), n1, n2)
-            total = cells.sum(axis=2)
-            slot = salt + np.arange(n1, dtype=U64) * U64(0x9E3779B97F4A7C15)
-            for number, gone in enumerate(combinations(range(n2), k2)):
-                rest = total - cells[:, :, list(gone)].sum(axis=2) if gone else total
-                out.append((mix(rest ^ mix(slot + U64(number))).ravel(), np.repeat(members, n1), np.full(rest.size, instance == band)))
-    if not out:
-        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, bool)
-    return tuple(np.concatenate(x) for x in zip(*out))
-
-
-BINS = 64
-#: Sketches of sets of Jaccard index 0.8 differ in 6.4 bits on average, with a standard deviation of 2.4.
-FAR = 14
-
-
-def sketches(features: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """BINS bits of each set: one of the smallest hash of each bin (one-permutation MinHash); 0 of empty bins."""
-    value = mix(features.astype(U64) + U64(0x2545F4914F6CDD1D))
-    least = np.full((len(first) - 1) * BINS, 2**64 - 1, U64)
-    np.minimum.at(least, owner(first) * BINS + (value >> U64(58)).astype(np.int64), value << U64(6))
-    bits = ((least >> U64(6)) & U64(1)).astype(bool) & (least != U64(2**64 - 1))
-    return np.packbits(bits.reshape(-1, BINS), axis=1).view(np.int64).ravel()
-
-
-SETS = "doc_id long, node long, features binary"
+def _blobs(data: np.ndarray, at: np.ndarray, width: int, keep: np.ndarray) -> pa.Array:
+    """data[at[i]:at[i + 1]] as binary for the rows to keep, null for the others."""
+    sizes = np.where(keep, np.diff(at), 0)
+    used = data[np.repeat(keep, np.diff(at))]
+    offsets = np.append(0, np.cumsum(sizes * width)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(keep), [pa.py_buffer(np.packbits(keep, bitorder="little").tobytes()), pa.py_buffer(offsets.tobytes()), pa.py_buffer(used.tobytes())])
 
 
-def sets_of(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, node (the set's hash) and features of the documents that have words."""
+def _from_blobs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    blobs = column.to_pylist()
+    return np.frombuffer(b"".join(blobs), np.uint32), np.append(0, np.cumsum([len(b) // 4 for b in blobs], dtype=np.int64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, "text"):
-            features, first = feature_sets(part.column("text"), n)
-            offsets = pa.py_buffer((first * 4).astype(np.int32).tobytes())
-            blobs = pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, offsets, pa.py_buffer(features.tobytes())])
-            whole = pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(set_hashes(features, first)), blobs], ["doc_id", "node", "features"])
-            yield whole.filter(pa.array((np.diff(first) > 0) & part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)))
 
-    return docs.select("doc_id", "text").mapInArrow(run, SETS)
+SETS = "id long, rep long, doc_id long, digest long, node long, size int, features binary, bitmap binary"
+
 
+def sets_of(docs: DataFrame, n: int) -> DataFrame:
+    """The documents that have a doc_id, numbered in blocks; node is the set's hash (of size 0: 0).
 
-SIGNED = "sign long, node long, sketch long"
+    rep is the first row of the same set in the block; only it has features and bitmap.
+    """
 
+    def block(start: int, parts: list[tuple]) -> pa.RecordBatch:
+        features = np.concatenate([p[0] for p in parts])
+        sizes = np.concatenate([np.diff(p[1]) for p in parts])
+        first = np.append(0, np.cumsum(sizes))
+        node = np.where(sizes > 0, set_hashes(features, first), 0)
+        _, lead, back = np.unique(node, return_index=True, return_inverse=True)
+        ids = start + np.arange(len(node))
+        keep = (lead[back] == np.arange(len(node))) & (sizes > 0)
+        maps, at = partenum.bitmaps(features, first)
+        rows = [pa.array(ids), pa.array(ids[lead[back]]), *(pa.concat_arrays([p[i] for p in parts]) for i in (2, 3)), pa.array(node), pa.array(sizes.astype(np.int32)), _blobs(features, first, 4, keep), _blobs(maps, at, 8, keep)]
+        return pa.RecordBatch.from_arrays(rows, ["id", "rep", "doc_id", "digest", "node", "size", "features", "bitmap"])
 
-def _sign(join: Join, sets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, parts, rows, volume = TaskContext.get().partitionId() << 36, [], 0, 0
+        for chunk in chunks(batches, "text"):
+            for part in (chunk.slice(i, 256) for i in range(0, chunk.num_rows, 256)):
+                if parts and (rows + part.num_rows > 1 << BLOCK or volume > 4_000_000):
+                    yield block(start, parts)
+                    start, parts, rows, volume = start + (1 << BLOCK), [], 0, 0
+                features, first = feature_sets(part.column("text"), n)
+                parts.append((features, first, part.column("doc_id"), part.column("digest")))
+                rows, volume = rows + part.num_rows, volume + len(features)
+        if parts:
+            yield block(start, parts)
+
+    return docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("digest")).mapInArrow(run, SETS)
+
+
+def _weights(reps: DataFrame, sets: int) -> Weights:
+    """What each feature tells, from counts over all sets: one table of 2 ** CELLS numbers, whatever the corpus."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << partenum.CELLS, np.int64)
         for batch in batches:
-            for part in (batch.slice(at, 500) for at in range(0, batch.num_rows, 500)):
-                blobs = part.column("features").to_pylist()
-                features = np.frombuffer(b"".join(blobs), np.uint32)
-                first = np.append(0, np.cumsum([len(b) // 4 for b in blobs]))
-                signs, which, own = signatures(features, first, join, sets)
-                node = part.column("node").to_numpy()[which] * 2 + own
-                sketch = sketches(features, first)[which]
-                yield pa.RecordBatch.from_arrays([pa.array(signs.view(np.int64)), pa.array(node), pa.array(sketch)], ["sign", "node", "sketch"])
+            total += partenum.cell_counts(_from_blobs(batch.column(0))[0])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["cell", "n"])
+
+    got = reps.select("features").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << partenum.CELLS, np.int64)
+    counts[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    return Weights.of(counts, sets)
+
+
+MET = "tie boolean, a long, b long"
+
+
+def _met(pairs: np.ndarray, ties: np.ndarray) -> pa.RecordBatch:
+    both = np.concatenate([pairs, ties])
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(both)) >= len(pairs)), pa.array(both[:, 0]), pa.array(both[:, 1])], ["tie", "a", "b"])
+
+
+def _signed(threshold: float, weights: Weights, buckets: int):
+    """Packed signatures by block and bucket; rows without a bucket hold the ties made here."""
+
+    def rows_of(block: int, features: np.ndarray, first: np.ndarray, places: np.ndarray) -> Iterator[tuple]:
+        codec = pa.Codec("zstd", 1)
+        sign, which, own = partenum.signatures(features, first, threshold, weights)
+        sketch = np.zeros(1 << BLOCK, np.uint16)
+        sketch[places] = partenum.sketches(features, first)
+        bucket = ((sign >> U64(VALUE)) * U64(buckets)) >> U64(64 - VALUE)
+        order = np.argsort((bucket << U64(VALUE)) | (sign & U64((1 << VALUE) - 1)))
+        bucket, value, where, own = bucket[order].astype(np.int64), sign[order] & U64((1 << VALUE) - 1), places[which[order]], own[order]
+        send, ties = partenum.cool(bucket.astype(U64) << U64(VALUE) | value, where, own, sketch)
+        if len(ties):
+            data = ((block << BLOCK) + ties).astype(np.int64).tobytes()
+            yield -1 - block % buckets, block, len(data), codec.compress(data, asbytes=True)
+        bucket, value, where, own = bucket[send], value[send], where[send], own[send]
+        ends = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket))
+        at = 0
+        for end in ends if len(bucket) else ():
+            data = partenum.pack(value[at:end], where[at:end], own[at:end], sketch)
+            yield int(bucket[at]), block, len(data), codec.compress(data, asbytes=True)
+            at = end
 
-    return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            features, first = _from_blobs(batch.column("features"))
+            cuts = [0]
+            for i in range(1, len(ids)):  # blocks, and parts of them of about 700,000 features
+                if ids[i] >> BLOCK != ids[i - 1] >> BLOCK or first[i + 1] - first[cuts[-1]] > 700_000:
+                    cuts.append(i)
+            for lo, hi in zip(cuts, [*cuts[1:], len(ids)]):
+                if hi > lo:
+                    got = list(rows_of(int(ids[lo]) >> BLOCK, features[first[lo] : first[hi]], first[lo : hi + 1] - first[lo], ids[lo:hi] & ((1 << BLOCK) - 1)))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["bucket", "block", "length", "data"])
 
+    return run
 
-def ties(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges among the rows (sign, node, sketch) of equal signature, which must lie side by side.
 
-    In each run a first row is the centre; it is tied to all whose sketch is near its own. Of the rows that no centre
-    is tied to, the first is the next centre, until none is left. Sets that both sign for the next band aren't tied.
-    """
-    new = np.append(True, rows[1:, 0] != rows[:-1, 0])
-    keep = new | np.append(True, rows[1:, 1] != rows[:-1, 1])  # copies of a set count once
-    rows, run = rows[keep], np.cumsum(new)[keep] - 1
-    out = []
-    open_ = np.ones(len(rows), bool)
-    while len(rows):
-        starts = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
-        sizes = np.diff(np.append(starts, len(rows)))
-        at = np.where(open_, np.arange(len(rows)), len(rows))
-        centre = np.minimum.reduceat(at, starts)  # some row of every run is open
-        mid = np.repeat(centre, sizes)
-        near = np.bitwise_count((rows[:, 2] ^ rows[mid, 2]).view(U64)) <= FAR
-        tied = near & (mid != np.arange(len(rows))) & ((rows[:, 1] | rows[mid, 1]) & 1 == 1)
-        out.append((rows[mid[tied], 1] >> 1, rows[tied, 1] >> 1))
-        open_ &= ~near
-        open_[centre] = False
-        more = np.repeat(np.logical_or.reduceat(open_, starts) & (sizes > 1), sizes)
-        rows, run, open_ = rows[more], run[more], open_[more]
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = (np.concatenate(x) for x in zip(*out))
-    return np.minimum(a, b), np.maximum(a, b)
-
-
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The edges of each run of equal signatures, each once by batch."""
-
-    def edges(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        a, b = ties(rows)
-        order, groups = grouped(mix(a.view(U64) * U64(0x9E3779B97F4A7C15) ^ mix(b.view(U64))))
-        one = order[groups]
-        if len(one):
-            yield pa.RecordBatch.from_arrays([pa.array(a[one]), pa.array(b[one])], ["doc_a", "doc_b"])
-
-    held = np.zeros((0, 3), np.int64)
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs and ties of the sets of each bucket; rows lie side by side by bucket."""
+    codec = pa.Codec("zstd", 1)
+    none = np.zeros((0, 2), np.int64)
+    found: list[np.ndarray] = [none, none]
+
+    def bucket(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        value, ids, own, sketch = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(value, kind="stable")
+        value = value[order]
+        same = np.append(False, value[1:] == value[:-1])
+        many = same | np.append(same[1:], False)  # most signatures are alone
+        order = order[many]
+        return partenum.meet(value[many], ids[order], own[order], sketch[order])
+
+    def add(pairs: np.ndarray, ties: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found[0], found[1] = (partenum.distinct(np.concatenate([x, y])) for x, y in zip(found, (pairs, ties)))
+        if len(found[0]) + len(found[1]) > 3_000_000:
+            yield _met(*found)
+            found[:] = none, none
+
+    held, parts = None, []
     for batch in batches:
-        rows = np.concatenate([held, np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)])
-        last = int(np.searchsorted(rows[:, 0], rows[-1, 0])) if len(rows) else 0
-        yield from edges(rows[:last])
-        held = rows[last:]
-        held = held[np.append(True, held[1:, 1] != held[:-1, 1])] if len(held) else held
-    yield from edges(held)
-
-
-def _alike(table: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows i and j, and Jaccard index, of the pairs of sets from threshold on; rows are in order of size."""
-    blobs = table.column("features").to_pylist()
-    first = np.append(0, np.cumsum([len(b) // 4 for b in blobs]))
-    size = np.diff(first)
-    _, codes = np.unique(np.frombuffer(b"".join(blobs), np.uint32), return_inverse=True)
-    mine = np.zeros(codes.max(initial=0) + 1, bool)
-    out = []
-    upto = np.searchsorted(size, np.floor(size / threshold + 1e-9), "right")
-    for i in range(len(blobs) - 1):
-        if upto[i] <= i + 1:
-            continue
-        own = codes[first[i] : first[i + 1]]
-        mine[own] = True
-        common = np.add.reduceat(mine[codes[first[i + 1] : first[upto[i]]]], first[i + 1 : upto[i]] - first[i + 1], dtype=np.int64)
-        mine[own] = False
-        score = common / (size[i] + size[i + 1 : upto[i]] - common)
-        good = np.flatnonzero(score >= threshold)
-        out.append((np.full(len(good), i), good + i + 1, score[good]))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return tuple(np.concatenate(x) for x in zip(*out))
-
+        for number, block, length, data in zip(*(c.to_pylist() for c in batch.columns)):
+            raw = codec.decompress(data, length, asbytes=True)
+            if number < 0:
+                yield from add(none, np.frombuffer(raw, np.int64).reshape(-1, 2))
+                continue
+            if number != held and parts:
+                yield from add(*bucket(parts))
+                parts = []
+            held = number
+            value, where, own, sketch = partenum.unpack(raw)
+            parts.append((value, where + (block << BLOCK), own, sketch))
+    if parts:
+        yield from add(*bucket(parts))
+    if len(found[0]) + len(found[1]):
+        yield _met(*found)
+
+
+def candidates(reps: DataFrame, threshold: float) -> DataFrame:
+    """The distinct pairs and ties of the sets with features that share a signature."""
+    n, volume = reps.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    buckets = int(max(1, min(1 << 18, 3 * volume // BUCKET)))
+    signed = reps.select("id", "features").mapInArrow(_signed(threshold, _weights(reps, n), buckets), "bucket int, block long, length int, data binary")
+    return signed.repartition(min(buckets, 20_000), "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, MET).distinct()
+
+
+def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a and the number of features in which the sets of rows (a, x, y) differ."""
+    for batch in batches:
+        out = [len(np.setxor1d(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), assume_unique=True)) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column("a"), pa.array(out, pa.int64())], ["id", "radius"])
 
-def _in_order(table: pa.Table) -> pa.Table:
-    size = pa.compute.binary_length(table.column("features"))
-    return table.append_column("size", size).sort_by([("size", "ascending"), ("node", "ascending")])
 
+def _possible(threshold: float):
+    """The pairs that bitmaps, sizes and radii don't rule out."""
 
-def _pair_rows(threshold: float):
-    def run(table: pa.Table) -> pa.Table:
-        table = _in_order(table)
-        i, j, score = _alike(table, threshold)
-        doc = table.column("doc").to_numpy()
-        a, b = np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])
-        use = a != b
-        return pa.table({"doc_a": a[use], "doc_b": b[use], "jaccard": score[use]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sa, sb = (batch.column(c).to_numpy().astype(np.int64) for c in ("sa", "sb"))
+            reach = sum(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("ra", "rb"))
+            least = np.maximum(partenum.apart(batch.column("ma").to_pylist(), batch.column("mb").to_pylist()), np.abs(sa - sb)) - reach
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["doc_a", "doc_b"]).filter(pa.array(least <= partenum.differences(threshold, sa + sb + reach)))
 
     return run
 
 
-def _root_rows(threshold: float):
-    def run(table: pa.Table) -> pa.Table:
-        table = _in_order(table)
-        i, j, _ = _alike(table, threshold)
-        root = table.column("doc").to_numpy().copy()
-        while True:
-            before = root.copy()
-            least = np.minimum(root[i], root[j])
-            np.minimum.at(root, i, least)
-            np.minimum.at(root, j, least)
-            if (before == root).all():
-                return pa.table({"node": table.column("node"), "root": pa.array(root)})
+def _groups(sets: DataFrame, threshold: float) -> DataFrame:
+    """id and root of the rows (reps) that some chain of ties and possible pairs connects to another."""
+    reps = sets.where("id = rep and size > 0")
+    met = stored(candidates(reps, threshold), "met")
+    ties, pairs = met.where("tie").select("a", "b"), met.where("not tie").select("a", "b")
+    ends = limited_broadcast(stored(ties.select("a").union(ties.select("b")).distinct().toDF("id"), "tied"))
+    bodies = reps.select("id", "features").join(ends, "id", "left_semi")
+    both = ties.join(bodies.toDF("a", "x"), "a").join(bodies.toDF("b", "y"), "b")
+    radii = stored(both.select("a", "x", "y").mapInArrow(_distances, "id long, radius long").groupBy("id").agg(F.max("radius").alias("radius")), "radii")
+    maps = reps.select("id", "size", "bitmap").join(limited_broadcast(radii), "id", "left").select("id", "size", "bitmap", F.coalesce("radius", F.lit(0)).alias("radius"))
+    wide = pairs.join(maps.toDF("a", "sa", "ma", "ra"), "a").join(maps.toDF("b", "sb", "mb", "rb"), "b")
+    possible = wide.mapInArrow(_possible(threshold), "doc_a long, doc_b long")
+    groups = _whole(components(possible.union(ties)), "id")
+    discard(met, ends, radii)
+    return groups
 
-    return run
 
+def _whole(joined: DataFrame, name: str) -> DataFrame:
+    """What components() gives, stored, the roots themselves too."""
+    return stored(joined.union(joined.select("root", "root").distinct()).toDF(name, "root"), name)
 
-def _met(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
-    """The sets, stored, and the distinct ones that an edge ties to another: group, node, doc (smallest), features."""
-    sets = stored(sets_of(docs, join.n), "sets")
-    total = sets.count()
-    signs = sets.select("node", "features").mapInArrow(_sign(join, total), SIGNED)
-    edges = signs.repartition("sign").sortWithinPartitions("sign", "node").mapInArrow(_stars, "doc_a long, doc_b long")
-    tied = components(edges)
-    tied = stored(tied.select(F.col("doc_id").alias("node"), "root").union(tied.select("root", "root")).distinct(), "tied")
-    needed = sets.join(limited_broadcast(tied), "node").groupBy("root", "node").agg(F.min("doc_id").alias("doc"), F.first("features").alias("features"))
-    return sets, needed
+
+VERIFIED = "node long, other long, links long"
 
 
-def similar(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """doc_a, doc_b and jaccard of the pairs described above."""
-    sets, needed = _met(docs, join)
-    pairs = needed.groupBy("root").applyInArrow(_pair_rows(join.threshold), "doc_a long, doc_b long, jaccard double")
-    copies = sets.groupBy("node").agg(F.min("doc_id").alias("doc_a"), F.collect_set("doc_id").alias("docs")).where(F.size("docs") > 1)
-    return pairs.unionByName(copies.select("doc_a", F.explode("docs").alias("doc_b"), F.lit(1.0).alias("jaccard")).where("doc_a <> doc_b"))
+def _verify(threshold: float):
+    """Links of each set to those of the other block (or its own), and a forest of them."""
 
+    def run(table: pa.Table) -> pa.Table:
+        table = table.append_column("length", pa.compute.binary_length(table.column("features"))).sort_by([("length", "ascending"), ("node", "ascending")])
+        i, j = _alike(table, threshold)
+        node, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
+        links = np.bincount(i, copies[j], len(node)) + np.bincount(j, copies[i], len(node))
+        root = least_joined(i, j, len(node))
+        use = np.flatnonzero((links > 0) | (root != np.arange(len(node))))
+        return pa.table({"node": node[use], "other": node[root[use]], "links": links[use].astype(np.int64)})
+
+    return run
 
-def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
-    """doc_id and root (the smallest doc_id joined to it by pairs) of every document in a pair.
 
-    Alternating large-star and small-star steps (Kiveris et al. 2014); every step is one shuffle by document, and
-    its result is stored, so that no step is repeated when executors are lost.
+def _alike(table: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i and j of the pairs of sets from threshold on: of all where the table has one block, else of one of each."""
+    features, first = _from_blobs(table.column("features"))
+    size, block = np.diff(first), table.column("block").to_numpy()
+    single = (block == block[0]).all() if len(block) else True
+    _, codes = np.unique(features, return_inverse=True)
+    mine = np.zeros(codes.max(initial=0) + 1, bool)
+    found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    upto = np.searchsorted(size, np.floor(size / threshold + 1e-9), "right")
+    for i in range(len(size) - 1):
+        if upto[i] <= i + 1:
+            continue
+        own = codes[first[i] : first[i + 1]]
+        mine[own] = True
+        common = np.add.reduceat(mine[codes[first[i + 1] : first[upto[i]]]], first[i + 1 : upto[i]] - first[i + 1], dtype=np.int64)
+        mine[own] = False
+        good = np.flatnonzero(common / (size[i] + size[i + 1 : upto[i]] - common) >= threshold) + i + 1
+        if not single:
+            good = good[block[good] != block[i]]
+        found.append((np.full(len(good), i), good))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _linked(sets: DataFrame, join: Join) -> DataFrame:
+    """node, doc (its smallest doc_id), copies (its documents), class_id and n_links of every set that has words."""
+    groups = limited_broadcast(_groups(sets, join.threshold))
+    names = stored(sets.where("size > 0").select("node", "doc_id").distinct().groupBy("node").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies")), "names")
+    bodies = sets.where("features is not null").join(groups, "id").groupBy("root", "node").agg(F.first("features").alias("features"))
+    bodies = stored(bodies.join(names, "node").select("root", "node", "copies", "features"), "bodies")
+    blocks = bodies.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root", F.ceil(F.col("n") / BLOCK_SETS).alias("blocks"))
+    placed = bodies.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    keys = [F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")]
+    found = placed.select("root", *keys, "block", "node", "copies", "features").groupBy("root", "low", "high").applyInArrow(_verify(join.threshold), VERIFIED)
+    found = stored(found, "verified")
+    discard(bodies)
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    roots = _whole(components(found.select(F.col("node").alias("doc_a"), F.col("other").alias("doc_b"))), "node")
+    least = roots.join(names, "node").groupBy("root").agg(F.min("doc").alias("class_id"))
+    named = names.join(roots.join(least, "root").select("node", "class_id"), "node", "left")
+    return named.join(links, "node", "left").select("node", "doc", "copies", F.coalesce("class_id", "doc").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+
+
+def classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
+    """doc_id, class_id and n_links of every document."""
+    sets = stored(sets_of(docs, join.n), "sets")
+    rows = sets.select("doc_id", "node").distinct().join(_linked(sets, join).select("node", "class_id", "n_links"), "node", "left")
+    return rows.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def least_joined(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest number that the edges a, b join to each of the numbers below n."""
+    root = np.arange(n)
+    while True:
+        least = np.minimum(root[a], root[b])
+        after = root.copy()
+        np.minimum.at(after, root[a], least)
+        np.minimum.at(after, root[b], least)
+        after = after[after]
+        if (after == root).all():
+            return root
+        root = after
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [np.stack([batch.column(c).to_numpy() for c in range(2)]) for batch in batches]
+    ids, place = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *parts], axis=1), return_inverse=True)
+    a, b = place.reshape(2, -1)
+    root = least_joined(a, b, len(ids))
+    use = root != np.arange(len(ids))
+    yield pa.RecordBatch.from_arrays([pa.array(ids[use]), pa.array(ids[root[use]])], ["doc_id", "root"])
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """doc_id and root (the smallest doc_id joined to it by pairs) of every document in a pair but the roots.
+
+    Alternating large-star and small-star steps (Kiveris et al. 2014), until nothing changes; every step is one
+    shuffle by document, and its result is stored, so that no step is repeated when executors are lost. Edges of
+    ONE_TASK bytes or less are joined by one task, with the same result.
     """
     edges = stored(pairs.select(F.col("doc_a").alias("u"), F.col("doc_b").alias("v")).where("u <> v").distinct(), "edges")
+    if size_in_bytes(edges) <= ONE_TASK:
+        return edges.coalesce(1).mapInArrow(_joined, "doc_id long, root long")
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
         if large:
@@ -339,20 +402,21 @@ def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
         return linked.where("u <> v").distinct()
 
     before = None
-    for _ in range(rounds):
-        edges = stored(star(star(edges, True), False), "edges")
+    while True:
+        former, edges = edges, stored(star(star(edges, True), False), "edges")
+        discard(former)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("root"))
         before = now
-    raise RuntimeError("components did not settle")
 
 
 def keep_one(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """The rows of docs but for documents that are joined, over any chain of pairs, to one of smaller doc_id."""
-    sets, needed = _met(docs, join)
-    roots = needed.groupBy("root").applyInArrow(_root_rows(join.threshold), "node long, root long")
-    least = sets.groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left").select("node", F.coalesce("root", "least").alias("root"))
-    gone = sets.select("node", "doc_id").join(least, "node").where("doc_id > root").select(F.col("doc_id").alias(name := fresh(docs, "gone")[0])).distinct()
+    """The rows of docs but for documents whose class has a document of smaller doc_id, and other texts of the one that stays."""
+    sets = stored(sets_of(docs, join.n), "sets")
+    rows = sets.where("size > 0").join(_linked(sets, join).where("n_links > 0").select("node", "class_id"), "node")
+    stays = rows.where("doc_id = class_id").groupBy("class_id").agg(F.min("digest").alias("stays"))
+    mine, text = fresh(docs, "gone_id", "gone_text")
+    gone = rows.join(stays, "class_id").where("doc_id <> class_id or digest <> stays").select(F.col("doc_id").alias(mine), F.col("digest").alias(text)).distinct()
     gone = limited_broadcast(stored(gone, "gone"))
-    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
+    return docs.join(gone, (docs["doc_id"] == gone[mine]) & (F.xxhash64(docs["text"]) == gone[text]), "left_anti")

@@ -29,7 +29,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar(table(spark, sf_dir, "documents"))
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,15 +72,20 @@ UNION ALL SELECT doc_id, {BEFORE}, [doc_id] FROM {docs} WHERE text IS NULL"""
 
 
 def ngram_join(threshold: float = 0.8, docs: str = "documents") -> str:
-    """All pairs of word sets, for 1-grams."""
+    """Links between word sets, for 1-grams, counted by document, and the classes that they connect."""
     return rf"""
-WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[0-9A-Za-z_\x{{80}}-\x{{10FFFF}}]+')) AS word FROM {docs} WHERE doc_id IS NOT NULL),
+WITH RECURSIVE w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[0-9A-Za-z_\x{{80}}-\x{{10FFFF}}]+')) AS word FROM {docs} WHERE doc_id IS NOT NULL),
 sets AS (SELECT doc_id, list_sort(list(word)) AS words FROM w GROUP BY doc_id),
-names AS (SELECT words, min(doc_id) AS doc, len(words) AS n FROM sets GROUP BY words),
+names AS (SELECT words, min(doc_id) AS doc, len(words) AS n, count(*) AS copies FROM sets GROUP BY words),
 u AS (SELECT doc, n, unnest(words) AS word FROM names),
-common AS (SELECT a.doc AS a, b.doc AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM u a JOIN u b ON a.word = b.word AND a.doc < b.doc AND a.n >= {threshold} * b.n AND b.n >= {threshold} * a.n GROUP BY a.doc, b.doc)
-SELECT a AS doc_a, b AS doc_b, c / (na + nb - c)::DOUBLE AS jaccard FROM common WHERE c / (na + nb - c) >= {threshold}
-UNION ALL SELECT n.doc, s.doc_id, 1.0::DOUBLE FROM sets s JOIN names n USING (words) WHERE s.doc_id <> n.doc"""
+common AS (SELECT a.doc AS a, b.doc AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM u a JOIN u b ON a.word = b.word AND a.doc < b.doc AND a.n >= {threshold} * b.n AND b.n >= {threshold} * a.n GROUP BY a.doc, b.doc),
+pairs AS (SELECT a, b FROM common WHERE c / (na + nb - c) >= {threshold}),
+links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+met(a, b) AS (SELECT doc, doc FROM names UNION SELECT met.a, links.b FROM met JOIN links ON met.b = links.a),
+class AS (SELECT a AS doc, min(b) AS class_id FROM met GROUP BY a),
+degree AS (SELECT l.a AS doc, sum(n.copies) AS linked FROM links l JOIN names n ON n.doc = l.b GROUP BY l.a)
+SELECT d.doc_id, coalesce(c.class_id, d.doc_id)::BIGINT AS class_id, (coalesce(n.copies - 1, 0) + coalesce(g.linked, 0))::BIGINT AS n_links
+FROM (SELECT DISTINCT doc_id FROM {docs} WHERE doc_id IS NOT NULL) d LEFT JOIN sets USING (doc_id) LEFT JOIN names n USING (words) LEFT JOIN class c ON c.doc = n.doc LEFT JOIN degree g ON g.doc = n.doc"""
 
 
 def substring_dedup(min_words: int = 50, docs: str = "documents") -> str:

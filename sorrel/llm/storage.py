@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder of this machine only where it is unset (tests)."""
+    """spark.checkpoint.dir of the session; where it is unset, a temporary folder if Spark runs on this machine only.
+
+    On a cluster it must be set, as a folder of one machine can't be read by the others.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='sorrel-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if "here" not in _own:
+        _own["here"] = tempfile.mkdtemp(prefix="sorrel-")
+        atexit.register(shutil.rmtree, _own["here"], ignore_errors=True)
+    return f"file://{_own['here']}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -23,12 +35,37 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/sorrel-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._sorrel_path = path
+    return out
+
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of stored tables that nothing will read any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._sorrel_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
-def limited_broadcast(df: DataFrame, rows: int = 500_000) -> DataFrame:
-    """df marked for broadcast if it has at most so many (narrow) rows; beyond, Spark joins by shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+def size_in_bytes(df: DataFrame) -> int:
+    """About what the rows of a stored table take in memory."""
+    width = F.lit(16 + 8 * len(df.columns))
+    for field in df.schema:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            width = width + F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif isinstance(field.dataType, T.ArrayType):
+            width = width + 8 * F.coalesce(F.size(field.name), F.lit(0))
+    return int(df.agg(F.coalesce(F.sum(width), F.lit(0)).cast("long")).first()[0])
+
+
+def limited_broadcast(df: DataFrame, limit: int = 32 << 20) -> DataFrame:
+    """A stored table marked for broadcast if its rows take at most so many bytes; beyond, Spark joins by shuffle."""
+    if size_in_bytes(df) > limit:
+        return df
+    out = F.broadcast(df)
+    out._sorrel_path = df.__dict__.get("_sorrel_path")
+    return out
 
 
 def fresh(df: DataFrame, *stems: str) -> list[str]:

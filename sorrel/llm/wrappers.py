@@ -387,7 +387,7 @@ def extract(pages: DataFrame, wrappers: DataFrame | None = None) -> DataFrame:
     known = stored(infer(pages) if wrappers is None else wrappers, "wrappers")
     marks = known.select(F.col("host").alias("__host"), F.col("stream_id").alias("__stream"), "drop").where(F.exists("drop", lambda x: x))
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), "html").mapInArrow(_parse, EXTRACTED)
-    marks = limited_broadcast(stored(marks, "template"), 200_000)
+    marks = limited_broadcast(stored(marks, "template"))
     joined = parsed.join(marks, (parsed["host"] == marks["__host"]) & (parsed["stream_id"] == marks["__stream"]), "left")
     pairs = F.arrays_zip(F.col("texts").alias("t"), F.col("entries").alias("e"))
     kept = F.when(F.col("drop").isNull(), F.col("texts")).otherwise(F.transform(F.filter(pairs, lambda p: ~F.get(F.col("drop"), p["e"])), lambda p: p["t"]))

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sorrel.llm import exact_dedup, language_id, mixing, ngram_join, quality, queries, secret_scan, sentencepiece_codec, sql, substring_dedup, warc_fixity, wrappers
+from sorrel.llm import exact_dedup, language_id, mixing, ngram_join, partenum, quality, queries, secret_scan, sentencepiece_codec, sql, substring_dedup, warc_fixity, wrappers
 from tests.compare import duck, same
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -152,26 +152,29 @@ def test_perfect_hash():
 # 2 n-gram Jaccard join
 
 
-def brute_pairs(found, n=1, threshold=0.8):
-    sets = {}
+def brute_classes(found, n=1, threshold=0.8):
+    """doc_id, class_id, n_links and set of every document, all pairs compared."""
+    docs = set()
     for d, t in found:
         w = WORD.findall((t or "").lower())
-        if d is not None and w:
-            sets.setdefault((d, frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1)))), None)
-    least, out = {}, set()
-    for d, s in sets:
-        least[s] = min(d, least.get(s, d))
-    for d, s in sets:
-        if d != least[s]:
-            out.add((least[s], d, 1.0))
-    names = list(least.items())
-    for i, (a, x) in enumerate(names):
-        for b, y in names[i + 1 :]:
-            c = len(a & b)
-            j = c / (len(a) + len(b) - c)
-            if j >= threshold and x != y:
-                out.add((min(x, y), max(x, y), j))
-    return out
+        if d is not None:
+            docs.add((d, frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else None))
+    docs = sorted(docs, key=lambda x: (x[0], str(sorted(x[1] or ()))))
+    root, links = list(range(len(docs))), [0] * len(docs)
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (_, x) in enumerate(docs):
+        for j in range(i + 1, len(docs)):
+            y = docs[j][1]
+            if x and y and (x == y or len(x & y) / len(x | y) >= threshold):
+                links[i], links[j] = links[i] + 1, links[j] + 1
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return [(d, docs[top(i)][0], links[i], s) for i, (d, s) in enumerate(docs)]
 
 
 def near_copies(seed, n):
@@ -185,65 +188,102 @@ def near_copies(seed, n):
     return out
 
 
-@pytest.mark.parametrize("n", [1, 2])
+def classes_of(spark, found, n=1):
+    df = docs_of(spark, [(d, t, None, None, None) for d, t in found])
+    return rows(ngram_join.classes(df, ngram_join.Join(n=n)))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
 def test_ngram_join(spark, n):
     texts = near_copies(3, 150) + noise(4, 20)
-    texts = [None, "", "...", *texts, texts[5], texts[9].upper()]
-    found = list(enumerate(texts)) + [(None, texts[5]), (7, texts[9])]
-    got = {(r["doc_a"], r["doc_b"], round(r["jaccard"], 9)) for r in ngram_join.similar(docs_of(spark, [(d, t, None, None, None) for d, t in found]), ngram_join.Join(n=n)).collect()}
-    want = {(a, b, round(j, 9)) for a, b, j in brute_pairs(found, n)}
-    sure = {x for x in want if x[2] >= 0.875}
-    assert got <= want and sure <= got and len(got) >= 0.9 * len(want)
+    eight = [f"q{i}" for i in range(8)]
+    texts = [None, "", "...", *texts, texts[5], texts[9].upper(), " ".join(eight), *(" ".join(eight[:i] + eight[i + 1 :]) for i in range(8))]
+    found = list(enumerate(texts)) + [(None, texts[5]), (7, texts[9]), (7, texts[9]), (7, texts[11])]
+    assert classes_of(spark, found, n) == sorted((x[:3] for x in brute_classes(found, n)), key=str)
 
 
-@pytest.mark.parametrize("sets", [1_000, 10_000_000])
-def test_every_pair_shares_a_signature(sets):
-    """By size, for pairs of Jaccard index 0.8 to 0.875 of equal and of different sizes, as if in a corpus of so many sets."""
-    r, join = np.random.default_rng(5), ngram_join.Join()
-    for size in (5, 9, 12, 15, 20, 30, 50, 80, 120, 200):
-        for gone, new in ((size // 9, size // 9), (size // 5, 0)):
-            assert (size - gone) / (size + new) >= join.threshold
-            rows = []
-            for _ in range(40):
-                whole = r.integers(0, 2**32, size + new)
-                rows += [whole[:size], whole[gone:]]
-            first = np.append(0, np.cumsum([len(x) for x in rows]))
-            features = np.concatenate([np.sort(x) for x in rows]).astype(np.uint32)
-            signs, which, own = ngram_join.signatures(features, first, join, sets)
-            of = [({*signs[which == i].tolist()}, {*signs[(which == i) & own].tolist()}) for i in range(len(rows))]
-            found = [bool(a[0] & b[1] or a[1] & b[0]) for a, b in zip(of[::2], of[1::2])]
-            assert all(found), (size, gone, new, sum(found))
-
-
-def test_ties():
-    near, far = 0, -1
-    row = lambda sign, node, sketch, own=1: (sign, node * 2 + own, sketch)
-    a, b = ngram_join.ties(np.array([row(1, 1, near), row(1, 2, near), row(2, 1, near), row(2, 5, far), row(2, 6, far), row(3, 7, near, 0), row(3, 8, near, 0), row(4, 9, near, 0), row(4, 10, far, 0), row(4, 11, far)], np.int64))
-    assert sorted(zip(a.tolist(), b.tolist())) == [(1, 2), (5, 6), (10, 11)]
-
-
-def components_of(found, pairs):
-    root = {d: d for d, _ in found if d is not None}
+def test_ngram_join_of_a_large_group(spark, monkeypatch):
+    """Hundreds of near copies of one text, compared in several blocks, with copies of one of them, and others that share half of it."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 60)
+    r = random.Random(1)
+    words = [f"v{i}" for i in range(80)]
+    texts = [" ".join(w if r.random() > 0.04 else f"u{r.randrange(9999)}" for w in words) for _ in range(220)]
+    texts += [texts[3]] * 150 + [" ".join(words[:40] + [f"t{r.randrange(9999)}" for _ in range(40)]) for _ in range(80)]
+    found = list(enumerate(texts))
+    assert classes_of(spark, found) == sorted((x[:3] for x in brute_classes(found)), key=str)
 
-    def top(x):
-        while root[x] != x:
-            x = root[x]
-        return x
 
-    for a, b, _ in sorted(pairs):
-        a, b = sorted((top(a), top(b)))
-        root[b] = a
-    return {d: top(d) for d in root}
+@pytest.mark.parametrize("sets", [10, 10_000_000])
+def test_every_pair_shares_a_signature(sets):
+    """For every set size, pairs as far apart as the threshold allows, as if in a corpus of so many sets, half of the features common."""
+    r = np.random.default_rng(5)
+    counts = np.where(r.random(1 << partenum.CELLS) < 0.5, sets // 3, 1)
+    weights = partenum.Weights.of(counts, sets)
+    for size in [*range(1, 121), 150, 200, 400]:
+        pairs = [(gone, new) for gone, new in ((size // 9, size // 9), (size // 5, 0), (size // 6, size // 30)) if (size - gone) / (size + new) >= 0.8]
+        sets_ = []
+        for gone, new in pairs * 20:
+            whole = r.integers(0, 2**32, size + new)
+            sets_ += [whole[:size], whole[gone:]]
+        first = np.append(0, np.cumsum([len(x) for x in sets_]))
+        signs, which, own = partenum.signatures(np.concatenate(sets_).astype(np.uint32), first, 0.8, weights)
+        of = [({*signs[which == i].tolist()}, {*signs[(which == i) & own].tolist()}) for i in range(len(sets_))]
+        assert all(a[0] & b[1] or a[1] & b[0] for a, b in zip(of[::2], of[1::2])), size
+
+
+def test_meet():
+    """Whatever a group's size, every pair of it is given, or stands behind a pair of centres or one centre."""
+    r = np.random.default_rng(2)
+    sizes = [1, 2, 5, 8, 9, 30, 200]
+    sign = np.repeat(np.arange(len(sizes)).astype(np.uint64), sizes)
+    ids, sketch, own = np.arange(len(sign)), r.choice(np.array([0, 1, 7, 65535, 65000], np.uint16), len(sign)), r.random(len(sign)) < 0.5
+    own[sign == 3] = False
+    pairs, ties = partenum.meet(sign, ids, own, sketch)
+    head = {b: a for a, b in ties.tolist()}
+    met = {tuple(sorted(x)) for x in pairs.tolist()}
+    for i in ids:
+        for j in ids[i + 1 :]:
+            a, b = sorted((head.get(i, i), head.get(j, j)))
+            same = sign[i] == sign[j] and (own[i] or own[j])
+            assert (a == b or (a, b) in met) >= same and ((i, j) not in met or sign[i] == sign[j])
+    where, mine = ids.copy(), own.copy()
+    send, behind = partenum.cool(sign, where, mine, sketch)
+    assert send[sign < 6].all() and set(behind[:, 1]) == set(ids[~send]) and mine[sign == 6].all()
+    value = np.sort(r.integers(0, 1 << partenum.VALUE, 500)).astype(np.uint64)
+    place, flag, marks = r.integers(0, 2048, 500), r.random(500) < 0.5, r.integers(0, 65536, 2048).astype(np.uint16)
+    back = partenum.unpack(partenum.pack(value, place, flag, marks))
+    assert all((x == y).all() for x, y in zip(back, (value, place, flag, marks[place])))
+
+
+def test_bitmaps():
+    r = np.random.default_rng(3)
+    sets_ = [r.choice(3000, n, replace=False).astype(np.uint32) for n in (1, 5, 60, 90, 200, 500, 1500)]
+    maps, at = partenum.bitmaps(np.concatenate(sets_), np.append(0, np.cumsum([len(s) for s in sets_])))
+    blobs = [maps[a:b].tobytes() for a, b in zip(at, at[1:])]
+    for i, x in enumerate(sets_):
+        apart = partenum.apart([blobs[i]] * len(sets_), blobs)
+        assert apart[i] == 0 and all(d <= len(np.setxor1d(x, y)) for d, y in zip(apart, sets_))
+
+
+def test_components(spark, monkeypatch):
+    r = random.Random(4)
+    edges = [(r.randrange(400), r.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(1900, 2100)]
+    df = spark.createDataFrame(edges, "doc_a long, doc_b long")
+    here = rows(ngram_join.components(df))
+    monkeypatch.setattr(ngram_join, "ONE_TASK", -1)
+    assert rows(ngram_join.components(df)) == here and (1060, 1000) in here and (2050, 1900) in here
 
 
 def test_keep_one(spark, odd, none):
     found = list(enumerate(near_copies(8, 60)))
-    df = docs_of(spark, [(d, t, None, None, None) for d, t in found])
-    roots = components_of(found, brute_pairs(found))
-    assert {r["doc_id"] for r in ngram_join.keep_one(df).collect()} == {d for d, r in roots.items() if d == r}
+    other = (0, "another text of the first document 1 2 3 4 5 6 7")
+    df = docs_of(spark, [(d, t, None, None, None) for d, t in [*found, other, (900, other[1] + " 8")]])
+    stay = {d for d, c, _, _ in brute_classes(found) if d == c}
+    assert sorted(r["doc_id"] for r in ngram_join.keep_one(df).collect()) == sorted([*stay, 0])
     kept = ngram_join.keep_one(odd)
     assert kept.columns == odd.columns and sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([d for d, *_ in ODD if d != 5], key=str)
-    assert ngram_join.keep_one(none).count() == ngram_join.similar(none).count() == 0
+    assert rows(ngram_join.classes(odd)) == sorted((x[:3] for x in brute_classes([r[:2] for r in ODD])), key=str)
+    assert ngram_join.keep_one(none).count() == ngram_join.classes(none).count() == 0
 
 
 def test_ngram_join_sql(spark, sf_dir, con):

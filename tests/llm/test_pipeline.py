@@ -10,7 +10,7 @@ import pytest
 import corpus_pipeline
 from sorrel.llm import mixing, queries
 from tests.compare import duck, same
-from tests.llm.test_operators import brute_exact, brute_pairs, brute_quality, components_of
+from tests.llm.test_operators import brute_classes, brute_exact, brute_quality
 
 SQL = queries.oracle_sql()
 
@@ -34,7 +34,7 @@ def test_run(spark, sf_dir):
     winners = {d for d, _, _ in brute_exact([(d["doc_id"], d["text"], d["source"]) for d in docs])}
     docs = [d for d in docs if d["doc_id"] in winners]
     found = [(d["doc_id"], d["text"]) for d in docs]
-    roots = components_of(found, brute_pairs(found))
+    roots = {d: c for d, c, _, _ in brute_classes(found)}
     docs = [d for d in docs if roots[d["doc_id"]] == d["doc_id"]]
     size = pd.Series({s: float(sum(len(d["text"]) for d in docs if d["source"] == s)) for s in sorted({d["source"] for d in docs})})
     epochs = mixing.water_fill(size, size ** queries.MIX["alpha"], queries.MIX["budget_ratio"] * size.sum(), queries.MIX["max_epochs"]) / size
