@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sorrel.plans import resolve
-from sorrel.plans.cuts import cut
+from sorrel.plans.cuts import cut, stored
 from sorrel.sources import parser, scan
 
 SCHEMA_VERSION = 2
@@ -79,8 +79,8 @@ def assemble(parsed: DataFrame, resolved: bool = True) -> Catalog:
 
 
 def from_source(source: DataFrame) -> Catalog:
-    """The catalog of a table of sources (rel_path, content, mtime)."""
-    return assemble(parser.parse(source))
+    """The catalog of a table of sources (rel_path, content, mtime), each parsed once."""
+    return assemble(stored(parser.parse(source), "parsed"))
 
 
 def changes(file: DataFrame, on_disk: DataFrame) -> DataFrame:

@@ -1,15 +1,40 @@
-"""Where lineage is cut: reliable checkpoints, which survive the loss of executors."""
+"""Where lineage is cut: files in the folder that all executors share, which survive the loss of executors."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_own: list[str] = []
+
+
+def folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; where it is unset, a folder of this machine if Spark runs on it alone (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="sorrel-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return f"file://{_own[0]}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed into the session's folder; one of this machine only where the session names none (tests)."""
+    """df checkpointed."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sorrel-"))
+        sc.setCheckpointDir(folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as Parquet files, so that what reads it later reads the columns it needs."""
+    path = f"{folder(df.sparkSession)}/sorrel-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,14 +6,15 @@ without any parsing.
 
 from __future__ import annotations
 
-from sorrel.plans.queries import AFTER, BEFORE, IGNORED, NOQA_FORMS, OF_EDGES, SIGNATURE_FORMS, TAG_FORMS
+from sorrel.plans.queries import AFTER, BEFORE, IGNORED, NOQA_FORMS, SIGNATURE_FORMS, TAG_FORMS
 
 CATALOG = r"""WITH RECURSIVE
 cnt AS (SELECT count(*) AS n, min(s_suppkey) AS least FROM supplier),
 file AS (SELECT *, replace(regexp_replace(rel_path, '\.py$', ''), '/', '.') AS module_path,
     CASE WHEN file_id % 17 = 0 THEN 0 ELSE 1700000000 + file_id * 7919 % 100000 END AS mtime
   FROM (SELECT s_suppkey AS file_id, s_acctbal, CASE WHEN s_suppkey % 5 = 0 THEN 'tests/test_m' || s_suppkey
-    WHEN s_suppkey % 7 = 3 THEN 'pkg/cli/m' || s_suppkey ELSE 'pkg/n' || s_nationkey || '/m' || s_suppkey END || '.py' AS rel_path FROM supplier)),
+    WHEN s_suppkey % 7 = 3 THEN 'pkg/cli/m' || s_suppkey ELSE 'pkg/n' || s_nationkey || '/m' || s_suppkey
+    || CASE WHEN s_suppkey % 29 = 6 THEN '/main' WHEN s_suppkey % 31 = 8 THEN '/manage' ELSE '' END END || '.py' AS rel_path FROM supplier)),
 raw AS (SELECT p_partkey AS k, p_partkey % n + least AS file_id, replace(p_name, ' ', '_') || '_' || p_partkey AS stem, p_type, p_size FROM part, cnt),
 typed AS (SELECT raw.*, f.module_path, CASE WHEN k % 23 = 0 THEN 'constant' WHEN k % 4 < 2 THEN 'function' WHEN k % 4 = 2 THEN 'method' ELSE 'class' END AS kind,
     CASE WHEN k % 13 = 0 THEN '__' || stem || '__' WHEN k % 11 = 0 THEN '_' || stem WHEN raw.file_id % 5 = 0 THEN 'test_' || stem ELSE stem END AS name,
@@ -25,11 +26,11 @@ symbol AS (SELECT k AS symbol_id, file_id, name, module_path || CASE WHEN kind =
     CASE WHEN kind NOT IN ('class', 'constant') THEN 'a' || (k % 3) || ',b' ELSE '' END AS params FROM typed),
 line AS (SELECT *, row_number() OVER w AS place, lead(l_partkey) OVER w AS next_part, lead(l_suppkey) OVER w AS next_supp
   FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)),
-one AS (SELECT *, l_orderkey * 1000 + place AS edge_id FROM line WHERE l_quantity <= 1),
+one AS (SELECT *, l_orderkey * 1000 + place AS edge_id FROM line),
 call_edge AS (SELECT edge_id, l_partkey AS caller_symbol_id, coalesce(CASE WHEN s.kind = 'method' THEN s.cls || '.' || s.name ELSE s.name END, 'ext.f' || (l_partkey % 50)) AS callee_name,
     next_part AS resolved_symbol_id, (l_partkey * 11 % 900 + 1)::INT AS lineno FROM one LEFT JOIN symbol s ON s.symbol_id = next_part),
 import_edge AS (SELECT edge_id, l_suppkey AS file_id, coalesce(f.module_path, 'lib' || (l_partkey % 9)) AS imported_module, next_supp AS resolved_file_id
-  FROM one LEFT JOIN file f ON f.file_id = next_supp WHERE (l_suppkey * 31 + next_supp * 17) % 160 < 20 OR (next_supp IS NULL AND l_suppkey % 4 = 0)),
+  FROM one LEFT JOIN file f ON f.file_id = next_supp),
 pairs AS (SELECT DISTINCT caller_symbol_id AS src, resolved_symbol_id AS dst FROM call_edge WHERE resolved_symbol_id IS NOT NULL),
 imports AS (SELECT DISTINCT file_id AS src, resolved_file_id AS dst FROM import_edge WHERE resolved_file_id IS NOT NULL),
 called AS (SELECT e.resolved_symbol_id AS symbol_id, e.caller_symbol_id, s.qualified_name AS caller, f.rel_path, e.lineno, e.edge_id
@@ -109,6 +110,9 @@ BONUS = "bonus AS (SELECT file_id, CASE WHEN mtime = 0 OR lo = hi THEN 0 ELSE ro
 
 
 def _refactor() -> str:
+    # on the digits of the sum, as round_even() of doubles multiplies before it looks
+    tenths = "(complexity_score + 0.5::DOUBLE * size_score + untested_penalty + 0.5::DOUBLE * caller_score)::VARCHAR::DECIMAL(30, 15) * 10"
+    even = f"((floor({tenths}) + CASE WHEN {tenths} - floor({tenths}) > 0.5 OR ({tenths} - floor({tenths}) = 0.5 AND floor({tenths}) % 2 = 1) THEN 1 ELSE 0 END) / 10)::DOUBLE"
     return f"""{CATALOG},
 calls AS (SELECT resolved_symbol_id AS symbol_id, count(*) AS n FROM call_edge WHERE resolved_symbol_id IS NOT NULL GROUP BY 1),
 base AS (SELECT s.symbol_id, s.qualified_name, s.kind, f.rel_path, s.lineno, s.complexity, s.line_count, coalesce(c.n, 0) AS caller_count, r.symbol_id IS NULL AS is_untested,
@@ -117,7 +121,7 @@ base AS (SELECT s.symbol_id, s.qualified_name, s.kind, f.rel_path, s.lineno, s.c
   WHERE s.kind IN ('function', 'method') AND f.rel_path NOT LIKE 'tests/%' AND s.is_private = 0 AND NOT (s.complexity < 3 AND s.line_count < 20)),
 w AS (SELECT *, (complexity_score + size_score) / 200 AS w FROM base),
 p AS (SELECT * EXCLUDE (w), CASE WHEN is_untested THEN w * 100 ELSE 0 END::DOUBLE AS untested_penalty, round_even(least(log2(caller_count + 1) * 25, 100), 1) * w AS caller_score FROM w),
-q AS (SELECT *, round_even(complexity_score + 0.5::DOUBLE * size_score + untested_penalty + 0.5::DOUBLE * caller_score, 1) AS priority FROM p)
+q AS (SELECT *, {even} AS priority FROM p)
 SELECT * EXCLUDE (r), CASE WHEN len(r) > 0 THEN r ELSE ['on the border: can wait'] END AS reasons FROM (SELECT *, list_filter([
   CASE WHEN complexity >= 20 THEN 'complexity ' || complexity || ': extreme' WHEN complexity >= 10 THEN 'complexity ' || complexity || ': high' END,
   CASE WHEN line_count >= 200 THEN line_count || ' lines: very long' WHEN line_count >= 80 THEN line_count || ' lines: long' END,
@@ -125,6 +129,21 @@ SELECT * EXCLUDE (r), CASE WHEN len(r) > 0 THEN r ELSE ['on the border: can wait
   CASE WHEN caller_count >= 10 THEN caller_count || ' calls depend on it' WHEN caller_count >= 3 THEN caller_count || ' calls' WHEN caller_count = 0 THEN 'nothing calls it' END], lambda x: x IS NOT NULL) AS r FROM q) WHERE priority >= 30"""
 
 
+def _paths(max_depth: int = 8) -> str:
+    """Queues of all sources, level by level; every row has its path as text."""
+    levels = ["l0 AS (SELECT symbol_id AS source, symbol_id AS node, NULL::BIGINT AS parent, 1::BIGINT AS place, symbol_id || '@' || lineno AS path FROM chosen)"]
+    for d in range(1, max_depth + 1):
+        seen = " UNION ALL ".join(f"SELECT source, node FROM l{i}" for i in range(d))
+        step = f"SELECT l.source, e.resolved_symbol_id AS node, arg_min({{'parent': l.node, 'place': l.place, 'edge': e.edge_id, 'path': l.path, 'line': e.lineno}}, (l.place, e.edge_id)) AS b FROM l{d - 1} l JOIN call_edge e ON e.caller_symbol_id = l.node WHERE e.resolved_symbol_id IS NOT NULL GROUP BY ALL"
+        levels.append(f"l{d} AS MATERIALIZED (SELECT source, node, b.parent AS parent, row_number() OVER (PARTITION BY source ORDER BY b.place, b.edge) AS place, b.path || '>' || node || '@' || b.line AS path FROM ({step}) WHERE (source, node) NOT IN ({seen}))")
+    tree = " UNION ALL ".join(f"SELECT *, {d} AS depth FROM l{d}" for d in range(max_depth + 1))
+    return f""", chosen AS (SELECT symbol_id, lineno FROM symbol WHERE symbol_id % 50 = 0), {", ".join(levels)},
+tree AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY depth, place) AS taken, count(*) OVER (PARTITION BY source) AS nodes FROM ({tree}))
+SELECT a.symbol_id AS source, b.symbol_id AS target, t.depth::INT AS depth, coalesce(p.taken, CASE WHEN t.depth = 0 THEN 1 END, n.nodes)::BIGINT AS nodes_explored, t.path
+FROM chosen a CROSS JOIN chosen b JOIN (SELECT DISTINCT source, nodes FROM tree) n ON n.source = a.symbol_id
+LEFT JOIN tree t ON t.source = a.symbol_id AND t.node = b.symbol_id LEFT JOIN tree p ON p.source = a.symbol_id AND p.node = t.parent"""
+
+
 def _resolve_target() -> str:
     """Levels in turn; in these tables no symbol is a module, and dotted suffixes go up to two segments."""
     return rf"""{CATALOG},
@@ -156,18 +175,6 @@ ch AS (SELECT name, id, 'regression' AS change FROM (FROM n EXCEPT FROM w) UNION
     return f"WITH {scalars} SELECT * FROM sc", f"WITH {sets} {by_name}", f"WITH {scalars}, {sets}, v AS (SELECT direction AS v FROM sc UNION ALL SELECT change FROM ch) SELECT count(*) FILTER (v IN ('worsened', 'regression')) AS regression_count, count(*) FILTER (v IN ('improved', 'improvement')) AS improvement_count FROM v"
 
 
-def _all_lines(sql: str) -> str:
-    """The same over a catalog whose calls and imports are all order lines."""
-    for kept in (" WHERE l_quantity <= 1", " WHERE (l_suppkey * 31 + next_supp * 17) % 160 < 20 OR (next_supp IS NULL AND l_suppkey % 4 = 0)"):
-        assert sql.count(kept) == 1
-        sql = sql.replace(kept, "")
-    # ties of many callers' scores: on the digits of the sum, as round_even() of doubles multiplies before it looks
-    total = "complexity_score + 0.5::DOUBLE * size_score + untested_penalty + 0.5::DOUBLE * caller_score"
-    tenths = f"({total})::VARCHAR::DECIMAL(30, 15) * 10"
-    even = f"((floor({tenths}) + CASE WHEN {tenths} - floor({tenths}) > 0.5 OR ({tenths} - floor({tenths}) = 0.5 AND floor({tenths}) % 2 = 1) THEN 1 ELSE 0 END) / 10)::DOUBLE"
-    return sql.replace(f"round_even({total}, 1)", even)
-
-
 def oracle_sql() -> dict[str, str]:
     on_tables = {
         "complexity_hotspots": f"SELECT symbol_id, qualified_name, kind, rel_path, lineno, complexity, line_count, {LEVEL} AS bucket FROM plain WHERE complexity >= 10 ORDER BY complexity DESC, rel_path, lineno, symbol_id LIMIT 30",
@@ -190,7 +197,7 @@ def oracle_sql() -> dict[str, str]:
         "test_reachability": "SELECT symbol_id, depth FROM reached",
         "coverage_gaps": "SELECT symbol_id, qualified_name, rel_path, lineno, kind, complexity, line_count, (SELECT count(*) FROM pairs WHERE dst = symbol_id) AS caller_count FROM pool WHERE complexity >= 1 AND symbol_id NOT IN (SELECT symbol_id FROM reached)",
         "coverage_summary": COVERAGE,
-        "find_path": ", far AS (SELECT src AS source, src AS target, 0 AS depth FROM pairs UNION SELECT f.source, p.dst, f.depth + 1 FROM far f JOIN pairs p ON p.src = f.target WHERE f.depth < 8) SELECT source, target, min(depth) AS depth FROM far GROUP BY ALL",
+        "find_path": _paths(),
         "circular_deps": ", far AS (SELECT src, dst FROM imports UNION SELECT f.src, i.dst FROM far f JOIN imports i ON i.src = f.dst), tied AS (SELECT a.src AS node, min(a.dst) AS part FROM far a JOIN far b ON b.src = a.dst AND b.dst = a.src GROUP BY a.src) SELECT count(*)::INT AS size, list(rel_path ORDER BY rel_path) AS files FROM tied JOIN file ON file_id = node GROUP BY part",
         "import_graph_stats": "SELECT count(*) AS total_edges, count(*) FILTER (src = dst) AS self_edges FROM imports",
         "recency_bonus": f", {BONUS} SELECT * FROM bonus",
@@ -239,6 +246,5 @@ UNION ALL SELECT rel_path, module || '.f' || k, 'function', top, (top + len - 1)
     out["signature_params"] = f"WITH {_variants(SIGNATURE_FORMS, ('', '%', 'a,%,args,k,kw', '%,b', 'a,%'))} SELECT k, r AS params FROM named"
     camel = "(SELECT string_agg(upper(x[1]) || x[2:], '' ORDER BY i) FROM (SELECT unnest(string_split(r, '_')) AS x, unnest(range(20)) AS i) WHERE x <> '')"
     out["pascal_case"] = f"WITH {_variants(('',) * 4, ('%', '%', 'get_%_x', 'XMLThing_%'))} SELECT k, {camel} AS pascal FROM named"
-    out |= {f"{name}_all_lines": _all_lines(out[name]) for name in OF_EDGES}
     assert IGNORED[1:] == [("", "tests/"), ("", "*m1?.py"), ("", "/pkg/cli/"), ("", "!m12.py"), ("pkg", "n[1-3]/*"), ("pkg/n2", "!m*2.py")]
     return out

@@ -7,7 +7,6 @@ text run on modules written from the same tables and parsed again.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +23,8 @@ IGNORED = [("", "# generated"), ("", "tests/"), ("", "*m1?.py"), ("", "/pkg/cli/
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _on_tables(f: Callable[[Catalog], DataFrame], all_lines: bool = False, **options) -> Query:
-    return lambda spark, sf_dir: f(adapters.tables(spark, sf_dir, all_lines), **options)
+def _on_tables(f: Callable[[Catalog], DataFrame], **options) -> Query:
+    return lambda spark, sf_dir: f(adapters.tables(spark, sf_dir), **options)
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> Catalog:
@@ -67,14 +66,14 @@ def _named_calls(c: Catalog) -> DataFrame:
     return c.call_edge.join(by, "caller_symbol_id").join(to, "resolved_symbol_id", "left").select("caller", "callee_name", "resolved")
 
 
-def resolve_imports_exact(spark: SparkSession, sf_dir: str, all_lines: bool = False) -> DataFrame:
-    c = adapters.tables(spark, sf_dir, all_lines)
+def resolve_imports_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = adapters.tables(spark, sf_dir)
     return resolve.imports_exact(c.file, c.import_edge)
 
 
-def resolve_imports_suffix(spark: SparkSession, sf_dir: str, all_lines: bool = False) -> DataFrame:
+def resolve_imports_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Imports as if without their first package, so that only suffixes match."""
-    c = adapters.tables(spark, sf_dir, all_lines)
+    c = adapters.tables(spark, sf_dir)
     return resolve.imports_suffix(c.file, c.import_edge.withColumn("imported_module", F.regexp_replace("imported_module", r"^[^.]*\.", "")))
 
 
@@ -154,9 +153,9 @@ def resolve_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.resolve_targets(c, names.union(paths))
 
 
-def enclosing_symbol(spark: SparkSession, sf_dir: str, all_lines: bool = False) -> DataFrame:
+def enclosing_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The innermost symbol around the line of every call."""
-    c = adapters.tables(spark, sf_dir, all_lines)
+    c = adapters.tables(spark, sf_dir)
     at = c.call_edge.select("edge_id", F.col("caller_symbol_id").alias("symbol_id"), "lineno").join(c.symbol.select("symbol_id", "file_id"), "symbol_id").select("file_id", "lineno", "edge_id")
     return text.enclosing(c, at).select("edge_id", "symbol_id", "qualified_name")
 
@@ -165,6 +164,12 @@ def reached_depths(c: Catalog) -> DataFrame:
     return graph.test_reachability(c).select("symbol_id", F.col("depth").cast("int").alias("depth"))
 
 
+def paths_between_some(c: Catalog) -> DataFrame:
+    """Call paths from every symbol whose id is divisible by 50 to every such symbol."""
+    some = c.symbol.where(F.col("symbol_id") % 50 == 0).select("symbol_id")
+    return graph.find_paths(c, some.toDF("source").crossJoin(F.broadcast(some.toDF("target"))))
+
+
 #: Two snapshots for the drift queries: what has them differ is bounded, so they are written out.
 BEFORE = {"headline": {"files": 10, "symbols": 50, "imports_resolution_pct": 70.0}, "complexity": {"average": 3.5, "high": 4, "extreme": 1, "hotspots": [{"qname": "a.f"}, {"qname": "a.g"}]}, "dead_code": {"count": 3, "symbols": [{"qname": "d.x"}]}, "coverage": {"coverage_pct": 40.0}, "cycles": {"count": 1, "groups": [{"files": ["b.py", "a.py"]}]}, "god_files": []}
 AFTER = {"headline": {"files": 12, "symbols": 50, "imports_resolution_pct": 85.0}, "complexity": {"average": 3.25, "high": 7, "extreme": 3, "hotspots": [{"qname": "a.g"}, {"qname": "b.h"}]}, "dead_code": {"count": 3, "symbols": [{"qname": "d.x"}]}, "cycles": {"count": 1, "groups": [{"files": ["c.py", "a.py"]}]}, "god_files": []}
@@ -188,10 +193,6 @@ def drift_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.drift_counts(drift_scalars(spark, sf_dir), _entries(spark))
 
 
-#: Queries over calls and imports, registered once more as NAME_all_lines over every order line.
-OF_EDGES = ("headline_stats", "repo_summary", "most_imported", "god_files", "fan_out", "callers", "importers", "second_order_callers", "impact_all", "impact_file", "context_file", "context_symbol", "test_reachability", "coverage_gaps", "coverage_summary", "find_path", "circular_deps", "import_graph_stats", "refactor_priority", "health_summary", "resolve_imports_exact", "resolve_imports_suffix", "enclosing_symbol")
-
-
 def queries() -> dict[str, Query]:
     on_tables = {
         "complexity_hotspots": metrics.complexity_hotspots,
@@ -215,7 +216,7 @@ def queries() -> dict[str, Query]:
         "test_reachability": reached_depths,
         "coverage_gaps": graph.coverage_gaps,
         "coverage_summary": graph.coverage_summary,
-        "find_path": graph.shortest_depths,
+        "find_path": paths_between_some,
         "circular_deps": graph.circular_deps,
         "import_graph_stats": graph.import_graph_stats,
         "recency_bonus": lambda c: lexical.recency_bonus(c.file),
@@ -238,9 +239,6 @@ def queries() -> dict[str, Query]:
     out = {name: _on_tables(f) for name, f in on_tables.items()} | {name: _on_corpus(f) for name, f in on_corpus.items()} | {f.__name__: f for f in plain}
     limited = {"fan_out": (metrics.fan_out, {"threshold": 1, "limit": None}), "refactor_priority": (priority.refactor_priority, {"min_priority": 30.0, "limit": None})}
     out |= {name: _on_tables(f, **options) for name, (f, options) in limited.items()}
-    for name in OF_EDGES:
-        f, options = limited.get(name, (on_tables.get(name), {}))
-        out[f"{name}_all_lines"] = _on_tables(f, all_lines=True, **options) if f else partial(out[name], all_lines=True)
     out["lexical_query"] = _on_tables(lexical.search, question=QUESTION, limit=None)
     out["lexical_query_and"] = _on_tables(lexical.search, question=QUESTION, limit=None, match_all=True)
     return out

@@ -12,17 +12,16 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _lines(spark: SparkSession, sf_dir: str, all_lines: bool) -> DataFrame:
-    """Order lines, all or those of quantity 1, with their place in the order and the part and supplier of the next line."""
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines with their place in the order and the part and supplier of the next line."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    cols = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-    lines = cols.select("*", F.row_number().over(w).alias("place"), F.lead("l_partkey").over(w).alias("next_part"), F.lead("l_suppkey").over(w).alias("next_supp"))
-    return lines if all_lines else lines.where("l_quantity <= 1")
-
+    cols = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return cols.select("*", F.row_number().over(w).alias("place"), F.lead("l_partkey").over(w).alias("next_part"), F.lead("l_suppkey").over(w).alias("next_supp"))
 
 def file_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
-    path = F.when(k % 5 == 0, F.concat(F.lit("tests/test_m"), k)).when(k % 7 == 3, F.concat(F.lit("pkg/cli/m"), k)).otherwise(F.concat(F.lit("pkg/n"), F.col("s_nationkey"), F.lit("/m"), k))
+    inner = F.concat(F.lit("pkg/n"), F.col("s_nationkey"), F.lit("/m"), k)
+    path = F.when(k % 5 == 0, F.concat(F.lit("tests/test_m"), k)).when(k % 7 == 3, F.concat(F.lit("pkg/cli/m"), k)).when(k % 29 == 6, F.concat(inner, F.lit("/main"))).when(k % 31 == 8, F.concat(inner, F.lit("/manage"))).otherwise(inner)
     base = _read(spark, sf_dir, "supplier").select(k.alias("file_id"), F.concat(path, F.lit(".py")).alias("rel_path"), "s_acctbal")
     return base.select("file_id", "rel_path", F.concat(F.lit("/repo/"), "rel_path").alias("abs_path"), F.replace(F.regexp_replace("rel_path", r"\.py$", ""), F.lit("/"), F.lit(".")).alias("module_path"), F.sha2(F.col("rel_path").cast("binary"), 256).alias("sha256"), (F.col("file_id") * 131 % 9000 + 100).alias("size_bytes"), F.when(F.col("file_id") % 17 == 0, F.lit(0)).otherwise(F.lit(1_700_000_000) + F.col("file_id") * 7919 % 100_000).cast("long").alias("mtime"), F.lit(1_800_000_000).cast("long").alias("indexed_at"), F.when(F.col("s_acctbal") < -500, F.lit("SyntaxError: invalid syntax")).alias("parse_error"))
 
@@ -44,21 +43,16 @@ def symbol_table(spark: SparkSession, sf_dir: str, file: DataFrame) -> DataFrame
     return base.select("symbol_id", "file_id", "name", F.concat(F.coalesce(parent, "module_path"), F.lit("."), "name").alias("qualified_name"), "kind", parent.alias("parent_qname"), lineno.alias("lineno"), (lineno + lines - 1).alias("end_lineno"), F.lit(0).alias("col"), F.when(k % 6 != 0, F.col("p_type")).alias("docstring"), F.when(~flat, F.concat(F.lit("("), F.when(F.col("kind") == "method", F.lit("self, ")).otherwise(F.lit("")), F.lit("a"), k % 3, F.lit(", *, b=1)"))).alias("signature"), F.col("name").startswith("_").cast("int").alias("is_private"), F.when(flat, 0).otherwise(F.col("p_size")).cast("int").alias("complexity"), lines.alias("line_count"))
 
 
-def tables(spark: SparkSession, sf_dir: str, all_lines: bool = False) -> Catalog:
-    """Suppliers as files, parts as symbols, order lines as calls and imports of what the next line has.
-
-    all_lines: every order line is a call and an import; else those of quantity 1 are calls, and some of them imports.
-    """
+def tables(spark: SparkSession, sf_dir: str) -> Catalog:
+    """Suppliers as files, parts as symbols, and every order line as a call and an import of what the next line has."""
     file = file_table(spark, sf_dir)
     symbol = symbol_table(spark, sf_dir, file)
-    lines = _lines(spark, sf_dir, all_lines)
+    lines = _lines(spark, sf_dir)
     edge_id = F.col("l_orderkey") * 1000 + F.col("place")
     callee = symbol.select(F.col("symbol_id").alias("next_part"), F.when(F.col("kind") == "method", F.concat(F.element_at(F.split("parent_qname", r"\."), -1), F.lit("."), "name")).otherwise(F.col("name")).alias("callee"))
     calls = lines.join(callee, "next_part", "left").select(edge_id.alias("edge_id"), F.col("l_partkey").alias("caller_symbol_id"), F.coalesce("callee", F.concat(F.lit("ext.f"), F.col("l_partkey") % 50)).alias("callee_name"), F.col("next_part").alias("resolved_symbol_id"), (F.col("l_partkey") * 11 % 900 + 1).cast("int").alias("lineno"))
     target = file.select(F.col("file_id").alias("next_supp"), "module_path")
-    known = (F.col("l_suppkey") * 31 + F.col("next_supp") * 17) % 160 < 20
-    importing = lines if all_lines else lines.where(known | (F.col("next_supp").isNull() & (F.col("l_suppkey") % 4 == 0)))
-    imports = importing.join(target, "next_supp", "left")
+    imports = lines.join(target, "next_supp", "left")
     imports = imports.select(edge_id.alias("edge_id"), F.col("l_suppkey").alias("file_id"), F.coalesce("module_path", F.concat(F.lit("lib"), F.col("l_partkey") % 9)).alias("imported_module"), F.when(edge_id % 3 != 0, F.concat(F.lit("name"), edge_id % 10)).alias("imported_name"), F.when(edge_id % 4 == 0, F.concat(F.lit("al"), edge_id % 10)).alias("alias"), (edge_id % 40 + 1).cast("int").alias("lineno"), F.col("next_supp").alias("resolved_file_id"))
     return Catalog(file, symbol, imports, calls)
 
