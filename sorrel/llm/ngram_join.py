@@ -164,7 +164,7 @@ def _signed(threshold: float, weights: Weights, buckets: int):
         sign, which, own = partenum.signatures(features, first, threshold, weights)
         sketch = np.zeros(1 << BLOCK, np.uint16)
         sketch[places] = partenum.sketches(features, first)
-        bucket = ((sign >> U64(VALUE)) * U64(buckets)) >> U64(64 - VALUE)
+        bucket = ((sign >> U64(VALUE + 6)) * U64(buckets)) >> U64(58 - VALUE)
         order = np.argsort((bucket << U64(VALUE)) | (sign & U64((1 << VALUE) - 1)))
         bucket, value, where, own = bucket[order].astype(np.int64), sign[order] & U64((1 << VALUE) - 1), places[which[order]], own[order]
         send, ties = partenum.cool(bucket.astype(U64) << U64(VALUE) | value, where, own, sketch)

@@ -26,7 +26,8 @@ CELLS = 18
 HEAVIEST = 7.0
 #: Sets of a block, which has 2 ** BLOCK numbers.
 BLOCK = 11
-VALUE = 44
+#: Bits by which signatures of one bucket are told apart; chance agreements of them are pairs that bitmaps turn away.
+VALUE = 34
 #: Of that many sets of one signature or less, all pairs are given; larger groups meet by centres.
 FEW = 8
 #: Groups beyond this are reduced to their centres before they are sent.
@@ -142,8 +143,8 @@ def sketches(features: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def bitmap_words(sizes: np.ndarray) -> np.ndarray:
-    """64-bit words of a set's parity bitmap: a power of two, about three quarters of a bit for each feature."""
-    return 1 << np.ceil(np.log2(np.maximum(sizes * 0.75 / 64, 1))).astype(np.int64)
+    """64-bit words of a set's parity bitmap: a power of two, more than half a bit for each feature."""
+    return 1 << np.ceil(np.log2(np.maximum(sizes * 0.6 / 64, 1))).astype(np.int64)
 
 
 def bitmaps(features: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -262,7 +263,7 @@ def pack(value: np.ndarray, where: np.ndarray, own: np.ndarray, sketch: np.ndarr
     present, local = np.unique(where, return_inverse=True)
     step = np.diff(value, prepend=U64(0)).astype(U64)
     entry = (local.astype(np.uint16) << np.uint16(1)) | own
-    parts = [step.view(np.uint8).reshape(-1, 8)[:, :6].T.ravel(), entry.view(np.uint8).reshape(-1, 2).T.ravel(), present.astype(np.uint16).view(np.uint8), sketch[present].view(np.uint8)]
+    parts = [step.view(np.uint8).reshape(-1, 8)[:, :5].T.ravel(), entry.view(np.uint8).reshape(-1, 2).T.ravel(), present.astype(np.uint16).view(np.uint8), sketch[present].view(np.uint8)]
     return np.array([len(value), len(present)], np.int64).tobytes() + b"".join(p.tobytes() for p in parts)
 
 
@@ -271,8 +272,8 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     n, m = np.frombuffer(data, np.int64, 2)
     raw = np.frombuffer(data, np.uint8, offset=16)
     step = np.zeros((n, 8), np.uint8)
-    step[:, :6] = raw[: 6 * n].reshape(6, n).T
-    entry = np.ascontiguousarray(raw[6 * n : 8 * n].reshape(2, n).T).view(np.uint16).ravel()
-    present, sketch = raw[8 * n : 8 * n + 2 * m].copy().view(np.uint16), raw[8 * n + 2 * m :].copy().view(np.uint16)
+    step[:, :5] = raw[: 5 * n].reshape(5, n).T
+    entry = np.ascontiguousarray(raw[5 * n : 7 * n].reshape(2, n).T).view(np.uint16).ravel()
+    present, sketch = raw[7 * n : 7 * n + 2 * m].copy().view(np.uint16), raw[7 * n + 2 * m :].copy().view(np.uint16)
     local = entry >> 1
     return np.cumsum(step.view(U64).ravel()), present[local].astype(np.int64), (entry & 1).astype(bool), sketch[local]
