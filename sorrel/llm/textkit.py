@@ -6,6 +6,7 @@ hashing cost a few nanoseconds a byte and no Python object is made per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,7 +46,7 @@ def powers(base: int, n: int) -> np.ndarray:
         while done < size:
             have[done : 2 * done] = have[:done] * U64(pow(base, done, 1 << 64))
             done *= 2
-        if size <= 1 << 23:
+        if size <= 1 << 21:
             _powers[base] = have
     return have[:n]
 
@@ -123,6 +124,15 @@ def texts(column: pa.Array, lower: bool = False) -> Texts:
     return Texts(raw[at[0] : at[-1]], at - at[0])
 
 
+def release() -> None:
+    """Gives memory that Arrow and the C library keep for later back to the system, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries
+        pass
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts hold about limit bytes (one text of any length at least)."""
     for batch in batches:
@@ -133,6 +143,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20)
             to = max(at + 1, int(np.searchsorted(sizes, before + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
+    release()
 
 
 def owner(first: np.ndarray) -> np.ndarray:
