@@ -9,10 +9,12 @@ put together, so a secret that is built in parts, or passed on under a harmless
 
 A literal is scored by its name: the weight of the most sensitive word in it (password, secret, token, key, ...), a
 fraction for words that make it harmless (test, example, ...), and the literal's own form: known prefixes of
-credentials, entropy for its alphabet, length; placeholders score 0. Pairs of score min_score or more are reported.
+credentials, entropy for its alphabet, length. Placeholders score 0, and so do literals of fewer than SHORTEST
+characters, and those of more than MOST_WORDS words, which are prose, unless the name is that of a phrase. Pairs of score min_score or more are reported.
 
 Defined results: null and empty texts have no secrets. Each pair is reported once for each document row and position,
-so repeated rows give repeated results. The literal itself isn't given, but its SHA-256 sum, length and first
+so repeated rows give repeated results. Names may have any length; a literal put together of parts stops at LONGEST
+characters, and types between a name and its value are known up to 24 tokens. A quote that isn't closed is a sign like others. The time is linear in the text. The literal itself isn't given, but its SHA-256 sum, length and first
 four characters. Columns other than doc_id and text are ignored.
 """
 
@@ -24,18 +26,17 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_LEXER = re.compile(
-    r"""
+_SYNTAX = r"""
     (?P<space>[ \t\r\f\v]+)
   | (?P<line>\n)
   | (?P<block>/\*+|\*+/|<!--|-->)
-  | (?P<triple>(?:[rRbBuUfF]{0,2})(?:\"\"\".*?\"\"\"|'''.*?'''))
   | (?P<string>(?:[rRbBuUfF]{1,2}(?=["']))?(?:"(?:[^"\\\n]|\\.)*"|(?<![^\W_])'(?:[^'\\\n]|\\.)*'|`[^`\n]*`))
   | (?P<comment>(?:\#|//|--[ ])(?=[^\n]*))
   | (?P<name>(?:\$\{?)?[^\W\d][\w]*(?:(?:\.|->|::|-)[^\W\d][\w]*)*\}?)
@@ -45,9 +46,10 @@ _LEXER = re.compile(
   | (?P<open>[(\[{,;])
   | (?P<close>[)\]}])
   | (?P<other>.)
-    """,
-    re.VERBOSE | re.DOTALL,
-)
+    """
+_LEXER = re.compile(_SYNTAX, re.VERBOSE | re.DOTALL)
+#: The same where no string starts.
+_UNQUOTED = re.compile(re.sub(r"(?m)^  \| \(\?P<string>.*\n", "", _SYNTAX), re.VERBOSE | re.DOTALL)
 _BARE = re.compile(r"[^\s#;,'\"()\[\]{}<>]+")
 #: A line may hold a pair only if it has one of these signs next to a name or a quoted key.
 _SIGN = re.compile(r"[\w\"'\])}][ \t]*(?::=|=>|\+=|=(?!=)|:(?![:/]))\s*\S|\(\s*[\"'`]")
@@ -87,9 +89,47 @@ def _bare_name(token: str) -> str:
     return token.strip("${}")
 
 
+_OPENED = re.compile(r"""(?:[rRbBuUfF]{0,2})(\"\"\"|'''|["'`])""")
+_REST = {'"': re.compile(r'"(?:[^"\\\n]|\\.)*', re.DOTALL), "'": re.compile(r"'(?:[^'\\\n]|\\.)*", re.DOTALL), "`": re.compile(r"`[^`\n]*")}
+
+
 def lex(text: str) -> list[tuple[str, str, int]]:
-    """Kind, text and position of the tokens, white space within lines and the marks of comment blocks left out."""
-    return [(m.lastgroup, m[0], m.start()) for m in _LEXER.finditer(text) if m.lastgroup not in ("space", "block")]
+    """Kind, text and position of the tokens, white space within lines and the marks of comment blocks left out.
+
+    Linear in the text: where a quote isn't closed, no other of its kind up to where it would have to be is tried.
+    """
+    out: list[tuple[str, str, int]] = []
+    dead = {'"': 0, "'": 0, "`": 0, '"""': 0, "'''": 0}
+    at, n = 0, len(text)
+    while at < n:
+        sign = text[at]
+        m = None
+        if sign in "\"'`" or sign in "rRbBuUfF":
+            opened = _OPENED.match(text, at)
+            if opened:
+                quote, begin = opened[1], opened.start(1)
+                if len(quote) == 3:
+                    if at >= dead[quote]:
+                        closed = text.find(quote, begin + 3)
+                        if closed >= 0:
+                            out.append(("triple", text[at : closed + 3], at))
+                            at = closed + 3
+                            continue
+                        dead[quote] = n
+                    quote = quote[0]
+                if at < dead[quote]:
+                    m = _UNQUOTED.match(text, at)
+                else:
+                    m = _LEXER.match(text, at)
+                    if m.lastgroup == "other" or m.lastgroup == "name" and begin > at:
+                        end = _REST[quote].match(text, begin).end()
+                        if text[end : end + 1] != quote:
+                            dead[quote] = end
+        m = m or _LEXER.match(text, at)
+        if m.lastgroup not in ("space", "block"):
+            out.append((m.lastgroup, m[0], at))
+        at = m.end()
+    return out
 
 
 def pairs(text: str) -> list[Pair]:
@@ -105,7 +145,7 @@ def pairs(text: str) -> list[Pair]:
             name = _bare_name(value)
         elif kind == "string" and i + 1 < n and (tokens[i + 1][0] == "assign" or tokens[i + 1][1] == "]"):
             name = _unquote(value)
-        if name is None or not name or len(name) > 200:
+        if not name:
             i += 1
             continue
         after = i + 1
@@ -125,7 +165,7 @@ def pairs(text: str) -> list[Pair]:
         if kind_name and sensitivity(kind_name) > sensitivity(name):  # if password: token = "..." has no annotation
             name = kind_name
         if tokens[after][1] == "+=":
-            literal, propagated = constants.get(name, "") + literal, True
+            literal, propagated = (constants.get(name, "") + literal)[:LONGEST], True
         if not called:
             constants[name] = constants[name.rsplit(".", 1)[-1]] = literal
         out.append(Pair(name, literal, at, propagated))
@@ -209,7 +249,7 @@ def _value(text: str, tokens: list[tuple[str, str, int]], j: int, constants: dic
         elif not (j < n and tokens[j][0] in ("string", "triple") and parts and (wrapped or tokens[j - 1][0] in ("string", "triple"))):
             break
     if parts:
-        return "".join(parts), propagated or len(parts) > 1, j
+        return "".join(parts) if len(parts) == 1 else "".join(parts)[:LONGEST], propagated or len(parts) > 1, j
     if begin < n and tokens[begin][0] in ("name", "number", "other", "join"):
         m = _BARE.match(text, tokens[begin][2])
         if m:
@@ -227,6 +267,12 @@ def entropy(text: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(text).values()) if n else 0.0
 
 
+#: Characters after which a literal that is put together of parts stops growing.
+LONGEST = 1 << 12
+#: Literals of fewer characters score 0 unless they have the form of a known credential.
+SHORTEST = 6
+#: Words that a literal may have, but under the names of PHRASES.
+MOST_WORDS = 4
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
@@ -235,9 +281,18 @@ def name_words(name: str) -> list[str]:
     return words + [a + b for a, b in zip(words, words[1:])]
 
 
+def _weight(word: str) -> float:
+    """The weight of a word, of its singular, or of one of five letters or more that it ends with (authtoken)."""
+    for w in (word, word.removesuffix("s")):
+        if w in WEIGHTS:
+            return WEIGHTS[w]
+    return max((weight for w, weight in WEIGHTS.items() if len(w) >= 5 and word.removesuffix("s").endswith(w)), default=0.0)
+
+
+@lru_cache(10_000)
 def sensitivity(name: str) -> float:
     """The weight of the most sensitive word in a name."""
-    return max((WEIGHTS.get(w.removesuffix("s") if w not in WEIGHTS else w, 0.0) for w in name_words(name)), default=0.0)
+    return max(map(_weight, name_words(name)), default=0.0)
 
 
 def placeholder(literal: str) -> bool:
@@ -256,7 +311,7 @@ def score(name: str, literal: str) -> float:
     if PREFIXES.match(literal):
         return 1.0
     words = name_words(name)
-    if len(literal) < 6 or placeholder(literal) or literal.count(" ") > 3 and not PHRASES.intersection(words):
+    if len(literal) < SHORTEST or placeholder(literal) or literal.count(" ") >= MOST_WORDS and not PHRASES.intersection(words):
         return 0.0
     sensitive = sensitivity(name)
     if not sensitive:
