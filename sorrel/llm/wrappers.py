@@ -2,7 +2,7 @@
 
 A page becomes a stream of tokens: tags by name, and text. Adjacent repetitions of the same tokens are folded into
 repeated groups, innermost first, so that lists of any length look alike. The distinct streams of a host, commonest
-first, are then aligned one by one with the wrapper found so far (as RoadRunner does, Crescenzi et al. 2001): where
+first (of equally common ones the least by text), are then aligned one by one with the wrapper found so far (as RoadRunner does, Crescenzi et al. 2001): where
 both have text, it is a slot; where one has tokens that the other lacks, they become an optional group; where the
 tokens left over repeat what stands beside them, they become a repeated group. There are no unions: tokens that can't
 be aligned are options one after the other.
@@ -35,22 +35,60 @@ from pyspark.sql import functions as F
 from sorrel.llm.storage import limited_broadcast, stored
 
 INLINE = {"a", "abbr", "b", "bdi", "big", "br", "cite", "code", "em", "font", "i", "img", "kbd", "label", "mark", "q", "s", "small", "span", "strong", "sub", "sup", "tt", "u", "wbr"}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>", re.DOTALL | re.IGNORECASE)
+_OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][\w:-]*))")
+_SPECIAL = re.compile("[>\"']")
+#: Elements whose content is no markup, and what ends them.
+_RAW = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in ("script", "style", "noscript", "template")}
 FURNITURE = {"nav", "footer", "aside", "menu"}
 #: Elements at which furniture that was never closed ends.
 CONTENT = {"article", "main", "section", "h1"}
 _WORDS = re.compile(r"[^()+ ]+")
 TEXT = "#"
-MAX_PERIOD = 12
+#: Up to here all periods are tried for a repetition; longer ones where a run of so many tokens returns.
+SHORT_PERIOD, RUNS = 12, (1, 4, 16)
 #: A slot must be on this share of a host's distinct pages for its text to count as template.
 SHARE = 0.1
 
 
+class _Ends:
+    """Where the tags of a page end; linear in the page, as no stretch of it is searched twice in vain."""
+
+    def __init__(self, page: str):
+        self.page, self.begin, self.next = page, 0, None
+        self.failed: set[int] = set()
+
+    def special(self, at: int) -> re.Match | None:
+        """The next ">" or quote."""
+        if self.begin > at or self.next is None and self.begin == 0 or self.next is not None and self.next.start() < at:
+            self.begin, self.next = at, _SPECIAL.search(self.page, at)
+        return self.next
+
+    def tag(self, at: int) -> int:
+        """The end of the tag whose name ends at a position, or -1: signs in quotes don't count."""
+        seen = []
+        while m := self.special(at):
+            if m[0] == ">":
+                return m.end()
+            if m.start() in self.failed:
+                break
+            seen.append(m.start())
+            closed = self.page.find(m[0], m.end())
+            if closed < 0:
+                break
+            at = closed + 1
+        self.failed.update(seen)
+        return -1
+
+
 def tokens(page: str) -> list[tuple[str, str]]:
-    """Tags (name, or /name at the end) and texts ("#", text) of a page, in order."""
+    """Tags (name, or /name at the end) and texts ("#", text) of a page, in order.
+
+    A tag that isn't closed is text, and a comment or script that isn't goes to the end of the page.
+    """
     out: list[tuple[str, str]] = []
     buffer: list[str] = []
-    at = 0
+    at = pos = 0
+    ends, last = _Ends(page), page.rfind(">")
 
     def flush() -> None:
         text = " ".join(entities.unescape("".join(buffer)).split())
@@ -58,19 +96,33 @@ def tokens(page: str) -> list[tuple[str, str]]:
         if text:
             out.append((TEXT, text))
 
-    for m in _TOKEN.finditer(page):
+    while m := _OPEN.search(page, pos):
+        pos = m.end()
+        if m[1]:
+            closed = page.find("-->", pos)
+            end = closed + 3 if closed >= 0 else len(page)
+        elif pos > last:
+            continue
+        elif m[2]:
+            end = page.find(">", pos) + 1
+        else:
+            end = ends.tag(pos)
+            if end < 0:
+                continue
+        name = (m[4] or "").lower()
         buffer.append(page[at : m.start()])
-        at = m.end()
-        name = m[3]
+        if name in _RAW and not m[3]:
+            closing = _RAW[name].search(page, end)
+            end, name = closing.end() if closing else len(page), ""
+        at = pos = end
         if not name:
             continue
-        name = name.lower()
         if name in INLINE:
             if name == "br":
                 buffer.append(" ")
             continue
         flush()
-        out.append((("/" if m[2] else "") + name, ""))
+        out.append((("/" if m[3] else "") + name, ""))
     buffer.append(page[at:])
     flush()
     return out
@@ -94,31 +146,64 @@ class Node:
         return body + ("+" if self.repeated else "") + ("?" if self.optional else "")
 
 
+def long_period(keys: list[str]) -> int:
+    """The shortest period beyond SHORT_PERIOD at which the stream repeats itself at once, or 0."""
+    n, best, tried = len(keys), 0, {}
+    if n <= 2 * SHORT_PERIOD:
+        return 0
+    for size in RUNS:
+        last: dict = {}
+        for i in range(n - size + 1):
+            run = keys[i] if size == 1 else tuple(keys[i : i + size])
+            before = last.get(run, -1)
+            last[run] = i
+            period = i - before
+            if before < 0 or period <= SHORT_PERIOD or best and period >= best or tried.get(period, -1) >= i:
+                continue
+            lo, hi = before, i
+            while lo > 0 and keys[lo - 1] == keys[lo - 1 + period]:
+                lo -= 1
+            while hi < n and keys[hi] == keys[hi - period]:
+                hi += 1
+            tried[period] = hi - 1
+            if hi - lo >= 2 * period:
+                best = period
+    return best
+
+
 def fold(tags: list[str]) -> list[tuple[str, int]]:
     """Stream with adjacent repetitions folded: entries of (key, length of the stream it stands for).
 
-    Works up from short periods to long ones; a folded entry's key is "(...)+".
+    Works up from short periods to long ones; a folded entry's key is "(...)+". Repetitions of any period are
+    folded, but that one of more than SHORT_PERIOD tokens is seen only if some run of 1, 4 or 16 of its tokens occurs
+    in it once.
     """
     row = [(t, 1) for t in tags]
-    for period in range(1, MAX_PERIOD + 1):
-        i, out = 0, []
-        keys = [k for k, _ in row]
-        n = len(row)
-        while i < n:
-            unit = keys[i : i + period]
-            j = i + period
-            if j <= n:
-                while keys[j : j + period] == unit:
-                    j += period
+    for period in range(1, SHORT_PERIOD + 1):
+        row = _folded_by(row, period)
+    while period := long_period([k for k, _ in row]):
+        row = _folded_by(row, period)
+    return row
+
+
+def _folded_by(row: list[tuple[str, int]], period: int) -> list[tuple[str, int]]:
+    i, out = 0, []
+    keys = [k for k, _ in row]
+    n = len(row)
+    while i < n:
+        j = i + period
+        if j < n and keys[i] == keys[j]:
+            unit = keys[i:j]
+            while keys[j : j + period] == unit:
+                j += period
             if j - i > period and not (period == 1 and unit[0] == TEXT):
                 body = unit[0] if period == 1 and unit[0].endswith("+") else "(" + " ".join(unit) + ")+"
                 out.append((body, sum(w for _, w in row[i:j])))
                 i = j
-            else:
-                out.append(row[i])
-                i += 1
-        row = out
-    return row
+                continue
+        out.append(row[i])
+        i += 1
+    return out
 
 
 def folded(page: str | None) -> tuple[str, list[str], list[int]]:
@@ -159,21 +244,27 @@ def _longest(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
         hi += 1
     x, y = a[lo : len(a) - hi], b[lo : len(b) - hi]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        row, below, t = best[i], best[i + 1], x[i]
-        for j in range(len(y) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if t == y[j] else max(below[j], row[j + 1])
+    # rows[i]: of the ends x[i:] and y[j:], bit m - 1 - j is 0 where one more token of y makes the subsequence longer
+    n, m = len(x), len(y)
+    where: dict[str, int] = {}
+    for j, t in enumerate(y):
+        where[t] = where.get(t, 0) | 1 << (m - 1 - j)
+    full = (1 << m) - 1
+    rows = [full] * (n + 1)
+    for i in range(n - 1, -1, -1):
+        v = rows[i + 1]
+        u = v & where.get(x[i], 0)
+        rows[i] = (v + u | v - u) & full
     out = [(i, i) for i in range(lo)]
     i = j = 0
-    while i < len(x) and j < len(y):
+    while i < n and j < m:
         if x[i] == y[j]:
             out.append((lo + i, lo + j))
             i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
+        elif rows[i] >> (m - 1 - j) & 1:
             j += 1
+        else:
+            i += 1
     return out + [(len(a) - hi + k, len(b) - hi + k) for k in range(hi)]
 
 
@@ -184,6 +275,7 @@ class Wrapper:
         self.parts: list[Node] = []
         self.count = 0
         self.ids: list[int] = []  # of the parts, never reused
+        self.groups: set[tuple[int, int]] = set()  # ids of the first and last part of repeated groups
 
     def _keys(self) -> list[str]:
         return [_bare(p) for p in self.parts]
@@ -221,11 +313,14 @@ class Wrapper:
             ids.append(self.ids[k])
         k = j
         while k < b:
-            for width in range(1, min(MAX_PERIOD, len(parts), b - k) + 1):
-                if [_bare(p) for p in parts[-width:]] == [_bare(n) for n in new[k : k + width]]:
-                    for p, n in zip(parts[-width:], range(k, k + width)):
-                        p.repeated = True
-                        given[n] = ids[len(ids) - width + n - k]
+            tails, heads = [_bare(p) for p in parts], [_bare(n) for n in new[k:b]]
+            for width in range(1, min(len(tails), len(heads)) + 1):
+                if tails[-width] == heads[0] and tails[-width:] == heads[:width]:
+                    if width == 1:
+                        parts[-1].repeated = True
+                    else:
+                        self.groups.add((ids[-width], ids[-1]))
+                    given[k : k + width] = ids[-width:]
                     k += width
                     break
             else:
@@ -237,8 +332,29 @@ class Wrapper:
                 k += 1
         return a, b
 
+    def spans(self) -> list[tuple[int, int, bool]]:
+        """First and last position of each repeated group, and whether it is made of groups that cross, as one then."""
+        place = {x: i for i, x in enumerate(self.ids)}
+        out: list[tuple[int, int, bool]] = []
+        for a, b in sorted(((place[a], place[b]) for a, b in self.groups), key=lambda x: (x[0], -x[1])):
+            mixed = False
+            while crossed := [s for s in out if s[0] < a <= s[1] < b]:
+                out = [s for s in out if s not in crossed]
+                a, mixed = min(s[0] for s in crossed), True
+            out.append((a, b, mixed or any(s[2] for s in out if s[:2] == (a, b))))
+        return out
+
     def __str__(self) -> str:
-        return " ".join(map(str, self.parts))
+        """The expression: ? after what may be absent, + after what may be repeated. In a group made of crossing ones all may be absent."""
+        words = [str(p) for p in self.parts]
+        for a, b, mixed in self.spans():
+            if mixed:
+                words[a : b + 1] = [w if w.endswith("?") else w + "?" for w in words[a : b + 1]]
+        opened, closed = [""] * len(words), [""] * len(words)
+        for a, b, _ in self.spans():
+            opened[a] += "("
+            closed[b] += ")+"
+        return " ".join(o + w + c for o, w, c in zip(opened, words, closed))
 
 
 def _bare(node: Node) -> str:
@@ -355,11 +471,11 @@ def _infer(table: pa.Table) -> pa.Table:
     enough = max(2, SHARE * sum(len(kinds) for *_, kinds in merged.values()))
     template = {slot for slot in least if least[slot] == most[slot] and pages[slot] >= enough}
     host = table.column("host")[0].as_py()
-    return pa.table({"host": pa.array([host] * len(order), pa.string()), "stream": pa.array(order, pa.string()), "stream_id": pa.array([_stream_id(s) for s in order], pa.int64()), "wrapper": pa.array([str(wrapper)] * len(order), pa.string()), "slots": pa.array([slots[s] for s in order], pa.list_(pa.int32())), "drop": pa.array([[x in template or f for x, f in zip(slots[s], furniture(s.split("\n")))] if s else [] for s in order], pa.list_(pa.bool_()))})
+    return pa.table({"host": pa.array([host] * len(order), pa.string()), "stream": pa.array(order, pa.string()), "stream_id": pa.array([_stream_id(s) for s in order], pa.int64()), "wrapper": pa.array([str(wrapper), *[None] * (len(order) - 1)], pa.string()), "slots": pa.array([slots[s] for s in order], pa.list_(pa.int32())), "drop": pa.array([[x in template or f for x, f in zip(slots[s], furniture(s.split("\n")))] if s else [] for s in order], pa.list_(pa.bool_()))})
 
 
 def infer(pages: DataFrame) -> DataFrame:
-    """host, stream, stream_id, wrapper, slots and drop for every distinct stream of every host."""
+    """host, stream, stream_id, wrapper (with the commonest stream only), slots and drop for every distinct stream of every host."""
     found = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_streams, STREAMS)
     return found.groupBy("host").applyInArrow(_infer, WRAPPERS)
 
