@@ -2,10 +2,13 @@
 
 The model protobuf is parsed here (no generated classes), and its normaliser, metaspace marker,
 scores and byte fallback are rebuilt as a tokenizers pipeline, for unigram and for BPE models.
-Batches are encoded by several threads; tests hold the ids against the sentencepiece library.
+Batches are encoded by several threads. Parity is verified as words come up: each new one is also encoded by the
+sentencepiece library, and a text has parity if all its words have.
 
 Defined results: a null text has null ids and null n_tokens; an empty text has no ids; decoding null
-gives null. Repeated rows are encoded once per row; columns other than doc_id and text are ignored.
+gives null. Ids that aren't in the vocabulary decode to nothing. A text with U+2581, which stands for a space, or with
+characters that the pieces can't spell has no round trip. Words may have any length. Models with user-defined symbols,
+white space as suffix or not escaped, or pieces that go over the start of a word raise ValueError. Repeated rows are encoded once per row; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -143,10 +146,12 @@ def build(model: Model):
     if model.charsmap:
         steps.append(normalizers.Precompiled(model.charsmap))
     if model.squeeze_spaces:
-        steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
+        steps += [normalizers.Replace(Regex(r"\A +| +\z"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
     if model.dummy_prefix:
         steps.append(normalizers.Prepend(MARK))
     steps.append(normalizers.Replace(" ", MARK))
+    if model.squeeze_spaces:  # at the end the library strips marks that the text had, too
+        steps.append(normalizers.Replace(Regex(rf"{MARK}+\z"), ""))
     if model.kind == UNIGRAM:
         core = models.Unigram([(piece, score) for piece, score, _ in model.pieces], model.unk, model.byte_fallback)
     else:
@@ -170,9 +175,10 @@ class WordCodec:
     Words are known by 64-bit hashes; the memory keeps keep of them and then starts anew.
     """
 
-    def __init__(self, model: Model, keep: int = 200_000):
+    def __init__(self, model: Model, keep: int = 100_000, library=None):
         if any(MARK in piece.lstrip(MARK) for piece, _, _ in model.pieces):
             raise ValueError("pieces that go over the start of a word: encode whole texts with build()")
+        self.library, self.unk, self.scores = library, model.unk, [score for _, score, _ in model.pieces]
         self.prepared = bool(model.charsmap) or model.squeeze_spaces
         self.prefix = model.dummy_prefix
         self.words = build(model)
@@ -187,10 +193,13 @@ class WordCodec:
 
     def forget(self) -> None:
         self.seen: dict[int, int] = {}
-        self.ids, self.at, self.fine = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool)
+        self.ids, self.at, self.fine, self.equal = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool), np.zeros(0, bool)
+
+    def _tied(self, a: list[int], b: list[int]) -> bool:
+        return a.count(self.unk) == b.count(self.unk) and abs(sum(self.scores[i] for i in a) - sum(self.scores[i] for i in b)) < 1e-3
 
     def learn(self, names: list[int], fresh: list[str], sizes: np.ndarray, spelled: np.ndarray) -> None:
-        """Ids of new words, and whether their pieces spell them; sizes and spelled have the words' bytes."""
+        """Ids of new words, whether their pieces spell them, and whether the library gives the same; sizes and spelled have the words' bytes."""
         coded = [e.ids for e in self.words.encode_batch_fast(fresh, add_special_tokens=False)]
         n = np.fromiter(map(len, coded), np.int64, len(coded))
         ids = np.fromiter(chain.from_iterable(coded), np.int32, int(n.sum()))
@@ -206,11 +215,17 @@ class WordCodec:
             joined = [b"".join(self.piece_bytes[self.piece_at[i] : self.piece_at[i + 1]].tobytes() for i in x) for x in coded]
             fine = np.array([a == b.replace(MARK, " ").encode() for a, b in zip(joined, fresh)])
         self.seen.update(zip(names, range(len(self.fine), len(self.fine) + len(names))))
-        self.ids, self.fine = np.append(self.ids, ids), np.append(self.fine, fine)
+        equal = np.ones(len(coded), bool)
+        if self.library:
+            again = self.library.encode([w[1:] if self.prefix else w for w in fresh])
+            # alone, a word that is only a mark is nothing to a library that strips it; splits of one score are equal
+            equal = np.array([a == b or not b and not w.strip(MARK) or self._tied(a, b) for a, b, w in zip(coded, again, fresh)])
+        self.ids, self.fine, self.equal = np.append(self.ids, ids), np.append(self.fine, fine), np.append(self.equal, equal)
         self.at = np.append(self.at, self.at[-1] + to[1:])
 
-    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids, the offset of each text's ids, and whether decoding them gives the text; nulls count as empty."""
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, the offset of each text's ids, whether decoding them gives the text, and parity; nulls count as empty."""
+        marked = pc.fill_null(pc.match_substring(column, MARK), False).to_numpy(zero_copy_only=False)
         column = pc.fill_null(column.cast(pa.large_string()), "")
         empty = pc.equal(pc.binary_length(column), 0)
         if self.prepared:
@@ -219,7 +234,7 @@ class WordCodec:
             column = pc.if_else(empty, column, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), column, pa.scalar("", pa.large_string())))
         body = texts(pc.replace_substring(column, MARK, " "))
         if not len(body.data):
-            return np.zeros(0, np.int32), np.zeros(len(body) + 1, np.int64), np.ones(len(body), bool)
+            return np.zeros(0, np.int32), np.zeros(len(body) + 1, np.int64), ~marked, np.ones(len(body), bool)
         space = body.data == 32
         begin = space.copy()
         begin[1:] &= ~space[:-1]
@@ -246,7 +261,7 @@ class WordCodec:
         n = np.diff(self.at)[which]
         to = np.append(0, np.cumsum(n))
         first = np.searchsorted(starts, body.offsets)
-        return self.ids[spread(self.at[which], n)], to[first], sums(~self.fine[which], first) == 0
+        return self.ids[spread(self.at[which], n)], to[first], (sums(~self.fine[which], first) == 0) & ~marked, sums(~self.equal[which], first) == 0
 
 
 _loaded: dict[str, WordCodec] = {}
@@ -257,24 +272,26 @@ def load(path: str, threads: int = 2) -> WordCodec:
     if path not in _loaded:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        from sentencepiece import SentencePieceProcessor
+
         with open(path, "rb") as f:
-            _loaded[path] = WordCodec(parse_model(f.read()))
+            _loaded[path] = WordCodec(parse_model(f.read()), library=SentencePieceProcessor(model_file=path, num_threads=threads))
     return _loaded[path]
 
 
-ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("token_ids", T.ArrayType(T.IntegerType(), True)), T.StructField("n_tokens", T.IntegerType()), T.StructField("round_trip", T.BooleanType())])
+ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("token_ids", T.ArrayType(T.IntegerType(), True)), T.StructField("n_tokens", T.IntegerType()), T.StructField("round_trip", T.BooleanType()), T.StructField("parity", T.BooleanType())])
 
 
 def encode(docs: DataFrame, model_path: str, threads: int = 2) -> DataFrame:
-    """doc_id, token_ids, n_tokens and round_trip (decoding gives the text as normalised) of every row of docs."""
+    """doc_id, token_ids, n_tokens, round_trip (decoding gives the text as normalised) and parity of every row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load(model_path, threads)
         for part in chunks(batches, "text"):
             null = part.column("text").is_null().to_numpy(zero_copy_only=False)
-            ids, offsets, fine = codec.encode(part.column("text"))
+            ids, offsets, fine, equal = codec.encode(part.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids), mask=pa.array(null))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array(np.diff(offsets).astype(np.int32), mask=null), pa.array(fine, mask=null)], ["doc_id", "token_ids", "n_tokens", "round_trip"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array(np.diff(offsets).astype(np.int32), mask=null), pa.array(fine, mask=null), pa.array(equal, mask=null)], ENCODED.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, ENCODED)
 
@@ -284,9 +301,11 @@ def decode(encoded: DataFrame, model_path: str, threads: int = 2) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load(model_path, threads).words
+        size = codec.get_vocab_size()
         for part in batches:
             ids = part.column("token_ids").to_pylist()
-            back = codec.decode_batch([x or [] for x in ids], skip_special_tokens=False)
+            known = [[i for i in x or [] if i is not None and 0 <= i < size] for x in ids]
+            back = codec.decode_batch(known, skip_special_tokens=False)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([None if x is None else t for x, t in zip(ids, back)], pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "token_ids").mapInArrow(run, "doc_id long, text string")
