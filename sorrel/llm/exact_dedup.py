@@ -9,7 +9,7 @@ winner; else it isn't in history, and such documents are grouped by digest among
 Defined results: the winner of a text is its smallest doc_id in history, or else its smallest doc_id. A null
 text equals no other, so each row with one is kept, also where doc_ids repeat; an empty text is a text like any
 other. A null doc_id counts as larger than all others. Rows of one doc_id and text are copies, of which one is
-kept. Columns other than doc_id and text are ignored, or passed through by keep().
+kept. A doc_id of 2 ** 63 - 1 counts as null. Columns other than doc_id and text are ignored, or passed through by keep().
 """
 
 from __future__ import annotations
@@ -136,29 +136,29 @@ def _digests(docs: DataFrame, history: Column) -> DataFrame:
 
 
 def _kept(rows: DataFrame, shards: int | None) -> DataFrame:
-    """winner, in_history and doc_ids for each distinct digest of the rows."""
-    old = rows.where("before").groupBy("digest").agg(F.min("doc_id").alias("winner"), F.collect_list("doc_id").alias("doc_ids"))
-    # copies among the new rows meet before the lookup, so that a text with many of them is one row of its shard
-    new = rows.where(~F.col("before")).groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.collect_list("doc_id").alias("doc_ids"))
+    """digest, winner and in_history for each distinct digest of the rows."""
+    # copies meet by partial aggregation before the lookup, so that a text with many of them is one row of its shard
+    old = rows.where("before").groupBy("digest").agg(F.min("doc_id").alias("winner"))
+    new = rows.where(~F.col("before")).groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     if shards is None:
-        shards = max(1, -(-rows.where("before").count() // SHARD_KEYS))
-    looked = look_up(new, index(old, shards), shards).select("digest", F.col("winner").alias("known")).join(new, "digest")
-    repeats = looked.where(F.col("known").isNotNull()).select("digest", F.col("known").alias("winner"), "doc_ids")
-    others = looked.where(F.col("known").isNull()).select("digest", F.col("doc_id").alias("winner"), F.lit(False).alias("in_history"), F.sort_array("doc_ids").alias("doc_ids"))
-    held = old.unionByName(repeats).groupBy("digest", "winner").agg(F.lit(True).alias("in_history"), F.sort_array(F.flatten(F.collect_list("doc_ids"))).alias("doc_ids"))
-    return held.unionByName(others)
+        shards = max(1, -(-rows.count() // SHARD_KEYS))
+    looked = look_up(new, index(old, shards), shards)
+    others = looked.where(F.col("winner").isNull()).select("digest", F.col("doc_id").alias("winner"), F.lit(False).alias("in_history"))
+    return old.withColumn("in_history", F.lit(True)).unionByName(others)
 
 
 def groups(docs: DataFrame, history: Column, shards: int | None = None) -> DataFrame:
-    """A row for each document that stays: doc_id, in_history, and all the doc_ids of its text in order.
+    """doc_id, winner (the doc_id that stays for its text) and in_history (whether that is a text of history) of every row of docs.
 
     history says which rows of docs came before. shards: by default, so many that each has about SHARD_KEYS
-    digests of history.
+    digests of history and of new rows together. Repeats found in a shard and nonmembers grouped by digest get their
+    winner by one join on the digest, in which Spark splits a text of very many copies.
     """
     back = lambda c: F.nullif(c, _last())
-    kept = _kept(_digests(docs, history), shards)
-    alone = docs.where(F.col("text").isNull()).select("doc_id", F.coalesce(history, F.lit(False)).alias("in_history"), F.array("doc_id").alias("doc_ids"))
-    return kept.select(back(F.col("winner")).alias("doc_id"), "in_history", F.transform("doc_ids", back).alias("doc_ids")).unionByName(alone)
+    rows = _digests(docs, history)
+    found = rows.select("digest", "doc_id").join(_kept(rows, shards), "digest")
+    alone = docs.where(F.col("text").isNull()).select("doc_id", F.col("doc_id").alias("winner"), F.coalesce(history, F.lit(False)).alias("in_history"))
+    return found.select(back(F.col("doc_id")).alias("doc_id"), back(F.col("winner")).alias("winner"), "in_history").unionByName(alone)
 
 
 def keep(docs: DataFrame, history: Column, shards: int | None = None) -> DataFrame:

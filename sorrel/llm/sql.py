@@ -66,9 +66,9 @@ BEFORE = r"coalesce(try_cast(nullif(regexp_extract(source, '^src(\d{1,9})$', 1),
 
 def exact_dedup(docs: str = "documents") -> str:
     return f"""
-SELECT coalesce(min(doc_id) FILTER ({BEFORE}), min(doc_id)) AS doc_id, bool_or({BEFORE}) AS in_history, list_sort(list(doc_id), 'ASC', 'NULLS LAST') AS doc_ids
-FROM {docs} WHERE text IS NOT NULL GROUP BY text
-UNION ALL SELECT doc_id, {BEFORE}, [doc_id] FROM {docs} WHERE text IS NULL"""
+SELECT doc_id, CASE WHEN in_history THEN old ELSE least_id END AS winner, in_history FROM (
+  SELECT doc_id, min(doc_id) FILTER ({BEFORE}) OVER t AS old, min(doc_id) OVER t AS least_id, bool_or({BEFORE}) OVER t AS in_history FROM {docs} WHERE text IS NOT NULL WINDOW t AS (PARTITION BY text))
+UNION ALL SELECT doc_id, doc_id, {BEFORE} FROM {docs} WHERE text IS NULL"""
 
 
 def ngram_join(threshold: float = 0.8, docs: str = "documents") -> str:
