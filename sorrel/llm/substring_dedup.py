@@ -2,16 +2,17 @@
 
 Candidates first: of every min_words words in a row, the k-gram of smallest hash is an anchor (winnowing), so two
 documents that share so many words share an anchor. Around each anchor that occurs in several documents, the
-words that an interval through it can touch form a segment. Segments with the same anchor meet in a shard, where
-the distinct ones are put into a compressed FM-index: a wavelet matrix over the Burrows-Wheeler transform of
-their words, with sampled ranks. Every segment is then streamed through the index: windows of min_words words are
-searched backward, from left to right. Where the interval of suffixes stops holding two documents, no window that
-covers the words read so far has matching statistics of min_words, so the search goes on behind the word that
-failed. A window that holds is extended to the right by bisection. A document's intervals are united where they
-overlap or touch.
-
-Shards hold whole anchors and about SHARD_WORDS words, so memory doesn't grow with the corpus, and every
-repetition is looked for in one shard only.
+words that an interval through it can touch form a segment. Equal segments of an anchor are one kind, whose words
+leave a task once, so a passage that many documents copy is no heavier than one. Kinds of the same anchor meet in a
+shard, where they are put into a compressed FM-index: a wavelet matrix over the Burrows-Wheeler transform of
+their words, with sampled ranks, and bit vectors for the documents that hold them. Every kind is then streamed through
+the index: windows of min_words words are searched backward, from left to right. Where the interval of suffixes stops
+holding two documents, no window that covers the words read so far has matching statistics of min_words, so the search
+goes on behind the word that failed. A window that holds is extended to the right by bisection. The intervals of a kind
+go to its members by a join, and a document's intervals are united where they overlap or touch.
+
+Shards hold whole anchors and about SHARD_WORDS words, and every repetition is looked for in one shard only. A shard is
+larger where the kinds of one anchor are: these are as many as there are different surroundings of one k-gram.
 
 Words are runs of letters, digits, underscores and non-ASCII characters of the lower-case text, compared by
 their 32-bit hashes. Intervals are given in words (start inclusive, end exclusive, from 0).
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sorrel.llm.storage import stored
-from sorrel.llm.textkit import U64, chunks, mix, owner, spread, texts
+from sorrel.llm.textkit import U64, chunks, mix, owner, release, spread, texts
 
 ANCHOR_WORDS = 8
 SHARD_WORDS = 1 << 18
@@ -62,19 +63,30 @@ def anchors(words: np.ndarray, first: np.ndarray, min_words: int, k: int) -> tup
     return grams[place], place
 
 
+class Bits:
+    """A packed bit vector with a rank directory."""
+
+    def __init__(self, bits: np.ndarray):
+        packed = np.packbits(bits, bitorder="little")
+        self.words = np.append(packed, np.zeros(8 + (-len(packed)) % 8, np.uint8)).view(U64)
+        self.ranks = np.append(0, np.cumsum(np.bitwise_count(self.words).astype(np.int64)))[:-1].astype(np.int32)
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """Set bits before each position."""
+        word = at >> 6
+        return self.ranks[word] + np.bitwise_count(self.words[word] & ((U64(1) << (at & 63).astype(U64)) - U64(1)))
+
+
 class WaveletMatrix:
     """Sequence of symbols below 2 ** bits as one packed bit vector per bit, with a rank directory each."""
 
     def __init__(self, symbols: np.ndarray, top: int):
         self.bits = max(1, int(top).bit_length())
         self.length = len(symbols)
-        self.words, self.ranks, self.zeros = [], [], []
+        self.levels, self.zeros = [], []
         for level in range(self.bits - 1, -1, -1):
             bit = ((symbols >> level) & 1).astype(bool)
-            packed = np.packbits(bit, bitorder="little")
-            packed = np.append(packed, np.zeros(8 + (-len(packed)) % 8, np.uint8)).view(U64)
-            self.words.append(packed)
-            self.ranks.append(np.append(0, np.cumsum(np.bitwise_count(packed).astype(np.int64)))[:-1].astype(np.int32))
+            self.levels.append(Bits(bit))
             self.zeros.append(self.length - int(bit.sum()))
             symbols = np.concatenate([symbols[~bit], symbols[bit]])
 
@@ -83,9 +95,7 @@ class WaveletMatrix:
         at = np.concatenate([lo, hi])
         both = np.concatenate([symbol, symbol])
         for depth in range(self.bits):
-            word = at >> 6
-            mask = (U64(1) << (at & 63).astype(U64)) - U64(1)
-            ones = self.ranks[depth][word] + np.bitwise_count(self.words[depth][word] & mask)
+            ones = self.levels[depth].rank(at)
             one = (both >> (self.bits - 1 - depth)) & 1 == 1
             at = np.where(one, self.zeros[depth] + ones, at - ones)
         half = len(lo)
@@ -147,18 +157,14 @@ class FMIndex:
         holder = np.full(len(text), -2, np.int64)
         holder[place] = np.repeat(docs, sizes)
         holder = holder[order]
-        n = len(text)
-        change = np.ones(n, bool)
-        change[1:] = holder[1:] != holder[:-1]
-        following = np.flatnonzero(change)
-        self.next_other = np.append(following, n)[np.searchsorted(following, np.arange(n), "right")]
-        self.several = np.append(0, np.cumsum(holder == -1))
+        self.changes = Bits(np.append(False, holder[1:] != holder[:-1]))
+        self.several = Bits(holder == -1)
 
     def shared(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Whether the suffixes lo .. hi - 1 belong to at least two documents."""
         some = hi > lo
-        at = np.minimum(lo, len(self.next_other) - 1)
-        return some & ((self.next_other[at] < hi) | (self.several[np.maximum(hi, lo)] > self.several[lo]))
+        last = np.maximum(hi, lo + 1)
+        return some & ((self.changes.rank(last) > self.changes.rank(lo + 1)) | (self.several.rank(last) > self.several.rank(lo)))
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b = self.matrix.rank(symbol, lo, hi, self.begin[symbol])
@@ -240,10 +246,30 @@ def _anchor_rows(min_words: int, k: int):
     return run
 
 
-SEGMENTS = "anchor long, same long, doc_id long, start int, words binary"
+MEMBERS = "anchor long, same long, doc_id long, start int"
+KINDS = "anchor long, same long, doc_id long, again boolean, words binary"
 
 
-def _segment_rows(min_words: int, k: int):
+def _segment_rows(min_words: int, k: int, kinds: bool):
+    """The segments of documents (MEMBERS), or what an index needs of them (KINDS): for each kind, the equal segments of
+    an anchor, its words once by task, with a document that has it, and once again if another document has it, too."""
+    first_of: dict[tuple[int, int], int] = {}
+
+    def of_kinds(anchor: np.ndarray, same: np.ndarray, doc: list, a: np.ndarray, b: np.ndarray, symbols: np.ndarray) -> pa.RecordBatch:
+        rows = []
+        for i, (kind, d) in enumerate(zip(zip(anchor.tolist(), same.tolist()), doc)):
+            known = first_of.get(kind)
+            if known is None:
+                first_of[kind] = d
+                rows.append((*kind, d, False, symbols[a[i] : b[i]].tobytes()))
+            elif known not in (d, -1):
+                first_of[kind] = -1
+                rows.append((*kind, d, True, None))
+        if len(first_of) > 500_000:
+            first_of.clear()
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, types)], ["anchor", "same", "doc_id", "again", "words"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text"):
             words, first = _words(part)
@@ -265,9 +291,12 @@ def _segment_rows(min_words: int, k: int):
                 to = np.append(0, np.cumsum(sizes))
                 run_ = np.append(U64(0), np.cumsum(mix(symbols[where].astype(U64) + mix((np.arange(len(where)) - np.repeat(to[:-1], sizes)).astype(U64)))))
                 same = mix((run_[to[1:]] - run_[to[:-1]]) ^ sizes.astype(U64)).view(np.int64)
-                blobs = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((to * 4).astype(np.int32).tobytes()), pa.py_buffer(symbols[where].tobytes())])
                 at = doc[i : i + 4000]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[i : i + 4000].view(np.int64)), pa.array(same), part.column("doc_id").take(pa.array(at)), pa.array((a - first[at]).astype(np.int32)), blobs], ["anchor", "same", "doc_id", "start", "words"])
+                anchor = hashes[i : i + 4000].view(np.int64)
+                if kinds:
+                    yield of_kinds(anchor, same, part.column("doc_id").take(pa.array(at)).to_pylist(), a, b, symbols)
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(same), part.column("doc_id").take(pa.array(at)), pa.array((a - first[at]).astype(np.int32))], ["anchor", "same", "doc_id", "start"])
 
     return run
 
@@ -275,51 +304,44 @@ def _segment_rows(min_words: int, k: int):
 FOUND = "doc_id long, start_word int, end_word int"
 
 
+INTERVALS = "anchor long, same long, lo int, hi int"
+
+
 def _shard_rows(min_words: int):
-    """Cuts the sorted segments into shards, indexes each and streams its segments through the index."""
+    """Cuts the sorted kinds into shards, indexes each and streams its kinds through the index."""
 
-    def search(rows: list[np.ndarray], blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        new, doc, start = rows[2], rows[3], rows[4]
-        segment = np.cumsum(new) - 1
-        heads = np.flatnonzero(new)
+    def search(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        anchor, same, doc = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        blobs = [b for p in parts for b in p[3]]
+        heads = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (same[1:] != same[:-1])))
         least, most = np.minimum.reduceat(doc, heads), np.maximum.reduceat(doc, heads)
-        words = np.frombuffer(b"".join(blobs), np.uint32)
+        blobs = [blobs[i] for i in heads.tolist()]
         first = np.append(0, np.cumsum([len(b) // 4 for b in blobs]))
-        index = FMIndex(words, first, np.where(least == most, doc[heads], -1))
+        index = FMIndex(np.frombuffer(b"".join(blobs), np.uint32), first, np.where(least == most, doc[heads], -1))
         seg, lo, hi = index.repeats(first, min_words)
-        order = np.argsort(seg, kind="stable")
-        seg, lo, hi = seg[order], lo[order], hi[order]
-        begin = np.searchsorted(seg, np.arange(len(heads) + 1))
-        count = np.diff(begin)[segment]
-        pick = spread(begin[segment], count)
-        by = np.repeat(np.arange(len(doc)), count)
-        d, a, b = unite(doc[by], start[by] + lo[pick], start[by] + hi[pick])
-        if len(d):
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["doc_id", "start_word", "end_word"])
+        seg, lo, hi = unite(seg, lo, hi)
+        if len(seg):
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[heads[seg]]), pa.array(same[heads[seg]]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["anchor", "same", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # anchor, same, first of its kind, doc_id, start of the rows held; words of those that are first
-        held, blobs, volume = [np.zeros(0, np.int64) for _ in range(5)], [], 0
+        held: list[tuple] = []
+        volume = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             anchor, same, doc = (batch.column(c).to_numpy() for c in ("anchor", "same", "doc_id"))
-            new = np.append(True, (anchor[1:] != anchor[:-1]) | (same[1:] != same[:-1]))
-            if len(held[0]):
-                new[0] = anchor[0] != held[0][-1] or same[0] != held[1][-1]
-            added = batch.column("words").filter(pa.array(new)).to_pylist()
-            blobs += added
-            volume += sum(map(len, added)) // 4
-            held = [np.append(a, b) for a, b in zip(held, (anchor, same, new.astype(np.int64), doc, batch.column("start").to_numpy().astype(np.int64)))]
-            if volume >= SHARD_WORDS:
-                cut = int(np.flatnonzero(held[0] != held[0][-1])[-1]) + 1 if held[0][0] != held[0][-1] else 0
-                if cut:
-                    n = int(held[2][:cut].sum())
-                    yield from search([x[:cut] for x in held], blobs[:n])
-                    held, blobs = [x[cut:] for x in held], blobs[n:]
-                    volume = sum(map(len, blobs)) // 4
-        if len(held[0]):
-            yield from search(held, blobs)
+            blobs = batch.column("words").to_pylist()
+            new = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])).tolist()
+            for lo, hi in zip(new, [*new[1:], len(anchor)]):
+                # before an anchor that goes on from the rows held nothing is cut
+                if volume >= SHARD_WORDS and held and held[-1][0][-1] != anchor[lo]:
+                    yield from search(held)
+                    held, volume = [], 0
+                held.append((anchor[lo:hi], same[lo:hi], doc[lo:hi], blobs[lo:hi]))
+                volume += sum(len(b) // 4 for b in blobs[lo:hi] if b)
+        if held:
+            yield from search(held)
+        release()
 
     return run
 
@@ -351,6 +373,9 @@ def repeated(docs: DataFrame, min_words: int = 50, anchor_words: int = ANCHOR_WO
     met = stored(rows.mapInArrow(_anchor_rows(min_words, k), "anchor long, doc_id long"), "anchors")
     shared = met.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
     hits = met.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    segments = rows.join(hits, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_segment_rows(min_words, k), SEGMENTS)
-    found = segments.repartition("anchor").sortWithinPartitions("anchor", "same").mapInArrow(_shard_rows(min_words), FOUND)
+    wanted = rows.join(hits, "doc_id").select("doc_id", "text", "anchors")
+    kinds = wanted.mapInArrow(_segment_rows(min_words, k, True), KINDS)
+    repeats = kinds.repartition("anchor").sortWithinPartitions("anchor", "same", "again").mapInArrow(_shard_rows(min_words), INTERVALS)
+    members = wanted.mapInArrow(_segment_rows(min_words, k, False), MEMBERS)
+    found = members.join(repeats, ["anchor", "same"]).select("doc_id", (F.col("start") + F.col("lo")).alias("start_word"), (F.col("start") + F.col("hi")).alias("end_word"))
     return found.repartition("doc_id").sortWithinPartitions("doc_id", "start_word").mapInArrow(_united, FOUND)
