@@ -62,7 +62,11 @@ def split_records(content: bytes) -> Iterator[tuple[int, bytes]]:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all WARC files below a folder; file is a hash of the file's name."""
+    """Records of all WARC files below a folder; file is a hash of the file's path from there.
+
+    Spark reads each file whole, so one may have up to 2 GB. A record without Content-Length goes to the end of its
+    file, one cut short is what is there of it, and an empty file has no records.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,7 +75,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.binary()))] if rows else [pa.array([], t) for t in (pa.int64(), pa.string(), pa.int64(), pa.binary())], ["file", "record_id", "position", "bytes"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    name = F.element_at(F.split("path", "/"), -1)
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString()
+    name = F.substr("path", F.lit(len(whole) + 2))
     return files.select(F.xxhash64(name).alias("file"), "content").mapInArrow(run, RECORDS)
 
 
