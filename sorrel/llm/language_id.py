@@ -6,11 +6,11 @@ follow-the-regularised-leader with proximal steps and an elastic net (McMahan et
 zero; a temperature fitted on held-out documents then calibrates the probabilities.
 
 The model is trained on a sample of at most about train_docs + held_out labelled documents, drawn by a hash of
-doc_id (a documented bound; everything else covers all documents). Text is scored whole: a logit is the mean over
+doc_id and text (a documented bound; everything else covers all documents). Text is scored whole: a logit is the mean over
 the text's n-grams of weight times inverse document frequency, so no feature vector is ever made.
 
 Defined results: null and empty texts have a null predicted language and confidence 0. Documents without a label
-aren't trained on but are classified. Where two languages score alike, the first in alphabetical order wins. If no
+aren't trained on but are classified. A label so rare that the sample has none of its documents is never predicted. Where two languages score alike, the first in alphabetical order wins. If no
 document has a label, all predictions are null. Rows of one doc_id are classified one by one. Columns other than
 doc_id, text and the label are ignored.
 """
@@ -191,7 +191,7 @@ def fit(docs: DataFrame, label: str, s: Settings = Settings()) -> Trained | None
     idf = inverse_frequencies(docs, s.bits)
     known = docs.where(F.col(label).isNotNull() & (F.col("text") != ""))
     share = min(1.0, (s.train_docs + s.held_out) / max(1, known.count()))
-    draw = F.pmod(F.xxhash64(F.lit(s.seed), F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    draw = F.pmod(F.xxhash64(F.lit(s.seed), F.col("doc_id"), F.col("text")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rows = [(r["text"], r["label"]) for r in known.where(draw < share).select("doc_id", "text", F.col(label).alias("label")).orderBy(F.xxhash64(F.lit(s.seed + 1), "doc_id"), "text").toLocalIterator()]
     cut = len(rows) * s.train_docs // (s.train_docs + s.held_out)
     return train(rows[: max(1, cut)], rows[max(1, cut) :], idf, s) if rows else None
