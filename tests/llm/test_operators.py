@@ -1,9 +1,12 @@
 """The ten operators against brute force, round trips and held-out accuracy, on small fixtures."""
 
 import hashlib
+import math
 import os
 import random
 import re
+import struct
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -132,7 +135,8 @@ def test_exact_dedup(spark, odd, shards):
     r = random.Random(5)
     found = [(r.choice([None, *range(300)]), r.choice([None, "", *(f"text {i}" for i in range(60))]), r.choice([None, "web", *(f"src{i}" for i in range(5))])) for _ in range(400)]
     df = docs_of(spark, [(d, t, None, s, None) for d, t, s in found])
-    assert sorted(((x[0], x[1], x[2]) for x in exact_dedup.groups(df, queries.ingested_before(), shards).collect()), key=str) == brute_exact(found)
+    want = [(d, w, h) for w, h, ids in brute_exact(found) for d in ids]
+    assert rows(exact_dedup.groups(df, queries.ingested_before(), shards)) == sorted(want, key=str)
     kept = exact_dedup.keep(df, queries.ingested_before(), shards)
     assert kept.columns == df.columns
     assert kept.where("text is not null").count() == len({t for _, t, _ in found if t is not None})
@@ -141,6 +145,16 @@ def test_exact_dedup(spark, odd, shards):
     assert rows(exact_dedup.keep(odd, queries.ingested_before()).select("doc_id"))[:2] == [(1,), (1,)]
 
 
+def test_exact_dedup_without_history(spark, monkeypatch):
+    """New digests alone make the shards, and one text may have most of the rows."""
+    monkeypatch.setattr(exact_dedup, "SHARD_KEYS", 50)
+    texts = ["the same text"] * 3000 + [f"text {i}" for i in range(400)]
+    df = docs_of(spark, [(i, t, None, "src1", None) for i, t in enumerate(texts)])
+    got = exact_dedup.groups(df, queries.ingested_before()).collect()
+    assert sorted((r["doc_id"], r["winner"]) for r in got) == [(i, i if t != texts[0] else 0) for i, t in enumerate(texts)]
+    assert exact_dedup.keep(df, queries.ingested_before()).count() == 401
+
+
 def test_perfect_hash():
     lanes = np.frombuffer(b"".join(hashlib.sha256(str(i).encode()).digest() for i in range(5000)), np.uint64).reshape(-1, 4)
     found = exact_dedup.PerfectHash.build(lanes)
@@ -353,6 +367,15 @@ def test_substring_dedup(spark, min_words, vocabulary, anchor):
     assert rows(got) == brute_intervals(found, min_words)
 
 
+def test_substring_dedup_of_one_passage_everywhere(spark):
+    """One passage in all documents, in several tasks, and one of two copies; equal segments are told by document."""
+    shared = " ".join(f"p{i}" for i in range(30))
+    texts = [f"{a} {shared} {b}" for a, b in zip(noise(21, 150), noise(22, 150))] + [shared] * 60
+    found = list(enumerate(texts)) + [(3, shared)]
+    df = docs_of(spark, [(d, t, None, None, None) for d, t in found]).repartition(7)
+    assert rows(substring_dedup.repeated(df, 12, 8)) == brute_intervals(found, 12)
+
+
 def test_substring_dedup_sql(spark, sf_dir, con, odd, none):
     same(queries.op4_substring_dedup(spark, sf_dir), con, sql.substring_dedup())
     assert rows(substring_dedup.repeated(odd)) == [(4, 0, 90), (5, 0, 90)] and substring_dedup.repeated(none).count() == 0
@@ -395,6 +418,67 @@ def test_language_model_is_sparse():
     assert [model.languages[i] for i in logits.argmax(axis=1)] == [x for _, x in data]
 
 
+def plain_grams(text, bits):
+    """Hashed n-grams in plain integers, counted."""
+    mask, out = 2**64 - 1, Counter()
+    codes = []
+    for ch in text.lower():
+        code = 0
+        for b in ch.encode():
+            code = code << 8 | b
+        code = (code + 1) * 0x9E3779B97F4A7C15 & mask
+        codes.append(code ^ code >> 29)
+    for n in language_id.LENGTHS:
+        for i in range(len(codes) - n + 1):
+            run = codes[i]
+            for c in codes[i + 1 : i + n]:
+                run = run * 0xD6E8FEB86659FD93 + c & mask
+            out[((run + n) * 0xFF51AFD7ED558CCD & mask) >> 64 - bits] += 1
+    return out
+
+
+def test_language_model_against_brute_force(spark):
+    """Document frequencies, weights after every coordinate's own steps, and scores, in plain Python."""
+    r, s = random.Random(3), language_id.Settings(bits=9, epochs=2)
+    data = [("".join(r.choice(("abc \u00e9", "cde\u00fc ", "ab\u65e5\u672cf")[k]) for _ in range(r.randrange(1, 25))), "xyz"[k]) for k in (i % 3 for i in range(45))]
+    idf = language_id.inverse_frequencies(docs_of(spark, [(i, t, lang, None, None) for i, (t, lang) in enumerate(data)]), s.bits)
+    grams = [plain_grams(t, s.bits) for t, _ in data]
+    df = Counter(f for g in grams for f in g)
+    assert idf.tolist() == pytest.approx([math.log((1 + len(data)) / (1 + df[f])) + 1 for f in range(1 << s.bits)], abs=1e-12)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(key):
+        if abs(z[key]) <= s.l1:
+            return 0.0
+        return -(z[key] - math.copysign(s.l1, z[key])) / ((s.beta + math.sqrt(n[key])) / s.alpha + s.l2)
+
+    rng = np.random.default_rng(s.seed)
+    for _ in range(s.epochs):
+        for i in rng.permutation(len(data)):
+            x = {f: 10 * c / sum(grams[i].values()) * idf[f] for f, c in grams[i].items()} | {"bias": 1.0}
+            w = {(f, k): weight((f, k)) for f in x for k in range(3)}
+            scores = [math.fsum(x[f] * w[f, k] for f in x) for k in range(3)]
+            total = math.fsum(math.exp(v) for v in scores)
+            for k in range(3):
+                error = math.exp(scores[k]) / total - (k == "xyz".index(data[i][1]))
+                for f in x:
+                    g = x[f] * error
+                    z[f, k] += g - (math.sqrt(n[f, k] + g * g) - math.sqrt(n[f, k])) / s.alpha * w[f, k]
+                    n[f, k] += g * g
+    model = language_id.train(data, [], idf, s)
+    want = [[weight((f, k)) * 10 * idf[f] for k in range(3)] for f in range(1 << s.bits)]
+    assert np.allclose(model.weights, want, rtol=1e-6, atol=1e-9) and np.allclose(model.bias, [weight(("bias", k)) for k in range(3)], atol=1e-9)
+    logits, _ = language_id.score_texts(pa.array([t for t, _ in data]), model, s.bits)
+    for g, row in zip(grams, logits):
+        assert row.tolist() == pytest.approx([math.fsum(c * float(model.weights[f, k]) for f, c in g.items()) / sum(g.values()) + model.bias[k] for k in range(3)], abs=1e-9)
+
+
+def test_language_ties():
+    model = language_id.Trained(["a", "b"], np.zeros((1 << 8, 2), np.float32), np.zeros(2), 1.0)
+    logits, _ = language_id.score_texts(pa.array(["xyz"]), model, 8)
+    assert logits.argmax(axis=1).tolist() == [0]
+
+
 # 6 WARC fixity
 
 
@@ -423,6 +507,18 @@ def test_warc_files(spark, tmp_path):
     assert warc_fixity.audit(a, a).count() == 0
 
 
+def test_warc_files_of_one_name(spark, tmp_path):
+    """Files are told apart by folder; empty and truncated ones, and records without a length, have defined records."""
+    record = b"WARC/1.0\r\nWARC-Record-ID: <urn:1>\r\nContent-Length: 4\r\n\r\nbody\r\n\r\n"
+    for name, data in (("x/0.warc", record * 2), ("y/0.warc", record), ("y/1.warc", b""), ("y/2.warc", record[:-6]), ("y/3.warc", b"WARC/1.0\r\n\r\nrest " + record)):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    found = warc_fixity.read_records(spark, str(tmp_path)).collect()
+    n = len(record)
+    assert sorted(Counter(r["file"] for r in found).values()) == [1, 1, 1, 2]
+    assert sorted(len(r["bytes"]) for r in found) == sorted([n, n, n, n - 6, n + len(b"WARC/1.0\r\n\r\nrest ")])
+
+
 def test_warc_odd_pages(spark):
     pages = docs_of(spark, [(None, None, None), (None, "u", "h"), (1, "u", None), (1, "u", None), (2, "", ""), (5001, "u", "x" * 100_000)], "page_id long, url string, html string")
     t = warc_fixity.trees(warc_fixity.page_records(pages))
@@ -436,10 +532,50 @@ def test_warc_odd_pages(spark):
 # 7 secret scans
 
 
-def brute_pairs_of(text):
+def found_in(text):
     return [(p.name, p.literal) for p in secret_scan.pairs(text)]
 
 
+def program(r):
+    """Assignments in many forms among prose and code, and the secrets that they hold, known without any lexing."""
+    lines, want = [], []
+    secret = lambda: "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789") for _ in range(r.randrange(16, 40)))
+    for _ in range(r.randrange(1, 25)):
+        name, value = r.choice(["password", "api_secret", "DB_PASSWD", "authToken", "credentials"]) + str(r.randrange(9)), secret()
+        form = r.randrange(12)
+        lines += [[f'{name} = "{value}"'], [f"{name}: '{value}'"], [f'"{name}": "{value}",'], [f"export {name.upper()}={value}"], [f"# {name} = '{value}'"], [f'const {name}: string = "{value}";'],
+                  [f'x = "{value[:9]}"', f'y = "{value[9:]}"', f"{name} = x + y"], [f'{name} = (', f'    "{value[:8]}"', f'    "{value[8:]}"', ")"], [f"/* {name} := `{value}` */"],
+                  [f'greeting_{r.randrange(9)} = "{value}"'], [f"if {name} == '{value}' and more:"], [f"they said the {name}, once, {value}"]][form]
+        if form < 9:
+            want.append((name.upper() if form == 3 else name, value))
+        lines.append(r.choice(["", "some prose that isn't code", "for i in range(10): pass", "x[3] += f(1)", "it's", "path/*.c and 5*/2"]))
+    return "\n".join(lines), want
+
+
+def test_planted_secrets():
+    r = random.Random(11)
+    for _ in range(300):
+        text, want = program(r)
+        got = [(name, length, digest) for _, name, _, length, digest, _, _ in secret_scan.scan_text(text, 0.5)]
+        assert sorted(got) == sorted((n, len(v), hashlib.sha256(v.encode()).hexdigest()) for n, v in want), text
+
+
+@pytest.mark.parametrize("unit", ["/* ", "<!-- ", '"', '\\"', "'a ", "`", "a=`", '"""x', 'b"\\"', "x: ", "key = ("])
+def test_secret_scan_is_linear(unit):
+    text = unit * (300_000 // len(unit))
+    at = time.process_time()
+    secret_scan.scan_text(text, 0.5)
+    secret_scan.lex(text)
+    assert time.process_time() - at < 15  # hours if it were quadratic
+
+
+def test_long_names_and_literals():
+    name = "password_" + "x" * 500
+    assert found_in(f'{name} = "abc123XYZ789"') == [(name, "abc123XYZ789")]
+    got = found_in('key = ""\n' + 'key += "abcdefgh"\n' * 2000)
+    assert len(got) == 2001 and len(got[-1][1]) == secret_scan.LONGEST
+
+
 @pytest.mark.parametrize(
     ("text", "want"),
     [
@@ -456,7 +592,7 @@ def brute_pairs_of(text):
     ],
 )
 def test_assignments(text, want):
-    assert brute_pairs_of(text) == want
+    assert found_in(text) == want
 
 
 @pytest.mark.parametrize(
@@ -480,7 +616,7 @@ def test_assignments(text, want):
     ],
 )
 def test_assignments_in_all_forms(text, want):
-    assert brute_pairs_of(text) == want and secret_scan._SIGN.search(text)
+    assert found_in(text) == want and secret_scan._SIGN.search(text)
 
 
 def test_placeholders_are_words():
@@ -516,13 +652,90 @@ def test_sentencepiece(spark, odd, none, docs):
         got = sentencepiece_codec.encode(df, MODEL)
         for r in got.collect():
             assert (None if r["token_ids"] is None else tuple(r["token_ids"])) in by[r["doc_id"]]
-            assert r["n_tokens"] == (None if r["token_ids"] is None else len(r["token_ids"]))
+            assert r["parity"] in (True, None) and r["n_tokens"] == (None if r["token_ids"] is None else len(r["token_ids"]))
         assert got.count() == df.count()
     back = {r["doc_id"]: r["text"] for r in sentencepiece_codec.decode(sentencepiece_codec.encode(docs, MODEL), MODEL).collect()}
     assert all(back[r["doc_id"]] == whole.decode(whole.encode(r["text"])) for r in docs.collect())
     assert sentencepiece_codec.encode(none, MODEL).count() == 0
 
 
+def varint(n):
+    out = b""
+    while True:
+        n, low = n >> 7, n & 127
+        out += bytes([low | (128 if n else 0)])
+        if not n:
+            return out
+
+
+def field(number, value):
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def written_model(pieces, kind, byte_fallback, charsmap=b"", dummy_prefix=1, squeeze=1):
+    """A model file made of given pieces; nothing is trained."""
+    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] * byte_fallback + pieces
+    out = b"".join(field(1, field(1, p.encode()) + field(2, float(s)) + field(3, t)) for p, s, t in rows)
+    out += field(2, field(3, kind) + field(4, len(rows)) + field(35, int(byte_fallback)) + field(40, 0) + field(41, 1) + field(42, 2) + field(43, 2**64 - 1))
+    return out + field(3, field(1, b"identity") + field(2, charsmap) + field(3, dummy_prefix) + field(4, squeeze) + field(5, 1))
+
+
+def unigram_pieces(seed):
+    r = random.Random(seed)
+    words = {"\u2581", *"abcdehilnorstu", *(("\u2581" if r.random() < 0.5 else "") + "".join(r.choice("abcdehilnorstu") for _ in range(r.randrange(1, 6))) for _ in range(300)), "\u00e9", "\u65e5\u672c"}
+    return [(w, -r.uniform(2, 12), 1) for w in sorted(words)]
+
+
+def samples(seed):
+    r = random.Random(seed)
+    return ["".join(r.choice("abcdehilnorstu    xyz\u00e9\u65e5\u672c\U0001f600,.\n\t") for _ in range(r.randrange(0, 60))) for _ in range(250)] + ["", " ", "  ", "a" * 5000, "\u2581", " a  b "]
+
+
+@pytest.mark.parametrize(("byte_fallback", "dummy_prefix", "squeeze"), [(False, 1, 1), (True, 1, 1), (True, 0, 0), (False, 1, 0)])
+def test_unigram_models(tmp_path, byte_fallback, dummy_prefix, squeeze):
+    """Ids of written unigram models, with and without byte fallback, against the sentencepiece library."""
+    import sentencepiece
+
+    data = written_model(unigram_pieces(1), 1, byte_fallback, dummy_prefix=dummy_prefix, squeeze=squeeze)
+    (tmp_path / "m.model").write_bytes(data)
+    whole, codec = sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "m.model")), sentencepiece_codec.WordCodec(sentencepiece_codec.parse_model(data))
+    texts = samples(5)
+    ids, at, fine, _ = codec.encode(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == whole.encode(t), t
+    assert fine[texts.index("")]
+
+
+@pytest.mark.parametrize("byte_fallback", [False, True])
+def test_models_with_a_character_map(tmp_path, byte_fallback):
+    """A compiled NFKC map, as the library carries it, in a written model."""
+    import sentencepiece
+
+    charsmap = sentencepiece_codec.parse_model(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()).charsmap
+    data = written_model(unigram_pieces(1), 1, byte_fallback, charsmap=charsmap)
+    (tmp_path / "m.model").write_bytes(data)
+    whole = sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "m.model"))
+    codec = sentencepiece_codec.WordCodec(sentencepiece_codec.parse_model(data), library=whole)
+    texts = samples(5) + ["\ufb01ne \uff21\uff22\uff11", "e\u0301te\u0301 \u2163", "x\u200by\u3000z\u00a0 w", "\u2460\r\n\u2461"]
+    ids, at, _, equal = codec.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [whole.encode(t) for t in texts] and equal.all()
+
+
+def test_parity_is_reported(spark, tmp_path):
+    """Texts that the pieces can't spell, and ids beyond the vocabulary."""
+    data = written_model(unigram_pieces(2), 1, False)
+    (tmp_path / "m.model").write_bytes(data)
+    got = {r["doc_id"]: r for r in sentencepiece_codec.encode(docs_of(spark, [(1, "a b c", None, None, None), (2, "a \U0001f600", None, None, None)]), str(tmp_path / "m.model")).collect()}
+    assert got[1]["round_trip"] and not got[2]["round_trip"]
+    ids = spark.createDataFrame([(1, [5, 10**6, -1, 6]), (2, None), (3, [])], "doc_id long, token_ids array<int>")
+    back = {r["doc_id"]: r["text"] for r in sentencepiece_codec.decode(ids, str(tmp_path / "m.model")).collect()}
+    assert back[2] is None and back[3] == "" and isinstance(back[1], str)
+
+
 # 9 HTML extraction
 
 
@@ -565,6 +778,59 @@ def test_furniture(entries, kept):
     assert [not f for e, f in zip(entries, wrappers.furniture(entries)) if e == "#"] == kept
 
 
+def brute_longest(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def matches(wrapper, stream):
+    """Whether a wrapper's expression, read as a regular expression over tokens, gives all of a stream."""
+    expression = re.sub(r"[^()+? ]+", lambda m: "(?:" + re.escape(m[0]) + " )", str(wrapper)).replace(" )", "\0").replace(" ", "").replace("\0", " )").replace("+?", "*")
+    flat = stream.replace("\n", " ")
+    while "(" in flat:
+        flat = re.sub(r"\(([^()]*)\)\+", r"\1", flat)
+    return re.fullmatch(expression, flat + " ") is not None
+
+
+def test_alignment_against_brute_force():
+    """The subsequence is a longest one, and the wrapper of random streams matches each of them."""
+    r = random.Random(6)
+    for _ in range(200):
+        a, b = ([r.choice("abcde#") for _ in range(r.randrange(0, 25))] for _ in range(2))
+        got = wrappers._longest(a, b)
+        assert all(a[i] == b[j] for i, j in got) and got == sorted(set(got)) and len(got) == brute_longest(a, b)
+        assert all(i < k and j < m for (i, j), (k, m) in zip(got, got[1:]))
+    for _ in range(400):
+        w, streams = wrappers.Wrapper(), []
+        for _ in range(r.randrange(1, 6)):
+            row = [t for _ in range(r.randrange(1, 5)) for t in r.choice([["h1", "#", "/h1"], ["p", "#", "/p"], ["ul", *["li", "#", "/li"] * r.randrange(1, 4), "/ul"], ["hr"]])]
+            streams.append("\n".join(k for k, _ in wrappers.fold(row)))
+            w.align(streams[-1].split("\n"))
+        assert all(matches(w, s) for s in streams), (str(w), streams)
+
+
+def test_rows_of_any_length_fold():
+    for cells in (3, 17, 60):
+        row = ["tr", *(x for i in range(cells) for x in (f"t{i}", "#", f"/t{i}")), "/tr"]
+        streams = {"\n".join(k for k, _ in wrappers.fold(["table", *row * times, "/table"])) for times in (2, 3, 5)}
+        assert len(streams) == 1 and sum(n for _, n in wrappers.fold([*row * 4])) == 4 * len(row)
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a "', "<!-- ", "<!", "<script ", "<p>", "<a '\"", "<", '<td a="<', "<p>x</p><b>"])
+def test_tokens_are_linear(unit):
+    at = time.process_time()
+    found = wrappers.tokens(unit * (1_000_000 // len(unit)))
+    assert time.process_time() - at < 15 and len(found) < 400_000
+
+
+def test_tokens():
+    page_ = "a<b>c</b> < d <p class='x>y' id=\"<q>\">e<!-- <p> --><script>if (a<b) '</p>'</script >f<BR/>g<!doctype html><i"
+    assert wrappers.tokens(page_) == [("#", "ac < d"), ("p", ""), ("#", "ef g<i")]
+
+
 def test_alignment():
     w = wrappers.Wrapper()
     for s in (["h1", "#", "/h1", "p", "#", "/p"], ["h1", "#", "/h1", "h2", "#", "/h2", "p", "#", "/p"], ["h1", "#", "/h1"]):

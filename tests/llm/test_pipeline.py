@@ -10,7 +10,7 @@ import pytest
 import corpus_pipeline
 from sorrel.llm import mixing, queries
 from tests.compare import duck, same
-from tests.llm.test_operators import brute_classes, brute_exact, brute_quality
+from tests.llm.test_operators import ODD, docs_of, brute_classes, brute_exact, brute_quality
 
 SQL = queries.oracle_sql()
 
@@ -46,3 +46,17 @@ def test_run(spark, sf_dir):
             want[d["doc_id"], tuple(codec.encode(d["text"]))] += times
     got = Counter((r["doc_id"], tuple(r["token_ids"])) for r in corpus_pipeline.run(spark, sf_dir).collect())
     assert got == want
+
+
+@pytest.mark.skipif(not os.path.exists(queries.SENTENCEPIECE_MODEL), reason="no model here")
+def test_run_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and long texts, ties, repeated rows, columns of clashing names, and no rows at all."""
+    rows = [r for r in ODD if r[0] not in (4, 5)] + [(20, "a b c d e f g h i j", "en", "src1", 19), (21, "a b c d e f g h i j k", "en", "src1", 21), (22, "a b c d e f g h i j", None, "src2", 19)]
+    docs_of(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    found = {r["doc_id"] for r in got}
+    # 2 and 3 are both "", 6 is white space, 22 came before 20, and 21 is near it; sources of few characters repeat
+    assert found <= {None, 1, 2, 3, 6, 7, 8, 9, 21, 22} and {1, 3, 7, 8} & found and 20 not in found and 2 not in found
+    assert {r["doc_id"] for r in got if r["token_ids"] is None} <= {1} and all(r["n_tokens"] == 0 for r in got if r["doc_id"] in (2, 3))
+    docs_of(spark, []).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
