@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,15 +14,21 @@ from sorrel import __version__
 from sorrel.operators import drift, graph, lexical, metrics, neighbours, priority, report, skeleton, text
 from sorrel.plans import catalog
 from sorrel.plans.catalog import Catalog, Store
+from sorrel.shipping import ship
 from sorrel.sources import scan
 
 DATA = ".sorrel"
+#: Threads of a session started here; 0: as Spark is configured.
+_threads = 0
 
 
 def _session() -> SparkSession:
-    spark = SparkSession.getActiveSession() or SparkSession.builder.appName("sorrel").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        builder = SparkSession.builder.appName("sorrel").config("spark.ui.showConsoleProgress", "false")
+        spark = (builder.master(f"local[{_threads}]") if _threads else builder).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return ship(spark)
 
 
 def _store(a: argparse.Namespace) -> Store:
@@ -36,12 +43,14 @@ def _open(a: argparse.Namespace) -> Catalog:
 
 
 def _show(a: argparse.Namespace, value) -> None:
-    """JSON, or a line for each entry."""
+    """JSON, or a line for each entry, names of fields dimmed where the output has colours."""
     if a.json:
         print(report.to_json(value))
         return
+    colour = sys.stdout.isatty() and "NO_COLOR" not in os.environ if a.color is None else a.color
+    name = "\033[2m{}=\033[0m" if colour else "{}="
     for row in value if isinstance(value, list) else [value]:
-        print("  ".join(f"{k}={v}" for k, v in row.items()) if isinstance(row, dict) else row)
+        print("  ".join(name.format(k) + str(v) for k, v in row.items()) if isinstance(row, dict) else row)
 
 
 def _listed(df: DataFrame, limit: int | None = None) -> list[dict]:
@@ -49,6 +58,9 @@ def _listed(df: DataFrame, limit: int | None = None) -> list[dict]:
 
 
 def index(a: argparse.Namespace) -> int:
+    """--no-parallel and --workers set the threads of a session that starts here."""
+    global _threads
+    _threads = 1 if a.no_parallel else a.workers or _threads
     _show(a, vars(catalog.index_folder(_session(), a.repo, os.path.join(os.path.abspath(a.repo), DATA), a.full)))
     return 0
 
@@ -193,7 +205,7 @@ def health_report(a: argparse.Namespace) -> int:
 
 #: Arguments of each command: positional ones, and options with their defaults (False: a flag).
 COMMANDS = {
-    index: ([], {"full": False}),
+    index: ([], {"full": False, "parallel": False, "no_parallel": False, "workers": 0}),
     query: (["question"], {"limit": 20, "match_all": False}),
     context: (["target"], {}),
     impact: (["target"], {}),
@@ -220,6 +232,7 @@ OTHER_FLAGS = {"match_all": ["--and"]}
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="sorrel")
     top.add_argument("--version", action="version", version=__version__)
+    top.add_argument("--color", action=argparse.BooleanOptionalAction, default=None)
     commands = top.add_subparsers(dest="command", required=True)
     for run, (places, options) in COMMANDS.items():
         sub = commands.add_parser(run.__name__, aliases=OTHER_NAMES.get(run.__name__, []))
@@ -237,10 +250,21 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def _log(a: argparse.Namespace, code: int) -> None:
+    """A line of the operations log, where the repository has an index: time, command, and what it was asked and gave."""
+    folder = os.path.join(os.path.abspath(a.repo), DATA)
+    if os.path.isdir(folder):
+        given = " ".join(f"{k}={v}" for k, v in vars(a).items() if k not in ("run", "command", "repo") and v not in (None, False, ""))
+        with open(os.path.join(folder, "operations.log"), "a", encoding="utf-8") as f:
+            f.write("\t".join([datetime.now(timezone.utc).isoformat(timespec="seconds"), a.command, f"{given} exit={code}".replace("\t", " ").replace("\n", " ").strip()]) + "\n")
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     try:
-        return a.run(a)
+        code = a.run(a)
+        _log(a, code)
+        return code
     except FileNotFoundError as e:
         print(e, file=sys.stderr)
         return 2

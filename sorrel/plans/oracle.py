@@ -160,12 +160,71 @@ rest AS (SELECT t.target, min(file_id) AS id FROM t JOIN file ON contains(rel_pa
 SELECT target, b.kind AS kind, b.id AS id, b.level AS level FROM best UNION ALL SELECT target, 'file', id, 8 FROM rest"""
 
 
+#: By hand from the text of adapters.CLASSES; {s} and {n} as there.
+CLASS_SYMBOLS = [
+    ("", "module", None, 1, None, 0, 0, None, "Module {s}.", 0),
+    (".LIMIT", "constant", None, 17, 17, 0, 0, None, None, 0),
+    ("._HIDDEN", "constant", None, 18, 18, 0, 0, None, None, 1),
+    (".Widget{s}", "class", None, 21, 42, 0, 22, None, "Widget {s}.", 0),
+    (".Widget{s}.__init__", "method", ".Widget{s}", 26, 27, 1, 2, "(self, owner)", None, 1),
+    (".Widget{s}.draw", "method", ".Widget{s}", 29, 35, 5, 7, "(self, x, /, y, *, z)", "Draws {s}.", 0),
+    (".Widget{s}.refresh", "method", ".Widget{s}", 37, 42, 5, 6, "(self)", None, 0),
+    (".helper{s}", "function", None, 45, 46, 1, 2, "(x)", None, 0),
+    (".shared{s}", "function", None, 49, 58, 1, 10, "(x, *rest, key, **more)", None, 0),
+    (".spare{n}", "function", None, 61, 63, 2, 3, "(x)", None, 0),
+    ("._private{s}", "function", None, 66, 67, 2, 2, "(x)", None, 1),
+    (".spare{s}", "function", None, 70, 71, 1, 2, "(x)", None, 0),
+    (".spare{s}", "function", None, 74, 75, 1, 2, "(x)", None, 0),
+]
+CLASS_IMPORTS = [
+    ("__future__", "annotations", None, 2, None),
+    *(("pkg.x{n}", name, alias, line, "pkg/x{n}.py") for name, alias, line in (("Widget{n}", None, 4), ("helper{n}", None, 4), ("shared{n}", "renamed", 5), ("spare{n}", None, 5), (None, "other", 9), ("LIMIT", "bound", 12), ("_HIDDEN", "hidden", 12))),
+    ("x{n}", None, None, 10, "pkg/x{n}.py"),
+    (".", "sibling", None, 11, None),
+]
+#: Caller and its line, callee, line, what it resolves to and the line of that.
+CLASS_CALLS = [
+    (".Widget{s}.draw", 29, "Widget{s}.refresh", 31, "pkg.x{s}.Widget{s}.refresh", 37),
+    (".Widget{s}.draw", 29, "range", 32, None, None),
+    (".Widget{s}.draw", 29, "_private{s}", 35, "pkg.x{s}._private{s}", 66),
+    (".Widget{s}.refresh", 37, "Widget{s}.owner.pop", 40, None, None),
+    (".helper{s}", 45, "Widget{s}.draw", 46, "pkg.x{s}.Widget{s}.draw", 29),
+    (".shared{s}", 49, "Widget{n}", 50, "pkg.x{n}.Widget{n}", 21),
+    (".shared{s}", 49, "Widget{n}.draw", 51, "pkg.x{n}.Widget{n}.draw", 29),
+    (".shared{s}", 49, "helper{n}", 52, "pkg.x{n}.helper{n}", 45),
+    (".shared{s}", 49, "renamed", 53, None, None),
+    (".shared{s}", 49, "other.helper{n}", 54, "pkg.x{n}.helper{n}", 45),
+    (".shared{s}", 49, "Widget{n}.refresh", 55, "pkg.x{n}.Widget{n}.refresh", 37),
+    (".shared{s}", 49, "helper{s}", 56, "pkg.x{s}.helper{s}", 45),
+    (".shared{s}", 49, "x{n}.spare{n}", 57, "pkg.x{n}.spare{n}", 70),
+    (".shared{s}", 49, "x.y.z", 58, None, None),
+    (".spare{n}", 61, "spare{n}", 62, "pkg.x{s}.spare{n}", 61),
+    (".spare{s}", 74, "helper{s}", 75, "pkg.x{s}.helper{s}", 45),
+]
+
+
+def _classes() -> dict[str, str]:
+    from sorrel.sources.adapters import CLASSES
+
+    head = "WITH cnt AS (SELECT count(*) AS n, min(s_suppkey) AS least FROM supplier), m AS (SELECT s_suppkey AS s, least + (s_suppkey - least + 1) % n AS n FROM supplier, cnt)"
+    put = lambda c: f"replace(replace({c}, '{{s}}', s::VARCHAR), '{{n}}', n::VARCHAR)"
+    rows = lambda values, names: f"{head}, v({names}) AS (VALUES {_values(values)}) "
+    text = "'" + CLASSES.replace("'", "''") + "'"
+    return {
+        "parse_classes": rows(CLASS_SYMBOLS, "q, kind, parent, lineno, end_lineno, complexity, line_count, signature, docstring, is_private") + f"SELECT 'pkg/x' || s || '.py' AS rel_path, 'pkg.x' || s || {put('q')} AS qualified_name, kind, 'pkg.x' || s || {put('parent')} AS parent_qname, lineno::INT AS lineno, end_lineno::INT AS end_lineno, complexity::INT AS complexity, line_count::INT AS line_count, signature, {put('docstring')} AS docstring, is_private::INT AS is_private FROM m, v",
+        "class_imports": rows(CLASS_IMPORTS, "module, name, alias, lineno, target") + f"SELECT 'pkg/x' || s || '.py' AS rel_path, {put('module')} AS imported_module, {put('name')} AS imported_name, alias, lineno::INT AS lineno, {put('target')} AS resolved FROM m, v",
+        "class_calls": rows(CLASS_CALLS, "q, from_line, callee, lineno, target, to_line") + f"SELECT 'pkg.x' || s || {put('q')} AS caller, from_line::INT AS from_line, {put('callee')} AS callee_name, lineno::INT AS lineno, {put('target')} AS resolved, to_line::INT AS to_line FROM m, v",
+        "unused_class_imports": f"{head} SELECT 'pkg/x' || s || '.py' AS rel_path, 11::INT AS lineno, '.' AS imported_module, 'sibling' AS binding FROM m",
+        "source_hashes": f"{head}, t AS (SELECT s, {put(text)} AS body FROM m) SELECT 'pkg/x' || s || '.py' AS rel_path, 'pkg.x' || s AS module_path, sha256(body) AS sha256, strlen(body)::BIGINT AS size_bytes FROM t",
+    }
+
+
 def _drift() -> tuple[str, str, str]:
     """BEFORE and AFTER written out by hand as rows."""
-    old = [("files", "neutral", 10.0), ("symbols", "neutral", 50.0), ("import resolution %", "up", 70.0), ("avg cyclomatic", "down", 3.5), ("high-complexity callables", "down", 4.0), ("extreme-complexity callables", "down", 1.0), ("dead code candidates", "down", 3.0), ("coverage %", "up", 40.0), ("import cycles", "down", 1.0)]
-    new = [("files", 12.0), ("symbols", 50.0), ("import resolution %", 85.0), ("avg cyclomatic", 3.25), ("high-complexity callables", 7.0), ("extreme-complexity callables", 3.0), ("dead code candidates", 3.0), ("import cycles", 1.0)]
-    was = [("complexity hotspots", "a.f"), ("complexity hotspots", "a.g"), ("dead code symbols", "d.x"), ("import cycles", "a.py ↔ b.py")]
-    now = [("complexity hotspots", "a.g"), ("complexity hotspots", "b.h"), ("dead code symbols", "d.x"), ("import cycles", "a.py ↔ c.py")]
+    old = [("files", "neutral", 10.0), ("symbols", "neutral", 50.0), ("imports resolved, %", "up", 70.0), ("average complexity", "down", 3.5), ("callables of high complexity", "down", 4.0), ("callables of extreme complexity", "down", 1.0), ("dead symbols", "down", 3.0), ("public symbols reached, %", "up", 40.0), ("cycles of imports", "down", 1.0)]
+    new = [("files", 12.0), ("symbols", 50.0), ("imports resolved, %", 85.0), ("average complexity", 3.25), ("callables of high complexity", 7.0), ("callables of extreme complexity", 3.0), ("dead symbols", 3.0), ("cycles of imports", 1.0)]
+    was = [("most complex", "a.f"), ("most complex", "a.g"), ("dead", "d.x"), ("cycles of imports", "a.py ↔ b.py")]
+    now = [("most complex", "a.g"), ("most complex", "b.h"), ("dead", "d.x"), ("cycles of imports", "a.py ↔ c.py")]
     assert len(BEFORE) == 6 and len(AFTER) == 5
     scalars = f"""o(name, spec, a) AS (VALUES {_values(old)}), c(name, b) AS (VALUES {_values(new)}),
 sc AS (SELECT name, a::DOUBLE AS baseline, b::DOUBLE AS current, round_even((b - a)::DOUBLE, 4) AS delta, CASE WHEN a = b THEN 'unchanged' WHEN spec = 'neutral' THEN 'neutral' WHEN (spec = 'down') = (b < a) THEN 'improved' ELSE 'worsened' END AS direction FROM o JOIN c USING (name))"""
@@ -192,7 +251,7 @@ def oracle_sql() -> dict[str, str]:
         "impact_all": f"SELECT * EXCLUDE (d), {RISK} AS risk FROM (SELECT *, direct_callers + direct_importers AS d FROM (SELECT symbol_id, qualified_name, (SELECT count(*) FROM called c WHERE c.symbol_id = s.symbol_id) AS direct_callers, (SELECT count(*) FROM imports i WHERE i.dst = s.file_id) AS direct_importers, (SELECT count(*) FROM second x WHERE x.symbol_id = s.symbol_id) AS second_order FROM symbol s))",
         "impact_file": f"SELECT * EXCLUDE (d), {RISK} AS risk FROM (SELECT *, direct_callers + direct_importers AS d FROM (SELECT rel_path, (SELECT count(DISTINCT (c.caller, c.rel_path, c.lineno)) FROM called c JOIN symbol s USING (symbol_id) WHERE s.file_id = f.file_id AND c.rel_path <> f.rel_path) AS direct_callers, (SELECT count(*) FROM imports i WHERE i.dst = f.file_id) AS direct_importers, (SELECT count(DISTINCT j.src) FROM imports i JOIN imports j ON j.dst = i.src WHERE i.dst = f.file_id AND j.src <> f.file_id) AS second_order FROM file f))",
         "context_symbol": "SELECT symbol_id, qualified_name, kind, (SELECT count(*) FROM called c WHERE c.symbol_id = s.symbol_id) AS callers, (SELECT count(*) FROM call_edge e WHERE e.caller_symbol_id = s.symbol_id) AS callees, (SELECT count(resolved_symbol_id) FROM call_edge e WHERE e.caller_symbol_id = s.symbol_id) AS callees_resolved, (SELECT count(*) - 1 FROM symbol x WHERE x.file_id = s.file_id) AS siblings FROM symbol s",
-        "context_file": "SELECT rel_path, module_path, imports_in, imports_out, symbols, coalesce(nullif(concat_ws('; ', CASE WHEN rel_path LIKE '%/cli/%' THEN 'CLI surface' END, CASE WHEN rel_path LIKE '%test\\_%' ESCAPE '\\' THEN 'test' END, CASE WHEN imports_in >= 10 THEN 'widely imported (high blast radius)' WHEN imports_in >= 3 THEN 'moderately imported' END), ''), 'ordinary module') AS role_note FROM (SELECT rel_path, module_path, (SELECT count(*) FROM imports i WHERE i.dst = f.file_id) AS imports_in, (SELECT count(*) FROM import_edge e WHERE e.file_id = f.file_id) AS imports_out, (SELECT count(*) FROM symbol s WHERE s.file_id = f.file_id) AS symbols FROM file f)",
+        "context_file": "SELECT rel_path, module_path, imports_in, imports_out, symbols, coalesce(nullif(concat_ws('; ', CASE WHEN rel_path LIKE '%/cli/%' THEN 'command line' END, CASE WHEN rel_path LIKE '%test\\_%' ESCAPE '\\' THEN 'tests' END, CASE WHEN imports_in >= 10 THEN 'imported by many' WHEN imports_in >= 3 THEN 'imported by some' END), ''), 'plain module') AS role_note FROM (SELECT rel_path, module_path, (SELECT count(*) FROM imports i WHERE i.dst = f.file_id) AS imports_in, (SELECT count(*) FROM import_edge e WHERE e.file_id = f.file_id) AS imports_out, (SELECT count(*) FROM symbol s WHERE s.file_id = f.file_id) AS symbols FROM file f)",
         "test_entry_points": "SELECT * FROM entries",
         "test_reachability": "SELECT symbol_id, depth FROM reached",
         "coverage_gaps": "SELECT symbol_id, qualified_name, rel_path, lineno, kind, complexity, line_count, (SELECT count(*) FROM pairs WHERE dst = symbol_id) AS caller_count FROM pool WHERE complexity >= 1 AND symbol_id NOT IN (SELECT symbol_id FROM reached)",
@@ -232,6 +291,8 @@ UNION ALL SELECT rel_path, module || '.f' || k, 'function', top, (top + len - 1)
         "dead_code_stats": f"SELECT count(*) AS total_checked, 0::BIGINT AS excluded_private, 0::BIGINT AS excluded_dunder, 0::BIGINT AS excluded_entrypoint, 0::BIGINT AS excluded_test, 0::BIGINT AS excluded_textual, count(*) FILTER (NOT coalesce({alive}, false)) AS dead FROM def",
         "unused_imports": "SELECT rel_path, lineno, name AS imported_module, name AS binding FROM imp JOIN mod USING (s) WHERE (name = 'os' AND NOT uses_os) OR name = 'json' OR (name[1] = 'm' AND NOT uses_next)",
         "todo_comments": todo,
+        "todo_by_bucket": f"SELECT bucket, count(*) AS hits FROM ({todo}) GROUP BY bucket",
+        "todo_stats": f"SELECT (SELECT count(*) FROM mod) AS total_files_scanned, count(DISTINCT rel_path) AS files_with_todos, count(*) AS total_hits FROM ({todo})",
         "todo_by_tag": f"SELECT tag, count(*) AS hits FROM ({todo}) GROUP BY tag",
         "token_counts": ", tok AS (SELECT s, unnest(regexp_extract_all(words, '\\b[A-Za-z_]\\w*\\b')) AS token FROM body UNION ALL SELECT s, unnest(['import', name]) FROM imp UNION ALL SELECT s, unnest(['noqa', 'F401']) FROM imp WHERE name = 're' UNION ALL SELECT s, 'LIMIT' FROM mod UNION ALL SELECT s, 'x' FROM body WHERE b > 0 AND false) SELECT rel_path, token, count(*) AS n FROM tok JOIN mod USING (s) WHERE token NOT IN ('docstring') GROUP BY 1, 2",
         "skeletons": f"SELECT module || '.f' || k AS qualified_name, 'function' AS kind, module, 'f' || k AS name, 'test_f' || k || '_skeleton.py' AS filename, '\"\"\"Test stubs for ' || module || '.f' || k || '; each fails until it is written.\"\"\"' || chr(10) || chr(10) || 'from __future__ import annotations' || chr(10) || chr(10) || 'import unittest' || chr(10) || chr(10) || 'from ' || module || ' import f' || k || chr(10) || chr(10) || chr(10) || 'class F' || k || 'Tests(unittest.TestCase):' || chr(10) || {stub(chr(39) + 'f' + chr(39) + ' || k')} || chr(10) || chr(10) || 'if __name__ == \"__main__\":' || chr(10) || '    unittest.main()' || chr(10) AS body FROM def",
@@ -240,6 +301,7 @@ UNION ALL SELECT rel_path, module || '.f' || k, 'function', top, (top + len - 1)
     out = {name: joined(CATALOG, sql) for name, sql in on_tables.items()} | {name: joined(MODULES, sql) for name, sql in on_modules.items()}
     out["lexical_query"], out["lexical_query_and"] = _lexical(False), _lexical(True)
     out["refactor_priority"], out["resolve_target"] = _refactor(), _resolve_target()
+    out |= _classes()
     out["drift_scalars"], out["drift_sets"], out["drift_counts"] = _drift()
     out["noqa_rules"] = f"WITH {_variants(NOQA_FORMS, ('n', 'y', 'y', 'n', 'y', 'y', 'n'))} SELECT k, r = 'y' AS suppressed FROM named"
     out["todo_tags"] = f"WITH {_variants(TAG_FORMS, ('todo', 'fixme', None, None, 'hack', 'bug', None, 'xxx'))} SELECT k, r AS tag FROM named"

@@ -170,6 +170,37 @@ def paths_between_some(c: Catalog) -> DataFrame:
     return graph.find_paths(c, some.toDF("source").crossJoin(F.broadcast(some.toDF("target"))))
 
 
+def parse_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The symbols of modules with classes."""
+    parsed = parser.parse(adapters.classes(spark, sf_dir))
+    return parsed.select("rel_path", F.explode("symbols").alias("s")).select("rel_path", "s.qualified_name", "s.kind", "s.parent_qname", "s.lineno", "s.end_lineno", "s.complexity", "s.line_count", "s.signature", "s.docstring", F.col("s.is_private").cast("int").alias("is_private"))
+
+
+def class_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From-imports, aliases, bracketed and relative imports, with the paths that they resolve to."""
+    c = catalog.from_source(adapters.classes(spark, sf_dir))
+    target = c.file.select(F.col("file_id").alias("resolved_file_id"), F.col("rel_path").alias("resolved"))
+    return c.import_edge.join(c.file.select("file_id", "rel_path"), "file_id").join(target, "resolved_file_id", "left").select("rel_path", "imported_module", "imported_name", "alias", "lineno", "resolved")
+
+
+def class_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls by every rule of resolution, and such as two rules or none fit; from_line is that of the calling symbol."""
+    c = catalog.from_source(adapters.classes(spark, sf_dir))
+    by = c.symbol.select(F.col("symbol_id").alias("caller_symbol_id"), F.col("qualified_name").alias("caller"), F.col("lineno").alias("from_line"))
+    to = c.symbol.select(F.col("symbol_id").alias("resolved_symbol_id"), F.col("qualified_name").alias("resolved"), F.col("lineno").alias("to_line"))
+    return c.call_edge.join(by, "caller_symbol_id").join(to, "resolved_symbol_id", "left").select("caller", "from_line", "callee_name", "lineno", "resolved", "to_line")
+
+
+def unused_class_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of imports by name, one isn't used, and two are covered by a noqa within their brackets."""
+    return text.unused_imports(catalog.from_source(adapters.classes(spark, sf_dir))).select("rel_path", "lineno", "imported_module", "binding")
+
+
+def source_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash and size of every module."""
+    return parser.parse(adapters.classes(spark, sf_dir)).select("rel_path", "module_path", "sha256", F.col("size_bytes").cast("long").alias("size_bytes"))
+
+
 #: Two snapshots for the drift queries: what has them differ is bounded, so they are written out.
 BEFORE = {"headline": {"files": 10, "symbols": 50, "imports_resolution_pct": 70.0}, "complexity": {"average": 3.5, "high": 4, "extreme": 1, "hotspots": [{"qname": "a.f"}, {"qname": "a.g"}]}, "dead_code": {"count": 3, "symbols": [{"qname": "d.x"}]}, "coverage": {"coverage_pct": 40.0}, "cycles": {"count": 1, "groups": [{"files": ["b.py", "a.py"]}]}, "god_files": []}
 AFTER = {"headline": {"files": 12, "symbols": 50, "imports_resolution_pct": 85.0}, "complexity": {"average": 3.25, "high": 7, "extreme": 3, "hotspots": [{"qname": "a.g"}, {"qname": "b.h"}]}, "dead_code": {"count": 3, "symbols": [{"qname": "d.x"}]}, "cycles": {"count": 1, "groups": [{"files": ["c.py", "a.py"]}]}, "god_files": []}
@@ -233,9 +264,11 @@ def queries() -> dict[str, Query]:
         "unused_imports": lambda c: text.unused_imports(c).select("rel_path", "lineno", "imported_module", "binding"),
         "todo_comments": text.todo_comments,
         "todo_by_tag": text.todo_by_tag,
+        "todo_by_bucket": text.todo_by_bucket,
+        "todo_stats": text.todo_stats,
         "skeletons": lambda c: skeleton.skeletons(c).drop("symbol_id"),
     }
-    plain = (parse_corpus, parsed_imports, index_report, resolve_imports_exact, resolve_imports_suffix, detect_changes, change_report, scan_files, ignore_filter, module_paths, test_paths, noqa_rules, todo_tags, signature_params, pascal_case, resolve_target, enclosing_symbol, drift_scalars, drift_sets, drift_counts)
+    plain = (parse_corpus, parsed_imports, index_report, resolve_imports_exact, resolve_imports_suffix, detect_changes, change_report, scan_files, ignore_filter, module_paths, test_paths, noqa_rules, todo_tags, signature_params, pascal_case, resolve_target, enclosing_symbol, parse_classes, class_imports, class_calls, unused_class_imports, source_hashes, drift_scalars, drift_sets, drift_counts)
     out = {name: _on_tables(f) for name, f in on_tables.items()} | {name: _on_corpus(f) for name, f in on_corpus.items()} | {f.__name__: f for f in plain}
     limited = {"fan_out": (metrics.fan_out, {"threshold": 1, "limit": None}), "refactor_priority": (priority.refactor_priority, {"min_priority": 30.0, "limit": None})}
     out |= {name: _on_tables(f, **options) for name, (f, options) in limited.items()}

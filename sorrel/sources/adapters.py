@@ -74,3 +74,92 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("s")
     head = F.concat(F.lit("import os\n"), F.when(s % 3 == 0, F.lit("import json\n")).otherwise(F.lit("")), F.when(s % 4 == 0, F.lit("import re  # noqa: F401\n")).otherwise(F.lit("")), F.lit("import m"), F.col("least") + (s - F.col("least") + 1) % F.col("n"), F.lit("\n\nLIMIT = "), s, F.lit("\n\n\n"))
     return modules.select(F.concat(F.lit("m"), s, F.lit(".py")).alias("rel_path"), F.concat(head, "bodies").alias("content"), F.lit(1_700_000_000).cast("long").alias("mtime"))
+
+
+#: A module with a class: {s} stands for its own number, {n} for that of the next module.
+CLASSES = '''"""Module {s}."""
+from __future__ import annotations
+
+from pkg.x{n} import Widget{n}, helper{n}
+from pkg.x{n} import (
+    shared{n} as renamed,
+    spare{n},
+)
+import pkg.x{n} as other
+import x{n}
+from . import sibling
+from pkg.x{n} import (
+    LIMIT as bound,
+    _HIDDEN as hidden,  # noqa: F401
+)
+
+LIMIT = {s}
+_HIDDEN = 1
+
+
+class Widget{s}:
+    """Widget {s}."""
+
+    SIZE = 1
+
+    def __init__(self, owner):
+        self.owner = owner
+
+    def draw(self, x, /, y=1, *, z=2):
+        """Draws {s}."""
+        self.refresh()
+        for i in range(x):
+            if i and y or z:
+                return i
+        return _private{s}(x)
+
+    def refresh(self):
+        while self.owner:
+            try:
+                self.owner.pop()
+            except ValueError:
+                assert self.owner
+
+
+def helper{s}(x):
+    return Widget{s}.draw(x)
+
+
+def shared{s}(x, *rest, key=None, **more):
+    w = Widget{n}(x)
+    w.draw(x)
+    helper{n}(x)
+    renamed(x)
+    other.helper{n}(x)
+    Widget{n}.refresh(x)
+    helper{s}(x)
+    x{n}.spare{n}(x)
+    return x.y.z(key)
+
+
+def spare{n}(x):
+    spare{n}(x)
+    return [a for a in x if a]
+
+
+def _private{s}(x):
+    return x if x else 0
+
+
+def spare{s}(x):
+    return x
+
+
+def spare{s}(x):
+    return helper{s}(x)
+'''
+
+
+def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each supplier the module CLASSES, which uses that of the next supplier by every kind of import and call."""
+    count = _read(spark, sf_dir, "supplier").agg(F.count(F.lit(1)).alias("n"), F.min("s_suppkey").alias("least"))
+    s = F.col("s_suppkey")
+    after = F.col("least") + (s - F.col("least") + 1) % F.col("n")
+    body = F.replace(F.replace(F.lit(CLASSES), F.lit("{s}"), s.cast("string")), F.lit("{n}"), after.cast("string"))
+    rows = _read(spark, sf_dir, "supplier").select("s_suppkey").crossJoin(F.broadcast(count))
+    return rows.select(F.concat(F.lit("pkg/x"), s, F.lit(".py")).alias("rel_path"), body.alias("content"), F.lit(1_700_000_000).cast("long").alias("mtime"))

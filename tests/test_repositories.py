@@ -3,6 +3,7 @@
 import json
 import os
 import textwrap
+from datetime import datetime
 
 import pytest
 
@@ -173,6 +174,7 @@ def test_unused_imports(shop):
 def test_logical_imports():
     assert text.logical_line(["from a import (  # noqa", "  b,", ")", "x"], 1) == "from a import (  # noqa\n  b,\n)"
     assert text.outside_imports("from a import (\n  b,\n)\nuse\nimport c\n") == ["use"]
+    assert text.outside_imports("from a import (\n  b,  # (see c)\n  d\nimport e, (\n") == ["d"] and text.outside_imports("importing = frozen") == ["frozen", "importing"]
 
 
 def test_todo(shop, spark):
@@ -276,6 +278,12 @@ def test_store_and_command_line(spark, tmp_path, capsys):
     with open(base, "w") as f:
         f.write("{}")
     assert run("health_report", "--baseline", base)[0] == 2
+    with open(f"{repo}/.sorrel/operations.log") as f:
+        log = [line.rstrip("\n").split("\t") for line in f]
+    assert log[0][1] == "index" and log[-1][1] == "health_report" and log[-1][2].endswith("exit=2")
+    assert all(datetime.fromisoformat(line[0]).tzinfo for line in log)
+    flags = cli.parser().parse_args(["--no-color", "index", repo, "--parallel", "--workers", "3"])
+    assert flags.color is False and flags.parallel and flags.workers == 3 and not flags.no_parallel
 
 
 def test_stream(spark, tmp_path):
