@@ -1,4 +1,12 @@
-"""The documents table made ready for training: five stages over all that the stage before kept."""
+"""The documents table made ready for training: five stages over all that the stage before kept.
+
+Every stage but the last gives the columns of documents, whatever else they are called, for the rows that it keeps.
+
+Defined results: rows with a null doc_id go through all stages; of those with one text, the second keeps one. Null
+texts pass quality rules, equal no other text, have no near copies, are sampled with their source and have null ids;
+empty texts are texts like any other, without ids. Ties go to the smallest doc_id. Rows that agree in doc_id and text
+are copies. A null source is a source. An empty table gives an empty result with the same columns.
+"""
 
 from __future__ import annotations
 
@@ -17,23 +25,23 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text stays, one ingested before if there is any."""
+    """One document of each text stays, one ingested before if there is any; a row with a null text stays."""
     return exact_dedup.keep(docs, ingested_before())
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """Of documents that links connect, that of the smallest doc_id stays; rows without words or doc_id stay."""
     return ngram_join.keep_one(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out so that the sources get their weights."""
+    """Documents are repeated or left out so that the sources get their weights; a null source is one, too."""
     planned = mixing.plan(docs, mixing.tempered(MIX["alpha"]), MIX["budget_ratio"], MIX["max_epochs"])
     return mixing.sample(docs, planned, MIX["seed"])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row."""
+    """Token ids of every row, null for a null text."""
     return sentencepiece_codec.encode(docs, SENTENCEPIECE_MODEL)
 
 
