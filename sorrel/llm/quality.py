@@ -31,7 +31,13 @@ COVER = (5, 6, 7, 8, 9, 10)
 
 @dataclass(frozen=True)
 class Limits:
-    """Largest shares that a kept document has; the defaults are those published for Gopher (2112.11446)."""
+    """Largest shares that a kept document has; the defaults are those published for Gopher (2112.11446).
+
+    These were set for documents of fifty words and more. In a text of fewer than min_words words a single pair of words
+    that occurs twice is a tenth or more of it, and in one of fewer than min_lines lines a line that does is two thirds,
+    so the shares tell ordinary short texts from repetition no longer, and such texts aren't rejected by them. 0 rejects
+    by share whatever the size.
+    """
 
     top: tuple[float, ...] = (0.20, 0.18, 0.16)
     cover: tuple[float, ...] = (0.15, 0.14, 0.13, 0.12, 0.11, 0.10)
