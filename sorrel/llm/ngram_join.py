@@ -35,13 +35,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sorrel.llm import partenum
 from sorrel.llm.partenum import BLOCK, VALUE, Weights
-from sorrel.llm.storage import discard, fresh, limited_broadcast, size_in_bytes, stored
+from sorrel.llm.storage import discard, fresh, limited_broadcast, settle, size_in_bytes, stored
 from sorrel.llm.textkit import U64, chunks, mix, owner, texts
 
 #: Signatures that one task sorts.
@@ -133,13 +133,16 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _weights(reps: DataFrame, sets: int) -> Weights:
-    """What each feature tells, from counts over all sets: one table of 2 ** CELLS numbers, whatever the corpus."""
+    """What each feature tells, from counts over all sets: one table of 2 ** CELLS numbers, whatever the corpus.
+
+    A task leaves out the cells that it counts once: what is rare needs no exact weight, as weights decide cost only.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << partenum.CELLS, np.int64)
         for batch in batches:
             total += partenum.cell_counts(_from_blobs(batch.column(0))[0])
-        at = np.flatnonzero(total)
+        at = np.flatnonzero(total > 1)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["cell", "n"])
 
     got = reps.select("features").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
@@ -156,12 +159,12 @@ def _met(pairs: np.ndarray, ties: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.arange(len(both)) >= len(pairs)), pa.array(both[:, 0]), pa.array(both[:, 1])], ["tie", "a", "b"])
 
 
-def _signed(threshold: float, weights: Weights, buckets: int):
+def _signed(threshold: float, shared: Broadcast, buckets: int):
     """Packed signatures by block and bucket; rows without a bucket hold the ties made here."""
 
     def rows_of(block: int, features: np.ndarray, first: np.ndarray, places: np.ndarray) -> Iterator[tuple]:
         codec = pa.Codec("zstd", 1)
-        sign, which, own = partenum.signatures(features, first, threshold, weights)
+        sign, which, own = partenum.signatures(features, first, threshold, shared.value)
         sketch = np.zeros(1 << BLOCK, np.uint16)
         sketch[places] = partenum.sketches(features, first)
         bucket = ((sign >> U64(VALUE + 6)) * U64(buckets)) >> U64(58 - VALUE)
@@ -239,7 +242,8 @@ def candidates(reps: DataFrame, threshold: float) -> DataFrame:
     """The distinct pairs and ties of the sets with features that share a signature."""
     n, volume = reps.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     buckets = int(max(1, min(1 << 18, 3 * volume // BUCKET)))
-    signed = reps.select("id", "features").mapInArrow(_signed(threshold, _weights(reps, n), buckets), "bucket int, block long, length int, data binary")
+    weights = reps.sparkSession.sparkContext.broadcast(_weights(reps, n))
+    signed = reps.select("id", "features").mapInArrow(_signed(threshold, weights, buckets), "bucket int, block long, length int, data binary")
     return signed.repartition(min(buckets, 20_000), "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, MET).distinct()
 
 
@@ -269,6 +273,7 @@ def _groups(sets: DataFrame, threshold: float) -> DataFrame:
     """id and root of the rows (reps) that some chain of ties and possible pairs connects to another."""
     reps = sets.where("id = rep and size > 0")
     met = stored(candidates(reps, threshold), "met")
+    settle(sets.sparkSession)
     ties, pairs = met.where("tie").select("a", "b"), met.where("not tie").select("a", "b")
     ends = limited_broadcast(stored(ties.select("a").union(ties.select("b")).distinct().toDF("id"), "tied"))
     bodies = reps.select("id", "features").join(ends, "id", "left_semi")
@@ -331,6 +336,7 @@ def _alike(table: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray]:
 def _linked(sets: DataFrame, join: Join) -> DataFrame:
     """node, doc (its smallest doc_id), copies (its documents), class_id and n_links of every set that has words."""
     groups = limited_broadcast(_groups(sets, join.threshold))
+    settle(sets.sparkSession)
     names = stored(sets.where("size > 0").select("node", "doc_id").distinct().groupBy("node").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies")), "names")
     bodies = sets.where("features is not null").join(groups, "id").groupBy("root", "node").agg(F.first("features").alias("features"))
     bodies = stored(bodies.join(names, "node").select("root", "node", "copies", "features"), "bodies")

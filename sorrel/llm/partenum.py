@@ -22,8 +22,9 @@ from sorrel.llm.textkit import U64, grouped, mix, owner, spread
 
 #: Differences that the fullest partition may hold, and parts alike in it at least. They decide cost only.
 K2, DEPTH = 4, 4
-CELLS = 18
-HEAVIEST = 7.0
+#: Bits of a feature's cell in the table of weights, of one byte each; the largest weight.
+CELLS = 22
+HEAVIEST = 10.0
 #: Sets of a block, which has 2 ** BLOCK numbers.
 BLOCK = 11
 #: Bits by which signatures of one bucket are told apart; chance agreements of them are pairs that bitmaps turn away.

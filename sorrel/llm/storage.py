@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -11,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
 
 
@@ -32,23 +32,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet into the shared folder and read again with its own schema.
-
-    The write's shuffle files go when it ends, not when the driver happens to collect its garbage.
-    """
+    """df written as Parquet into the shared folder and read again with its own schema."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/sorrel-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._sorrel_path = path
     return out
 
 
+def settle(spark: SparkSession) -> None:
+    """Has the shuffle files of tables that are no longer referred to deleted now; else they stay until the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes the files of stored tables that nothing will read any more."""
     for df in tables:
