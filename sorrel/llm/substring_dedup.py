@@ -253,22 +253,33 @@ KINDS = "anchor long, same long, doc_id long, again boolean, words binary"
 def _segment_rows(min_words: int, k: int, kinds: bool):
     """The segments of documents (MEMBERS), or what an index needs of them (KINDS): for each kind, the equal segments of
     an anchor, its words once by task, with a document that has it, and once again if another document has it, too."""
-    first_of: dict[tuple[int, int], int] = {}
-
-    def of_kinds(anchor: np.ndarray, same: np.ndarray, doc: list, a: np.ndarray, b: np.ndarray, symbols: np.ndarray) -> pa.RecordBatch:
-        rows = []
-        for i, (kind, d) in enumerate(zip(zip(anchor.tolist(), same.tolist()), doc)):
-            known = first_of.get(kind)
-            if known is None:
-                first_of[kind] = d
-                rows.append((*kind, d, False, symbols[a[i] : b[i]].tobytes()))
-            elif known not in (d, -1):
-                first_of[kind] = -1
-                rows.append((*kind, d, True, None))
-        if len(first_of) > 500_000:
-            first_of.clear()
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, types)], ["anchor", "same", "doc_id", "again", "words"])
+    # the kinds that this task has met, sorted, with the document each was sent with, and whether another was sent, too
+    met = [np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, bool)]
+
+    def of_kinds(anchor: np.ndarray, same: np.ndarray, doc: np.ndarray, words: np.ndarray, to: np.ndarray) -> pa.RecordBatch:
+        kind, lead, back = np.unique(mix(anchor.view(U64) ^ mix(same.view(U64))), return_index=True, return_inverse=True)
+        least, most = np.full(len(kind), 2**63 - 1), np.full(len(kind), -(2**63))
+        np.minimum.at(least, back, doc)
+        np.maximum.at(most, back, doc)
+        at = np.minimum(np.searchsorted(met[0], kind), max(len(met[0]) - 1, 0))
+        old = met[0][at] == kind if len(met[0]) else np.zeros(len(kind), bool)
+        new = ~old
+        other = most.copy()
+        other[old] = np.where(least[old] != met[1][at[old]], least[old], most[old])
+        again = other != least
+        again[old] = (other[old] != met[1][at[old]]) & ~met[2][at[old]]
+        met[2][at[old & again]] = True
+        fresh = lead[new]
+        sizes = np.diff(to)[fresh]
+        offsets = np.append(0, np.cumsum(np.append(sizes, np.zeros(int(again.sum()), np.int64)) * 4)).astype(np.int32)
+        rows = np.append(fresh, lead[again])
+        flags = np.arange(len(rows)) >= len(fresh)
+        blobs = pa.Array.from_buffers(pa.binary(), len(rows), [pa.py_buffer(np.packbits(~flags, bitorder="little").tobytes()), pa.py_buffer(offsets.tobytes()), pa.py_buffer(words[spread(to[:-1][fresh], sizes)].tobytes())])
+        out = pa.RecordBatch.from_arrays([pa.array(anchor[rows]), pa.array(same[rows]), pa.array(np.append(least[new], other[again])), pa.array(flags), blobs], ["anchor", "same", "doc_id", "again", "words"])
+        merged = np.concatenate([met[0], kind[new]]), np.concatenate([met[1], least[new]]), np.concatenate([met[2], again[new]])
+        order = np.argsort(merged[0])
+        met[:] = [x[order] for x in merged] if len(order) <= 500_000 else [x[:0] for x in merged]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text"):
@@ -294,7 +305,7 @@ def _segment_rows(min_words: int, k: int, kinds: bool):
                 at = doc[i : i + 4000]
                 anchor = hashes[i : i + 4000].view(np.int64)
                 if kinds:
-                    yield of_kinds(anchor, same, part.column("doc_id").take(pa.array(at)).to_pylist(), a, b, symbols)
+                    yield of_kinds(anchor, same, part.column("doc_id").to_numpy()[at], symbols[where], to)
                 else:
                     yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(same), part.column("doc_id").take(pa.array(at)), pa.array((a - first[at]).astype(np.int32))], ["anchor", "same", "doc_id", "start"])
 
