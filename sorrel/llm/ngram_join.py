@@ -1,16 +1,20 @@
-"""Similarity join of documents by the Jaccard index of their word n-gram sets, with PartEnum signatures.
+"""Similarity join of documents by the Jaccard index of their word n-gram sets: first features in order of rarity, or PartEnum.
 
-Sets are put into bands of about equal size: the largest of a band is 1 / threshold times the smallest, so two
-similar sets lie in one band or in neighbouring ones, and every set signs for its own band and for the next. The
-signatures (sorrel.llm.partenum) enumerate subsets of partitions of the feature domain so that any two sets of Jaccard
-index threshold or more share one. They travel packed, some four bytes each, by blocks of sets.
+Similar sets share one of their rarest features (sorrel.llm.prefix), so a set sends these, with their places in it, its
+size and its parity bitmap, by blocks of sets and buckets of features. Pairs that sizes, places or bitmaps rule out go
+where they meet; of the others only a forest of the sets that they connect leaves a bucket.
 
-Sets that share a signature are pairs to look at or, in groups of many, are tied to centres with a near sketch; a pair
-of centres stands for the pairs of those behind them. Pairs are left out only where they can't be similar: parity
-bitmaps differ in no more bits than the sets in features, and by the triangle inequality those behind two centres are
-no nearer than the centres less the two radii. What is left connects sets into groups; in these, all pairs are
-verified on the whole sets, in blocks of BLOCK_SETS, each pair of blocks by a task of its own. So no link is lost, and
-how sets met decides cost only.
+Sets are put into bands of about equal size: the largest of a band is 1 / threshold times the smallest, so two similar
+sets lie in one band or in neighbouring ones. Where the rarest features of a band's sets are common (DENSE), pairs whose
+larger set lies in it meet by signatures instead (sorrel.llm.partenum), which enumerate subsets of partitions of the
+feature domain so that any two similar sets share one; each set signs for its own band and the next, if these are dense.
+Signatures travel packed, some four bytes each. Sets that share one are pairs to look at or, in groups of many, are tied
+to centres with a near sketch; a pair of centres stands for the pairs of those behind them. Of these pairs, too, only
+those go that can't be similar: parity bitmaps differ in no more bits than the sets in features, and by the triangle
+inequality those behind two centres are no nearer than the centres less the two radii.
+
+What is left connects sets into groups; in these, all pairs are verified on the whole sets, in blocks of BLOCK_SETS,
+each pair of blocks by a task of its own. So no link is lost, and how sets met decides cost only.
 
 classes() gives a row for each document: its class (documents connected by links, named by the smallest doc_id) and
 its number of links, that is of other documents whose index with it is threshold or more. Copies (documents of equal
@@ -31,21 +35,25 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sorrel.llm import partenum
+from sorrel.llm import partenum, prefix
 from sorrel.llm.partenum import BLOCK, VALUE, Weights
 from sorrel.llm.storage import discard, fresh, limited_broadcast, settle, size_in_bytes, stored
 from sorrel.llm.textkit import U64, chunks, mix, owner, texts
 
-#: Signatures that one task sorts.
+#: Signatures or first features that one task sorts; buckets of first features at least, for tables that aren't small.
 BUCKET = 1_500_000
+LEAST_BUCKETS = 32
+#: Occurrences of a set's first features from which a band of sets meets by PartEnum, and the share of sets measured.
+DENSE, SAMPLE = 4_000_000, 16
 #: Bytes of edges that one task connects.
 ONE_TASK = 32 << 20
 #: Sets of a group that one task compares with so many others.
@@ -132,10 +140,10 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("digest")).mapInArrow(run, SETS)
 
 
-def _weights(reps: DataFrame, sets: int) -> Weights:
-    """What each feature tells, from counts over all sets: one table of 2 ** CELLS numbers, whatever the corpus.
+def _counts(reps: DataFrame) -> np.ndarray:
+    """How many sets have the features of each cell: one table of 2 ** CELLS numbers, whatever the corpus.
 
-    A task leaves out the cells that it counts once: what is rare needs no exact weight, as weights decide cost only.
+    A task leaves out the cells that it counts once: what is rare needs no exact count, as counts decide cost only.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +156,111 @@ def _weights(reps: DataFrame, sets: int) -> Weights:
     got = reps.select("features").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(1 << partenum.CELLS, np.int64)
     counts[got.column("cell").to_numpy()] = got.column("n").to_numpy()
-    return Weights.of(counts, sets)
+    return counts
+
+
+def _dense(reps: DataFrame, order: Broadcast, threshold: float, lows: np.ndarray) -> np.ndarray:
+    """Whether the features that a set would send occur DENSE times or more, by band, on average over one set of SAMPLE."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, times = np.zeros(len(lows)), np.zeros(len(lows))
+        for batch in batches:
+            features, first = _from_blobs(batch.column(0))
+            band = partenum.band_of(np.diff(first), lows)
+            value, which, _ = prefix.heads(features, first, order.value, threshold, np.ones(len(band), bool))
+            sets += np.bincount(band, minlength=len(lows))
+            times += np.bincount(band[which], prefix.counts(order.value, value), len(lows))
+        at = np.flatnonzero(sets)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sets[at]), pa.array(times[at])], ["band", "sets", "times"])
+
+    got = reps.where(F.pmod("id", F.lit(SAMPLE)) == 0).select("features").mapInArrow(measure, "band int, sets double, times double").groupBy("band").agg(F.sum("sets"), F.sum("times")).toArrow()
+    dense = np.zeros(len(lows), bool)
+    band, sets, times = (c.to_numpy() for c in got.columns)
+    dense[band] = times >= DENSE * sets
+    return dense
+
+
+def _sent(threshold: float, order: Broadcast, dense: np.ndarray, lows: np.ndarray, buckets: int):
+    """Packed first features by block and bucket, of sets that pairs of bands that aren't dense may have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 1)
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            features, first = _from_blobs(batch.column("features"))
+            cuts = [0]
+            for i in range(1, len(ids)):  # blocks, and parts of them of about 2,000,000 features
+                if ids[i] >> BLOCK != ids[i - 1] >> BLOCK or first[i + 1] - first[cuts[-1]] > 2_000_000:
+                    cuts.append(i)
+            for lo, hi in zip(cuts, [*cuts[1:], len(ids)]):
+                if hi == lo:
+                    continue
+                mine, start = first[lo : hi + 1] - first[lo], int(ids[lo]) >> BLOCK << BLOCK
+                band = partenum.band_of(np.diff(mine), lows)
+                value, which, place = prefix.heads(features[first[lo] : first[hi]], mine, order.value, threshold, ~(dense[band] & dense[band + 1]))
+                rank = np.argsort(value)
+                value, which, place = value[rank], which[rank], place[rank]
+                maps = np.frombuffer(b"".join(batch.column("bitmap")[lo + i].as_py() for i in range(hi - lo)), U64)
+                at = np.append(0, np.cumsum(partenum.bitmap_words(np.diff(mine))))
+                bucket = ((value.astype(U64) * U64(buckets)) >> U64(32)).astype(np.int64)
+                got, begin = [], 0
+                for end in np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)) if len(bucket) else ():
+                    data = prefix.pack(value[begin:end], which[begin:end], place[begin:end], ids[lo:hi] - start, maps, at, np.diff(mine))
+                    got.append((int(bucket[begin]), start, len(data), codec.compress(data, asbytes=True)))
+                    begin = end
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["bucket", "start", "length", "data"])
+
+    return run
+
+
+def _hang(threshold: float, dense: np.ndarray, lows: np.ndarray):
+    """A forest of the sets of each bucket that possible pairs connect; rows lie side by side by bucket."""
+
+    def bucket(parts: list[tuple]) -> pa.RecordBatch:
+        value, of, place, ids, sizes, maps = (np.concatenate(x) for x in zip(*parts))
+        n = len(ids)
+        lists = prefix.Lists(value, of, place, sizes, maps, ~dense[partenum.band_of(sizes, lows)], threshold)
+        none = np.zeros(0, np.int64)
+        waiting, more = [(none, none)], 0
+        for pair in lists.joined():
+            waiting.append(pair)
+            more += len(pair[0])
+            if more > 3_000_000:
+                waiting, more = [_forest(waiting, n)], 0
+        i, j = _forest(waiting, n)
+        return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 1)
+        held, parts, sets = None, [], 0
+        for batch in batches:
+            for number, start, length, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if number != held and parts:
+                    yield bucket(parts)
+                    parts, sets = [], 0
+                held = number
+                value, local, place, present, sizes, maps = prefix.unpack(codec.decompress(data, length, asbytes=True))
+                parts.append((value, local + sets, place, present + start, sizes, maps))
+                sets += len(present)
+        if parts:
+            yield bucket(parts)
+
+    return run
+
+
+def _forest(pairs: list[tuple[np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray]:
+    root = least_joined(*(np.concatenate(x) for x in zip(*pairs)), n)
+    use = np.flatnonzero(root != np.arange(n))
+    return use, root[use]
+
+
+def near(reps: DataFrame, order: Broadcast, dense: np.ndarray, lows: np.ndarray, threshold: float, volume: int) -> DataFrame:
+    """Pairs a, b by which all similar sets hang together whose larger one isn't of a dense band."""
+    heads = int(volume * (1 - threshold)) + 1
+    buckets = int(min(1 << 18, max(1, min(LEAST_BUCKETS, heads // 5_000), heads // BUCKET)))
+    sent = reps.select("id", "features", "bitmap").mapInArrow(_sent(threshold, order, dense, lows, buckets), "bucket int, start long, length int, data binary")
+    return sent.repartition(min(buckets, 20_000), "bucket").sortWithinPartitions("bucket").mapInArrow(_hang(threshold, dense, lows), "a long, b long")
 
 
 MET = "tie boolean, a long, b long"
@@ -164,7 +276,7 @@ def _signed(threshold: float, shared: Broadcast, buckets: int):
 
     def rows_of(block: int, features: np.ndarray, first: np.ndarray, places: np.ndarray) -> Iterator[tuple]:
         codec = pa.Codec("zstd", 1)
-        sign, which, own = partenum.signatures(features, first, threshold, shared.value)
+        sign, which, own = partenum.signatures(features, first, threshold, *shared.value)
         sketch = np.zeros(1 << BLOCK, np.uint16)
         sketch[places] = partenum.sketches(features, first)
         bucket = ((sign >> U64(VALUE + 6)) * U64(buckets)) >> U64(58 - VALUE)
@@ -193,6 +305,8 @@ def _signed(threshold: float, shared: Broadcast, buckets: int):
             for lo, hi in zip(cuts, [*cuts[1:], len(ids)]):
                 if hi > lo:
                     got = list(rows_of(int(ids[lo]) >> BLOCK, features[first[lo] : first[hi]], first[lo : hi + 1] - first[lo], ids[lo:hi] & ((1 << BLOCK) - 1)))
+                    if not got:
+                        continue
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["bucket", "block", "length", "data"])
 
     return run
@@ -238,11 +352,13 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _met(*found)
 
 
-def candidates(reps: DataFrame, threshold: float) -> DataFrame:
-    """The distinct pairs and ties of the sets with features that share a signature."""
-    n, volume = reps.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+def candidates(reps: DataFrame, weights: Weights, dense: np.ndarray, lows: np.ndarray, threshold: float) -> DataFrame:
+    """The distinct pairs and ties of the sets with features that share a signature of a dense band."""
+    for_bands = [F.col("size").between(int(lows[i]), int(lows[i + 1]) - 1) for i in np.flatnonzero(dense | np.append(dense[1:], False)) if i + 1 < len(lows)]
+    reps = reps.where(reduce(Column.__or__, for_bands, F.lit(False)))
+    volume = reps.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     buckets = int(max(1, min(1 << 18, 3 * volume // BUCKET)))
-    weights = reps.sparkSession.sparkContext.broadcast(_weights(reps, n))
+    weights = reps.sparkSession.sparkContext.broadcast((weights, dense))
     signed = reps.select("id", "features").mapInArrow(_signed(threshold, weights, buckets), "bucket int, block long, length int, data binary")
     return signed.repartition(min(buckets, 20_000), "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, MET).distinct()
 
@@ -271,8 +387,15 @@ def _possible(threshold: float):
 
 def _groups(sets: DataFrame, threshold: float) -> DataFrame:
     """id and root of the rows (reps) that some chain of ties and possible pairs connects to another."""
-    reps = sets.where("id = rep and size > 0")
-    met = stored(candidates(reps, threshold), "met")
+    reps, context = sets.where("id = rep and size > 0"), sets.sparkSession.sparkContext
+    n, volume, largest = reps.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(1))).first()
+    lows, counts = partenum.bands(threshold, largest), _counts(reps)
+    order = context.broadcast(prefix.ranks(counts))
+    dense = _dense(reps, order, threshold, lows)
+    edges = near(reps, order, dense, lows, threshold, volume).toDF("doc_a", "doc_b")
+    if not dense.any():
+        return _whole(components(edges), "id")
+    met = stored(candidates(reps, Weights.of(counts, n), dense, lows, threshold), "met")
     settle(sets.sparkSession)
     ties, pairs = met.where("tie").select("a", "b"), met.where("not tie").select("a", "b")
     ends = limited_broadcast(stored(ties.select("a").union(ties.select("b")).distinct().toDF("id"), "tied"))
@@ -282,7 +405,7 @@ def _groups(sets: DataFrame, threshold: float) -> DataFrame:
     maps = reps.select("id", "size", "bitmap").join(limited_broadcast(radii), "id", "left").select("id", "size", "bitmap", F.coalesce("radius", F.lit(0)).alias("radius"))
     wide = pairs.join(maps.toDF("a", "sa", "ma", "ra"), "a").join(maps.toDF("b", "sb", "mb", "rb"), "b")
     possible = wide.mapInArrow(_possible(threshold), "doc_a long, doc_b long")
-    groups = _whole(components(possible.union(ties)), "id")
+    groups = _whole(components(edges.union(possible).union(ties)), "id")
     discard(met, ends, radii)
     return groups
 

@@ -57,12 +57,12 @@ def shape(top: int, threshold: float) -> tuple[int, int]:
     return ceil((k + 1) / (k2 + 1)), k2 + DEPTH
 
 
-def _cell(features: np.ndarray) -> np.ndarray:
+def cells(features: np.ndarray) -> np.ndarray:
     return (mix(features.astype(U64) + U64(0x632BE59BD9B4E019)) >> U64(64 - CELLS)).astype(np.int64)
 
 
 def cell_counts(features: np.ndarray) -> np.ndarray:
-    return np.bincount(_cell(features), minlength=1 << CELLS)
+    return np.bincount(cells(features), minlength=1 << CELLS)
 
 
 @dataclass
@@ -78,7 +78,7 @@ class Weights:
         return cls((told * 20).astype(np.uint8), log(max(sets, 1)) + 4)
 
     def told(self, features: np.ndarray) -> np.ndarray:
-        return self.steps[_cell(features)].astype(np.float64)
+        return self.steps[cells(features)].astype(np.float64)
 
 
 def _salted(cells: np.ndarray, salt: np.uint64, parts: int) -> np.ndarray:
@@ -87,23 +87,29 @@ def _salted(cells: np.ndarray, salt: np.uint64, parts: int) -> np.ndarray:
     return mix(cells.reshape(-1, parts) ^ mix(at)).ravel()
 
 
-def signatures(features: np.ndarray, first: np.ndarray, threshold: float, weights: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signature, index of its set, and whether it is of the set's own band (else of the next)."""
+def band_of(sizes: np.ndarray, lows: np.ndarray) -> np.ndarray:
+    return np.searchsorted(lows, sizes, "right") - 1
+
+
+def signatures(features: np.ndarray, first: np.ndarray, threshold: float, weights: Weights, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signature, index of its set, and whether it is of the set's own band (else of the next); of the wanted bands only."""
     sizes = np.diff(first)
     lows = bands(threshold, int(sizes.max(initial=1)))
-    band_of = np.searchsorted(lows, sizes, "right") - 1
+    bands_ = band_of(sizes, lows)
     enough, out = weights.enough * 20, []
 
     def emit(signs: np.ndarray, sets: np.ndarray, own: bool) -> None:
         out.append((signs, sets, np.full(len(signs), own)))
 
-    for band in np.unique(band_of[sizes > 0]):
-        members = np.flatnonzero((band_of == band) & (sizes > 0))
+    for band in np.unique(bands_[sizes > 0]):
+        members = np.flatnonzero((bands_ == band) & (sizes > 0))
         where = spread(first[:-1][members], sizes[members])
         local = np.repeat(np.arange(len(members)), sizes[members])
         value = features[where].astype(U64)
         content, place, told = mix(value + U64(0x27D4EB2F165667C5)), mix(value + U64(0x165667B19E3779F9)), weights.told(features[where])
         for instance in (band, band + 1):
+            if wanted is not None and not wanted[instance]:
+                continue
             own = instance == band
             n1, n2 = shape(int(lows[instance + 1] - 1), threshold)
             salt = mix(np.array([instance * 1_000_003 + 17], U64))[0]
@@ -170,14 +176,19 @@ def apart(a: list[bytes], b: list[bytes]) -> np.ndarray:
     for i in range(len(kind)):
         rows = np.flatnonzero(which == i)
         x, y = (np.frombuffer(b"".join(s[r] for r in rows), U64).reshape(len(rows), -1) for s in (a, b))
-        while x.shape[1] > y.shape[1]:
-            x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
-        while y.shape[1] > x.shape[1]:
-            y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
-        out[rows] = np.bitwise_count(x ^ y).sum(axis=1)
+        out[rows] = differ(x, y)
     return out
 
 
+def differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which the rows of x and y differ, the longer ones folded."""
+    while x.shape[1] > y.shape[1]:
+        x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+    while y.shape[1] > x.shape[1]:
+        y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+
+
 def _combine(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of all pairs within each run."""
     at = spread(starts, sizes)

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sorrel.llm import exact_dedup, language_id, mixing, ngram_join, partenum, quality, queries, secret_scan, sentencepiece_codec, sql, substring_dedup, warc_fixity, wrappers
+from sorrel.llm import exact_dedup, language_id, mixing, ngram_join, partenum, prefix, quality, queries, secret_scan, sentencepiece_codec, sql, substring_dedup, warc_fixity, wrappers
 from tests.compare import duck, same
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -269,6 +269,66 @@ def test_meet():
     assert all((x == y).all() for x, y in zip(back, (value, place, flag, marks[place])))
 
 
+@pytest.mark.parametrize("long", [1000, 5])
+@pytest.mark.parametrize("threshold", [0.6, 0.8, 0.9])
+def test_similar_sets_hang_together(monkeypatch, threshold, long):
+    """Every pair of sets that reaches the threshold is connected by the lists of first features, packed and unpacked."""
+    monkeypatch.setattr(prefix, "LONG", long)
+    monkeypatch.setattr(prefix, "AT_ONCE", 500)
+    r, sets_ = np.random.default_rng(6), []
+    for k in range(150):
+        base = np.unique(mix_of(r.choice(3000 if k % 2 else 400, int(r.choice([1, 2, 3, 5, 9, 20, 80, 200])), replace=False)))
+        sets_.append(base)
+        for _ in range(2):
+            near = np.append(base[r.random(len(base)) > r.uniform(0, 0.15)], r.integers(0, 2**32, int(len(base) * r.uniform(0, 0.12))))
+            sets_ += [np.unique(near)] if len(near) else []
+    first, features = np.append(0, np.cumsum([len(x) for x in sets_])), np.concatenate(sets_).astype(np.uint32)
+    order = prefix.ranks(np.where(r.random(1 << partenum.CELLS) < 0.5, 1000, 1))
+    value, which, place = prefix.heads(features, first, order, threshold, np.ones(len(sets_), bool))
+    sort = np.argsort(value)
+    packed = prefix.pack(value[sort], which[sort], place[sort], np.arange(len(sets_)), *partenum.bitmaps(features, first), np.diff(first))
+    back, of, there, present, sizes, maps = prefix.unpack(packed)
+    assert (back == value[sort]).all() and (present[of] == which[sort]).all() and (there == place[sort]).all() and (sizes == np.diff(first)[present]).all()
+    pairs = list(prefix.Lists(back, of, there, sizes, maps, np.ones(len(present), bool), threshold).joined())
+    root = ngram_join.least_joined(*(present[np.concatenate(x)] for x in zip(*pairs)), len(sets_))
+    wholes, links = [set(x.tolist()) for x in sets_], 0
+    for i, x in enumerate(wholes):
+        for j, y in enumerate(wholes[:i]):
+            if len(x & y) >= threshold * len(x | y):
+                links += 1
+                assert root[i] == root[j]
+    assert links > 150
+
+
+def mix_of(numbers):
+    return numbers.astype(np.int64) * 2654435761 % 2**32
+
+
+@pytest.mark.parametrize("dense", [0, 120, 1e9])
+def test_ngram_join_by_both_ways(spark, monkeypatch, dense):
+    """All bands by signatures, some, or none: classes and links are the same as those of all pairs."""
+    monkeypatch.setattr(ngram_join, "DENSE", dense)
+    monkeypatch.setattr(ngram_join, "SAMPLE", 1)
+    found = list(enumerate(near_copies(5, 150) + noise(6, 40)))
+    assert classes_of(spark, found) == sorted((x[:3] for x in brute_classes(found)), key=str)
+
+
+def test_ngram_join_sends_little(spark):
+    """To find that unlike texts are unlike, less is shuffled than the texts hold."""
+    r = random.Random(2)
+    texts = [" ".join({f"w{int(3000 ** r.random())}x{r.randrange(40)}" for _ in range(250)}) for _ in range(3000)]
+    sets = ngram_join.stored(ngram_join.sets_of(docs_of(spark, [(i, t, None, None, None) for i, t in enumerate(texts)]), 1), "sets")
+    before = shuffled(spark)
+    assert ngram_join._groups(sets, 0.8).count() == 0
+    assert 0 < shuffled(spark) - before < sum(map(len, texts))
+
+
+def shuffled(spark):
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
 def test_bitmaps():
     r = np.random.default_rng(3)
     sets_ = [r.choice(3000, n, replace=False).astype(np.uint32) for n in (1, 5, 60, 90, 200, 500, 1500)]
