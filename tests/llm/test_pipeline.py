@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import random
 from collections import Counter
 
 import pandas as pd
@@ -10,7 +11,7 @@ import pytest
 import corpus_pipeline
 from sorrel.llm import mixing, queries
 from tests.compare import duck, same
-from tests.llm.test_operators import ODD, docs_of, brute_classes, brute_exact, brute_quality
+from tests.llm.test_operators import ODD, docs_of, brute_classes, brute_exact, brute_quality, shuffled
 
 SQL = queries.oracle_sql()
 
@@ -60,3 +61,13 @@ def test_run_on_odd_rows(spark, tmp_path):
     assert {r["doc_id"] for r in got if r["token_ids"] is None} <= {1} and all(r["n_tokens"] == 0 for r in got if r["doc_id"] in (2, 3))
     docs_of(spark, []).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_third_stage_sends_little(spark, sf_dir):
+    """Unlike texts all stay, and less is shuffled for that than they hold."""
+    r = random.Random(3)
+    texts = [" ".join({f"w{int(3000 ** r.random())}x{r.randrange(40)}" for _ in range(250)}) for _ in range(3000)]
+    docs = docs_of(spark, [(i, t, "en", "src1", len(t)) for i, t in enumerate(texts)])
+    before = shuffled(spark)
+    assert dict(corpus_pipeline.STAGES)["n-gram Jaccard join"](spark, docs, sf_dir).count() == len(texts)
+    assert 0 < shuffled(spark) - before < sum(map(len, texts))
