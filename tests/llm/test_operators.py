@@ -339,6 +339,18 @@ def test_bitmaps():
         assert apart[i] == 0 and all(d <= len(np.setxor1d(x, y)) for d, y in zip(apart, sets_))
 
 
+@pytest.mark.parametrize("size", [20, 60, 100, 160, 210, 400])
+def test_bitmaps_tell_unlike_sets(size):
+    """Of unlike sets of one size, fewer than one pair in a thousand is taken for similar, so that chance connects few."""
+    r = np.random.default_rng(size)
+    vocabulary = r.integers(0, 2**32, 20 * size)
+    sets_ = [np.unique(r.choice(vocabulary, size, replace=False)).astype(np.uint32) for _ in range(400)]
+    maps, at = partenum.bitmaps(np.concatenate(sets_), np.append(0, np.cumsum([len(s) for s in sets_])))
+    blobs = [maps[a:b].tobytes() for a, b in zip(at, at[1:])]
+    wrong = sum(int((partenum.apart([blobs[i]] * i, blobs[:i]) <= partenum.differences(0.8, 2 * size)).sum()) for i in range(1, len(blobs)))
+    assert wrong < 400 * 399 / 2 / 1000
+
+
 def test_components(spark, monkeypatch):
     r = random.Random(4)
     edges = [(r.randrange(400), r.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(1900, 2100)]
