@@ -16,6 +16,9 @@ inequality those behind two centres are no nearer than the centres less the two
 What is left connects sets into groups; in these, all pairs are verified on the whole sets, in blocks of BLOCK_SETS,
 each pair of blocks by a task of its own. So no link is lost, and how sets met decides cost only.
 
+Where only classes are wanted, not links, the sets of a group of several blocks are first compared with CENTRES of them.
+Most of a group of near copies hangs together by that, and pairs within it are left out: they can't change the classes.
+
 classes() gives a row for each document: its class (documents connected by links, named by the smallest doc_id) and
 its number of links, that is of other documents whose index with it is threshold or more. Copies (documents of equal
 sets) are verified once and counted as often as they occur. keep_one() keeps one document of each class.
@@ -58,6 +61,8 @@ DENSE, SAMPLE = 4_000_000, 16
 ONE_TASK = 32 << 20
 #: Sets of a group that one task compares with so many others.
 BLOCK_SETS = 1_500
+#: Sets of a larger group with which all its sets are compared first if only classes are wanted.
+CENTRES = 16
 
 
 @dataclass(frozen=True)
@@ -422,7 +427,7 @@ def _verify(threshold: float):
     """Links of each set to those of the other block (or its own), and a forest of them."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.append_column("length", pa.compute.binary_length(table.column("features"))).sort_by([("length", "ascending"), ("node", "ascending")])
+        table = table.append_column("length", pa.compute.binary_length(table.column("features"))).sort_by([("main", "descending"), ("length", "ascending"), ("node", "ascending")])
         i, j = _alike(table, threshold)
         node, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
         links = np.bincount(i, copies[j], len(node)) + np.bincount(j, copies[i], len(node))
@@ -434,49 +439,103 @@ def _verify(threshold: float):
 
 
 def _alike(table: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows i and j of the pairs of sets from threshold on: of all where the table has one block, else of one of each."""
+    """Rows i and j of the pairs of sets from threshold on: of all where the table has one block, else of one of each.
+
+    If it has main rows, which come first, pairs are of one of these and one other.
+    """
     features, first = _from_blobs(table.column("features"))
-    size, block = np.diff(first), table.column("block").to_numpy()
+    size, block, main = np.diff(first), table.column("block").to_numpy(), pa.compute.sum(table.column("main")).as_py() or 0
     single = (block == block[0]).all() if len(block) else True
     _, codes = np.unique(features, return_inverse=True)
     mine = np.zeros(codes.max(initial=0) + 1, bool)
     found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    upto = np.searchsorted(size, np.floor(size / threshold + 1e-9), "right")
-    for i in range(len(size) - 1):
-        if upto[i] <= i + 1:
+    others = size[:main] if main else size
+    begin = np.searchsorted(others, np.ceil(size * threshold - 1e-9)) if main else np.arange(1, len(size) + 1)
+    end = np.searchsorted(others, np.floor(size / threshold + 1e-9), "right")
+    for i in range(main, len(size)):
+        lo, hi = begin[i], end[i]
+        if hi <= lo:
             continue
         own = codes[first[i] : first[i + 1]]
         mine[own] = True
-        common = np.add.reduceat(mine[codes[first[i + 1] : first[upto[i]]]], first[i + 1 : upto[i]] - first[i + 1], dtype=np.int64)
+        common = np.add.reduceat(mine[codes[first[lo] : first[hi]]], first[lo:hi] - first[lo], dtype=np.int64)
         mine[own] = False
-        good = np.flatnonzero(common / (size[i] + size[i + 1 : upto[i]] - common) >= threshold) + i + 1
+        good = np.flatnonzero(common / (size[i] + size[lo:hi] - common) >= threshold) + lo
         if not single:
             good = good[block[good] != block[i]]
         found.append((np.full(len(good), i), good))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _linked(sets: DataFrame, join: Join) -> DataFrame:
-    """node, doc (its smallest doc_id), copies (its documents), class_id and n_links of every set that has words."""
-    groups = limited_broadcast(_groups(sets, join.threshold))
+def _bodies(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """node, doc (its smallest doc_id) and copies (its documents) of every set that has words; root, node, copies and features of those in groups."""
+    groups = limited_broadcast(_groups(sets, threshold))
     settle(sets.sparkSession)
     names = stored(sets.where("size > 0").select("node", "doc_id").distinct().groupBy("node").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies")), "names")
     bodies = sets.where("features is not null").join(groups, "id").groupBy("root", "node").agg(F.first("features").alias("features"))
-    bodies = stored(bodies.join(names, "node").select("root", "node", "copies", "features"), "bodies")
-    blocks = bodies.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root", F.ceil(F.col("n") / BLOCK_SETS).alias("blocks"))
-    placed = bodies.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return names, stored(bodies.join(names, "node").select("root", "node", "copies", "features"), "bodies")
+
+
+def _verified(bodies: DataFrame, threshold: float) -> DataFrame:
+    """node, other and links of the sets of bodies, by all pairs of a group but those of two sets that are both main."""
+    sizes = bodies.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("main")).alias("rest")).where("n > 1 and rest > 0")
+    blocks = sizes.select("root", F.ceil(F.col("rest") / BLOCK_SETS).alias("blocks"), F.ceil((F.col("n") - F.col("rest")) / BLOCK_SETS).alias("mains"))
+    hashed = F.xxhash64("node")
+    placed = bodies.join(blocks, "root").withColumn("block", F.when(F.col("main"), F.col("blocks") + F.pmod(hashed, F.greatest("mains", F.lit(1)))).otherwise(F.pmod(hashed, F.col("blocks"))))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") + F.when(F.col("main"), 0).otherwise(F.col("mains")) - 1)))
     keys = [F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")]
-    found = placed.select("root", *keys, "block", "node", "copies", "features").groupBy("root", "low", "high").applyInArrow(_verify(join.threshold), VERIFIED)
-    found = stored(found, "verified")
+    found = placed.select("root", *keys, "block", "node", "copies", "main", "features").groupBy("root", "low", "high").applyInArrow(_verify(threshold), VERIFIED)
+    return stored(found, "verified")
+
+
+def _tied(bodies: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame] | None:
+    """Links by CENTRES of each group of several blocks, and the sets of the group's largest part that hangs together by them."""
+    large = bodies.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK_SETS)
+    large = stored(large.select("root", F.ceil(F.col("n") / BLOCK_SETS).alias("blocks")), "large")
+    if large.isEmpty():
+        return None
+    hashed, mine = F.xxhash64("node"), bodies.join(limited_broadcast(large), "root")
+    parts = mine.select("root", F.pmod(hashed, F.col("blocks")).alias("part"), "node", "features", F.lit(True).alias("main"))
+    centres = mine.groupBy("root", "blocks", F.pmod(hashed, F.lit(CENTRES)).alias("turn")).agg(F.min("node").alias("node"), F.min_by("features", "node").alias("features"))
+    centres = centres.select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"), "node", "features", F.lit(False).alias("main"))
+    both = parts.union(centres).select("root", "part", "node", "features", "main", F.col("main").cast("long").alias("block"), F.lit(1).cast("long").alias("copies"))
+    links = stored(both.groupBy("root", "part").applyInArrow(_verify(threshold), VERIFIED).select("node", "other"), "links")
+    labels = _whole(components(links.toDF("doc_a", "doc_b")), "node").toDF("node", "label")
+    held = stored(mine.select("root", "node").join(labels, "node"), "held")
+    most = held.groupBy("root", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.max_by("label", F.struct("n", "label")).alias("label"))
+    return links, stored(held.join(most, ["root", "label"]).select("node", F.lit(True).alias("main")), "main")
+
+
+def _named(names: DataFrame, links: DataFrame) -> DataFrame:
+    """names with the class_id of the sets that links (node, other) connect, null for the others."""
+    roots = _whole(components(links.toDF("doc_a", "doc_b")), "node")
+    least = roots.join(names, "node").groupBy("root").agg(F.min("doc").alias("class_id"))
+    return names.join(roots.join(least, "root").select("node", "class_id"), "node", "left")
+
+
+def _linked(sets: DataFrame, join: Join) -> DataFrame:
+    """node, doc (its smallest doc_id), copies (its documents), class_id and n_links of every set that has words."""
+    names, bodies = _bodies(sets, join.threshold)
+    found = _verified(bodies.withColumn("main", F.lit(False)), join.threshold)
     discard(bodies)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    roots = _whole(components(found.select(F.col("node").alias("doc_a"), F.col("other").alias("doc_b"))), "node")
-    least = roots.join(names, "node").groupBy("root").agg(F.min("doc").alias("class_id"))
-    named = names.join(roots.join(least, "root").select("node", "class_id"), "node", "left")
+    named = _named(names, found.select("node", "other"))
     return named.join(links, "node", "left").select("node", "doc", "copies", F.coalesce("class_id", "doc").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
 
 
+def _shared(sets: DataFrame, join: Join) -> DataFrame:
+    """node and class_id of every set whose class has other documents."""
+    names, bodies = _bodies(sets, join.threshold)
+    tied = _tied(bodies, join.threshold)
+    if tied:
+        flagged = bodies.join(limited_broadcast(tied[1]), "node", "left").withColumn("main", F.coalesce("main", F.lit(False)))
+        links = _verified(flagged, join.threshold).select("node", "other").union(tied[0])
+    else:
+        links = _verified(bodies.withColumn("main", F.lit(False)), join.threshold).select("node", "other")
+    discard(bodies)
+    return _named(names, links).where("copies > 1 or class_id is not null").select("node", F.coalesce("class_id", "doc").alias("class_id"))
+
+
 def classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """doc_id, class_id and n_links of every document."""
     sets = stored(sets_of(docs, join.n), "sets")
@@ -543,7 +602,7 @@ def components(pairs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """The rows of docs but for documents whose class has a document of smaller doc_id, and other texts of the one that stays."""
     sets = stored(sets_of(docs, join.n), "sets")
-    rows = sets.where("size > 0").join(_linked(sets, join).where("n_links > 0").select("node", "class_id"), "node")
+    rows = sets.where("size > 0").join(_shared(sets, join), "node")
     stays = rows.where("doc_id = class_id").groupBy("class_id").agg(F.min("digest").alias("stays"))
     mine, text = fresh(docs, "gone_id", "gone_text")
     gone = rows.join(stays, "class_id").where("doc_id <> class_id or digest <> stays").select(F.col("doc_id").alias(mine), F.col("digest").alias(text)).distinct()

@@ -227,6 +227,24 @@ def test_ngram_join_of_a_large_group(spark, monkeypatch):
     assert classes_of(spark, found) == sorted((x[:3] for x in brute_classes(found)), key=str)
 
 
+def test_keep_one_of_a_large_group(spark, monkeypatch):
+    """One group of near copies, a chain whose ends are unlike, a second cluster tied to it by one text, and texts alone, in several blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 60)
+    monkeypatch.setattr(ngram_join, "CENTRES", 4)
+    monkeypatch.setattr(ngram_join, "_groups", lambda sets, threshold: ngram_join.stored(sets.where("id = rep and size > 0").select("id", F.lit(0).cast("long").alias("root")), "id"))
+    r = random.Random(2)
+    words, chain = [f"v{i}" for i in range(80)], [f"c{i}" for i in range(640)]
+    texts = [" ".join(w if r.random() > 0.04 else f"u{r.randrange(9999)}" for w in words) for _ in range(200)]
+    texts += [" ".join(chain[i : i + 40]) for i in range(0, 600, 4)]
+    texts += [" ".join(chain[596:636] + [f"d{r.randrange(3)}" for _ in range(3)]) for _ in range(40)]
+    texts += [" ".join(f"t{r.randrange(9999)}" for _ in range(r.randrange(20, 90))) for _ in range(90)] + [texts[7], texts[7].upper(), texts[250]]
+    r.shuffle(texts)
+    found = list(enumerate(texts))
+    stay = [d for d, c, _, _ in brute_classes(found) if d == c]
+    kept = ngram_join.keep_one(docs_of(spark, [(d, t, None, None, None) for d, t in found]))
+    assert sorted(r["doc_id"] for r in kept.collect()) == stay and 90 < len(stay) < 100
+
+
 @pytest.mark.parametrize("sets", [10, 10_000_000])
 def test_every_pair_shares_a_signature(sets):
     """For every set size, pairs as far apart as the threshold allows, as if in a corpus of so many sets, half of the features common."""

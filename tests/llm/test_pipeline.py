@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 
 import corpus_pipeline
-from sorrel.llm import mixing, queries
+from sorrel.llm import mixing, ngram_join, queries
 from tests.compare import duck, same
 from tests.llm.test_operators import ODD, docs_of, brute_classes, brute_exact, brute_quality, shuffled
 
@@ -71,3 +71,21 @@ def test_third_stage_sends_little(spark, sf_dir):
     before = shuffled(spark)
     assert dict(corpus_pipeline.STAGES)["n-gram Jaccard join"](spark, docs, sf_dir).count() == len(texts)
     assert 0 < shuffled(spark) - before < sum(map(len, texts))
+
+
+def shuffled_rows(spark):
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_third_stage_on_a_large_group(spark, sf_dir, monkeypatch):
+    """Of near copies in 50 blocks one stays, and not every block meets every other for that."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 20)
+    r = random.Random(4)
+    words = [f"v{i}" for i in range(300)]
+    texts = [" ".join(w if r.random() > 0.04 else f"u{r.randrange(9999)}" for w in words) for _ in range(1000)]
+    docs = docs_of(spark, [(i, t, "en", "src1", len(t)) for i, t in enumerate(texts)])
+    before = shuffled_rows(spark)
+    assert [x["doc_id"] for x in dict(corpus_pipeline.STAGES)["n-gram Jaccard join"](spark, docs, sf_dir).collect()] == [0]
+    assert shuffled_rows(spark) - before < 25 * len(texts)
