@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from sorrel.llm import partenum, prefix
 from sorrel.llm.partenum import BLOCK, VALUE, Weights
 from sorrel.llm.storage import discard, fresh, limited_broadcast, settle, size_in_bytes, stored
-from sorrel.llm.textkit import U64, chunks, mix, owner, texts
+from sorrel.llm.textkit import U64, chunks, mix, owner, release, texts
 
 #: Signatures or first features that one task sorts; buckets of first features at least, for tables that aren't small.
 BUCKET = 1_500_000
@@ -141,10 +141,18 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
                 rows, volume = rows + part.num_rows, volume + len(features)
         if parts:
             yield block(start, parts)
+        parts = []
+        release()
 
     return docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("digest")).mapInArrow(run, SETS)
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, not more than a block has at a time."""
+    for batch in batches:
+        yield from (batch.slice(at, 1 << BLOCK) for at in range(0, batch.num_rows, 1 << BLOCK))
+
+
 def _counts(reps: DataFrame) -> np.ndarray:
     """How many sets have the features of each cell: one table of 2 ** CELLS numbers, whatever the corpus.
 
@@ -153,10 +161,12 @@ def _counts(reps: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << partenum.CELLS, np.int64)
-        for batch in batches:
-            total += partenum.cell_counts(_from_blobs(batch.column(0))[0])
+        for part in _parts(batches):
+            np.add.at(total, partenum.cells(_from_blobs(part.column(0))[0]), 1)
         at = np.flatnonzero(total > 1)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["cell", "n"])
+        del total, at
+        release()
 
     got = reps.select("features").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(1 << partenum.CELLS, np.int64)
@@ -169,14 +179,15 @@ def _dense(reps: DataFrame, order: Broadcast, threshold: float, lows: np.ndarray
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, times = np.zeros(len(lows)), np.zeros(len(lows))
-        for batch in batches:
-            features, first = _from_blobs(batch.column(0))
+        for part in _parts(batches):
+            features, first = _from_blobs(part.column(0))
             band = partenum.band_of(np.diff(first), lows)
             value, which, _ = prefix.heads(features, first, order.value, threshold, np.ones(len(band), bool))
             sets += np.bincount(band, minlength=len(lows))
             times += np.bincount(band[which], prefix.counts(order.value, value), len(lows))
         at = np.flatnonzero(sets)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sets[at]), pa.array(times[at])], ["band", "sets", "times"])
+        release()
 
     got = reps.where(F.pmod("id", F.lit(SAMPLE)) == 0).select("features").mapInArrow(measure, "band int, sets double, times double").groupBy("band").agg(F.sum("sets"), F.sum("times")).toArrow()
     dense = np.zeros(len(lows), bool)
@@ -215,6 +226,7 @@ def _sent(threshold: float, order: Broadcast, dense: np.ndarray, lows: np.ndarra
                     begin = end
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["bucket", "start", "length", "data"])
+        release()
 
     return run
 
@@ -224,14 +236,16 @@ def _hang(threshold: float, dense: np.ndarray, lows: np.ndarray):
 
     def bucket(parts: list[tuple]) -> pa.RecordBatch:
         value, of, place, ids, sizes, maps = (np.concatenate(x) for x in zip(*parts))
+        parts.clear()
         n = len(ids)
         lists = prefix.Lists(value, of, place, sizes, maps, ~dense[partenum.band_of(sizes, lows)], threshold)
+        del value, of, place
         none = np.zeros(0, np.int64)
         waiting, more = [(none, none)], 0
         for pair in lists.joined():
             waiting.append(pair)
             more += len(pair[0])
-            if more > 3_000_000:
+            if more > max(n, prefix.AT_ONCE):  # a forest has fewer than n, so these are twice as many at most
                 waiting, more = [_forest(waiting, n)], 0
         i, j = _forest(waiting, n)
         return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], ["a", "b"])
@@ -243,13 +257,14 @@ def _hang(threshold: float, dense: np.ndarray, lows: np.ndarray):
             for number, start, length, data in zip(*(c.to_pylist() for c in batch.columns)):
                 if number != held and parts:
                     yield bucket(parts)
-                    parts, sets = [], 0
+                    sets = 0
                 held = number
                 value, local, place, present, sizes, maps = prefix.unpack(codec.decompress(data, length, asbytes=True))
                 parts.append((value, local + sets, place, present + start, sizes, maps))
                 sets += len(present)
         if parts:
             yield bucket(parts)
+        release()
 
     return run
 
@@ -564,6 +579,8 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     root = least_joined(a, b, len(ids))
     use = root != np.arange(len(ids))
     yield pa.RecordBatch.from_arrays([pa.array(ids[use]), pa.array(ids[root[use]])], ["doc_id", "root"])
+    del parts, ids, place, a, b, root, use
+    release()
 
 
 def components(pairs: DataFrame) -> DataFrame:

@@ -61,10 +61,6 @@ def cells(features: np.ndarray) -> np.ndarray:
     return (mix(features.astype(U64) + U64(0x632BE59BD9B4E019)) >> U64(64 - CELLS)).astype(np.int64)
 
 
-def cell_counts(features: np.ndarray) -> np.ndarray:
-    return np.bincount(cells(features), minlength=1 << CELLS)
-
-
 @dataclass
 class Weights:
     """What a feature tells, in steps of a twentieth, by its cell; what a signature must tell."""

@@ -16,8 +16,8 @@ import numpy as np
 from sorrel.llm import partenum
 from sorrel.llm.textkit import U64, spread
 
-#: Pairs of rows that are looked at together.
-AT_ONCE = 1_000_000
+#: Pairs of rows that are looked at together, and words of their bitmaps. They decide memory only: all pairs are looked at.
+AT_ONCE = 100_000
 #: Lists of more rows are first tied to some of their rows, of which at most so many are tried.
 LONG, CENTRES = 1_000, 16
 
@@ -102,6 +102,10 @@ class Lists:
 
     def possible(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Whether rows i and j, of one feature, may be of similar sets that meet there."""
+        parts = [self._possible(i[at : at + AT_ONCE], j[at : at + AT_ONCE]) for at in range(0, len(i), AT_ONCE)]
+        return np.concatenate([np.zeros(0, bool), *parts])
+
+    def _possible(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         both = self.size[i] + self.size[j]
         least = shared(self.threshold, both)
         good = (self.place[i] <= self.size[i] - least) & (self.place[j] <= self.size[j] - least)
@@ -115,9 +119,11 @@ class Lists:
         out = np.zeros(len(a), np.int64)
         kind, which = np.unique(self.words[a] * (1 << 32) + self.words[b], return_inverse=True)
         for k in range(len(kind)):
-            rows = np.flatnonzero(which == k)
-            x, y = (self.maps[self.at[s[rows], None] + np.arange(w)] for s, w in ((a, int(kind[k]) >> 32), (b, int(kind[k]) & 0xFFFFFFFF)))
-            out[rows] = partenum.differ(x, y)
+            rows, wa, wb = np.flatnonzero(which == k), int(kind[k]) >> 32, int(kind[k]) & 0xFFFFFFFF
+            step = max(1, AT_ONCE // (wa + wb))  # bitmaps of long texts are long
+            for some in (rows[at : at + step] for at in range(0, len(rows), step)):
+                x, y = (self.maps[self.at[s[some], None] + np.arange(w)] for s, w in ((a, wa), (b, wb)))
+                out[some] = partenum.differ(x, y)
         return out
 
     def joined(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -7,7 +7,9 @@ import random
 import re
 import struct
 import time
+import tracemalloc
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -318,6 +320,32 @@ def test_similar_sets_hang_together(monkeypatch, threshold, long):
     assert links > 150
 
 
+def test_a_bucket_takes_little_memory():
+    """Two million pairs of sets that meet by one of five features are all looked at, in slices; similar ones hang together."""
+    r = np.random.default_rng(8)
+    rare, counts = r.integers(0, 2**32, 5, dtype=np.uint32), np.full(1 << partenum.CELLS, 1000)
+    counts[partenum.cells(rare)] = 1
+    sets_ = [np.append(r.integers(0, 2**32, 299, dtype=np.uint32), rare[i // 900]) for i in range(4500)]
+    sets_[1::90] = [np.append(r.integers(0, 2**32, 20, dtype=np.uint32), x[20:]) for x in sets_[::90]]
+    sets_ = [np.unique(x) for x in sets_]
+    first, features = np.append(0, np.cumsum([len(x) for x in sets_])), np.concatenate(sets_)
+    maps, at = partenum.bitmaps(features, first)
+    blobs = [pa.array([x[a:b].tobytes() for a, b in zip(to, to[1:])], pa.binary()) for x, to in ((features, first), (maps, at))]
+    reps = pa.RecordBatch.from_arrays([pa.array(np.arange(len(sets_))), *blobs], ["id", "features", "bitmap"])
+    lows = partenum.bands(0.8, 300)
+    dense = np.zeros(len(lows), bool)
+    sent = list(ngram_join._sent(0.8, SimpleNamespace(value=prefix.ranks(counts)), dense, lows, 1)(iter([reps])))
+    tracemalloc.start()
+    try:
+        got = pa.Table.from_batches(ngram_join._hang(0.8, dense, lows)(iter(sent)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    root = ngram_join.least_joined(*(c.to_numpy() for c in got.columns), len(sets_))
+    assert (root[::90] == root[1::90]).all() and (root[::90] != root[2::90]).all()
+    assert peak < 80_000_000
+
+
 def mix_of(numbers):
     return numbers.astype(np.int64) * 2654435761 % 2**32
 
