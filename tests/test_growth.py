@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sorrel.operators import graph, walks
+from sorrel.operators import graph, neighbours, twostep, walks
 from sorrel.plans.catalog import CALL, FILE, IMPORT, SYMBOL, Catalog
 from tests.test_graph import queue_path
 
@@ -59,3 +59,29 @@ def test_paths_are_not_shuffled(spark):
     c = catalog(spark, 60, [(r.randrange(60), r.randrange(60)) for _ in range(900)])
     rows, n = shuffled(spark, lambda: graph.find_paths_among(c, c.symbol).count())
     assert rows == 3600 and n < 12_000
+
+
+@pytest.fixture(scope="module")
+def hub(spark):
+    """400 nodes that call or import one that calls or imports 300."""
+    edges = [(i, 400) for i in range(400)] + [(400, 401 + i) for i in range(300)]
+    return catalog(spark, 701, edges, edges)
+
+
+@pytest.mark.parametrize(("query", "rows"), [(neighbours.second_order_callers, 300 * 400)])
+def test_paths_of_two_steps_are_not_shuffled(spark, hub, query, rows):
+    found, n = shuffled(spark, lambda: query(hub).count())
+    assert found == rows and n < 30_000
+
+
+def test_two_steps(spark, monkeypatch):
+    """Several ranges, chunks of nodes and of paths; symbols of one name count once, a caller of its own name not at all."""
+    for name, n in (("RANGE", 40), ("MARKS", 50), ("PATHS", 7)):
+        monkeypatch.setattr(twostep, name, n)
+    r = random.Random(8)
+    edges = [(r.randrange(25), r.randrange(25)) for _ in range(120)]
+    names = {3: "same", 4: "same", 9: "same"}
+    name = lambda i: names.get(i, f"f{i}.s{i}")
+    c = catalog(spark, 25, edges, edges, names)
+    second = {(s, name(w)) for v, s in edges for w, x in edges if x == v and name(w) != name(v)}
+    assert sorted((x["symbol_id"], x["caller"]) for x in neighbours.second_order_callers(c).collect()) == sorted(second)
