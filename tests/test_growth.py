@@ -68,7 +68,7 @@ def hub(spark):
     return catalog(spark, 701, edges, edges)
 
 
-@pytest.mark.parametrize(("query", "rows"), [(neighbours.second_order_callers, 300 * 400), (neighbours.impact_files, 701)])
+@pytest.mark.parametrize(("query", "rows"), [(neighbours.second_order_callers, 300 * 400), (neighbours.impact_all, 701), (neighbours.impact_files, 701)])
 def test_paths_of_two_steps_are_not_shuffled(spark, hub, query, rows):
     found, n = shuffled(spark, lambda: query(hub).count())
     assert found == rows and n < 30_000
@@ -85,5 +85,6 @@ def test_two_steps(spark, monkeypatch):
     c = catalog(spark, 25, edges, edges, names)
     second = {(s, name(w)) for v, s in edges for w, x in edges if x == v and name(w) != name(v)}
     assert sorted((x["symbol_id"], x["caller"]) for x in neighbours.second_order_callers(c).collect()) == sorted(second)
+    assert {x["symbol_id"]: x["second_order"] for x in neighbours.impact_all(c).collect()} == {i: sum(s == i for s, _ in second) for i in range(25)}
     files = {f"f{i}.py": (len({(name(a), a, k % 97) for k, (a, b) in enumerate(edges) if b == i != a}), len({w for v, f in edges if f == i for w, x in edges if x == v and w != i})) for i in range(25)}
     assert {x["rel_path"]: (x["direct_callers"], x["second_order"]) for x in neighbours.impact_files(c).collect()} == files
