@@ -18,6 +18,13 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     return cols.select("*", F.row_number().over(w).alias("place"), F.lead("l_partkey").over(w).alias("next_part"), F.lead("l_suppkey").over(w).alias("next_supp"))
 
+
+def _looked_up(lines: DataFrame, key: str, found: DataFrame) -> DataFrame:
+    """Lines with what found has of their key. Last lines of orders have none: by a second key they are dealt out, else one task has them all."""
+    dealt = lines.withColumn("__key", F.coalesce(key, "l_orderkey"))
+    return dealt.join(found.withColumn("__key", F.col(key)), [key, "__key"], "left").drop("__key")
+
+
 def file_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     inner = F.concat(F.lit("pkg/n"), F.col("s_nationkey"), F.lit("/m"), k)
@@ -50,9 +57,9 @@ def tables(spark: SparkSession, sf_dir: str) -> Catalog:
     lines = _lines(spark, sf_dir)
     edge_id = F.col("l_orderkey") * 1000 + F.col("place")
     callee = symbol.select(F.col("symbol_id").alias("next_part"), F.when(F.col("kind") == "method", F.concat(F.element_at(F.split("parent_qname", r"\."), -1), F.lit("."), "name")).otherwise(F.col("name")).alias("callee"))
-    calls = lines.join(callee, "next_part", "left").select(edge_id.alias("edge_id"), F.col("l_partkey").alias("caller_symbol_id"), F.coalesce("callee", F.concat(F.lit("ext.f"), F.col("l_partkey") % 50)).alias("callee_name"), F.col("next_part").alias("resolved_symbol_id"), (F.col("l_partkey") * 11 % 900 + 1).cast("int").alias("lineno"))
+    calls = _looked_up(lines, "next_part", callee).select(edge_id.alias("edge_id"), F.col("l_partkey").alias("caller_symbol_id"), F.coalesce("callee", F.concat(F.lit("ext.f"), F.col("l_partkey") % 50)).alias("callee_name"), F.col("next_part").alias("resolved_symbol_id"), (F.col("l_partkey") * 11 % 900 + 1).cast("int").alias("lineno"))
     target = file.select(F.col("file_id").alias("next_supp"), "module_path")
-    imports = lines.join(target, "next_supp", "left")
+    imports = _looked_up(lines, "next_supp", target)
     imports = imports.select(edge_id.alias("edge_id"), F.col("l_suppkey").alias("file_id"), F.coalesce("module_path", F.concat(F.lit("lib"), F.col("l_partkey") % 9)).alias("imported_module"), F.when(edge_id % 3 != 0, F.concat(F.lit("name"), edge_id % 10)).alias("imported_name"), F.when(edge_id % 4 == 0, F.concat(F.lit("al"), edge_id % 10)).alias("alias"), (edge_id % 40 + 1).cast("int").alias("lineno"), F.col("next_supp").alias("resolved_file_id"))
     return Catalog(file, symbol, imports, calls)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sorrel.operators import graph, neighbours, twostep, walks
 from sorrel.plans.catalog import CALL, FILE, IMPORT, SYMBOL, Catalog
+from sorrel.sources import adapters
 from tests.test_graph import queue_path
 
 
@@ -88,3 +89,21 @@ def test_two_steps(spark, monkeypatch):
     assert {x["symbol_id"]: x["second_order"] for x in neighbours.impact_all(c).collect()} == {i: sum(s == i for s, _ in second) for i in range(25)}
     files = {f"f{i}.py": (len({(name(a), a, k % 97) for k, (a, b) in enumerate(edges) if b == i != a}), len({w for v, f in edges if f == i for w, x in edges if x == v and w != i})) for i in range(25)}
     assert {x["rel_path"]: (x["direct_callers"], x["second_order"]) for x in neighbours.impact_files(c).collect()} == files
+
+
+def test_last_lines_of_orders_are_dealt_out(spark, tmp_path):
+    spark.range(3).selectExpr("id AS s_suppkey", "1 AS s_nationkey", "0.0D AS s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(9).selectExpr("id AS p_partkey", "'a b' AS p_name", "'T' AS p_type", "5 AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(400).selectExpr("id AS l_orderkey", "1 AS l_linenumber", "id % 9 AS l_partkey", "id % 3 AS l_suppkey", "1.0D AS l_extendedprice").write.parquet(f"{tmp_path}/lineitem.parquet")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        c = adapters.tables(spark, str(tmp_path))
+        for edges in (c.call_edge, c.import_edge):
+            sizes = [x["count"] for x in edges.groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(sizes) == 400 and max(sizes) < 200
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
