@@ -197,7 +197,7 @@ def unused_class_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def source_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hash and size of every module."""
-    return parser.parse(adapters.classes(spark, sf_dir)).select("rel_path", "module_path", "sha256", F.col("size_bytes").cast("long").alias("size_bytes"))
+    return parser.unparsed(adapters.classes(spark, sf_dir)).select("rel_path", "module_path", "sha256", F.col("size_bytes").cast("long").alias("size_bytes"))
 
 
 #: Two snapshots for the drift queries: what has them differ is bounded, so they are written out.

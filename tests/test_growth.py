@@ -2,12 +2,14 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sorrel.operators import graph, neighbours, twostep, walks
+from sorrel.operators import graph, neighbours, walks
+from sorrel.plans import queries
 from sorrel.plans.catalog import CALL, FILE, IMPORT, SYMBOL, Catalog
-from sorrel.sources import adapters
+from sorrel.sources import adapters, parser
 from tests.test_graph import queue_path
 
 
@@ -107,3 +109,19 @@ def test_last_lines_of_orders_are_dealt_out(spark, tmp_path):
     finally:
         for k, v in was.items():
             spark.conf.set(k, v)
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hashes_without_a_parser(spark, sf_dir):
+    assert "MapIn" not in plan(queries.source_hashes(spark, sf_dir)) and "MapIn" in plan(queries.parse_classes(spark, sf_dir))
+
+
+@pytest.mark.parametrize("run", [parser._run])
+def test_python_holds_few_files_at_a_time(run):
+    n = 10 * parser.SLICE + 1
+    batch = pa.RecordBatch.from_pydict({"rel_path": [f"m{i}.py" for i in range(n)], "content": [None if run is parser._run and i == 5 else "import os  # TODO: x\nos\n" for i in range(n)], "file_id": list(range(n)), "linenos": pa.array([[1]] * n, pa.list_(pa.int32()))})
+    sizes = [b.num_rows for b in run(iter([batch]))]
+    assert sum(sizes) == n and max(sizes) <= parser.SLICE
