@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sorrel.operators import graph, neighbours, walks
+from sorrel.operators import graph, lexical, neighbours, walks
 from sorrel.plans import queries
 from sorrel.plans.catalog import CALL, FILE, IMPORT, SYMBOL, Catalog
 from sorrel.sources import adapters, parser
@@ -125,3 +125,18 @@ def test_python_holds_few_files_at_a_time(run):
     batch = pa.RecordBatch.from_pydict({"rel_path": [f"m{i}.py" for i in range(n)], "content": [None if run is parser._run and i == 5 else "import os  # TODO: x\nos\n" for i in range(n)], "file_id": list(range(n)), "linenos": pa.array([[1]] * n, pa.list_(pa.int32()))})
     sizes = [b.num_rows for b in run(iter([batch]))]
     assert sum(sizes) == n and max(sizes) <= parser.SLICE
+
+
+def test_parts_of_texts(spark):
+    r = random.Random(9)
+    word = lambda n: "".join(r.choice("ab/") for _ in range(n))
+    texts = [(i, word(r.randrange(0, 30))) for i in range(60)]
+    parts = [""] + [t[a : a + r.randrange(1, 20)] for _, t in texts for a in (0, 3)] + [word(r.randrange(1, 14)) for _ in range(60)] + ["abab?", "aabbaabba?"]
+    found = lexical.within(spark.createDataFrame([(f"t{i}", p) for i, p in enumerate(parts)] + [("none", None)], "target string, text string"), spark.createDataFrame(texts, "file_id long, text string"))
+    want = {f"t{i}": min(k for k, t in texts if p in t) for i, p in enumerate(parts) if any(p in t for _, t in texts)}
+    assert {x["target"]: x["file_id"] for x in found.collect()} == want
+
+
+def test_targets_are_not_tried_against_all_files(spark):
+    c = catalog(spark, 5, [])
+    assert "Contains(rel_path" not in plan(lexical.resolve_targets(c, spark.createDataFrame([("zebra",)], "target string")))
