@@ -64,6 +64,11 @@ def tables(spark: SparkSession, sf_dir: str) -> Catalog:
     return Catalog(file, symbol, imports, calls)
 
 
+def _tasks(spark: SparkSession) -> int:
+    """Partitions of modules to parse: the tables are small files, which one task would read, and the text is long only when it is written."""
+    return 4 * spark.sparkContext.defaultParallelism
+
+
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Python source written from the tables: for each supplier a module with a function or class for each of its parts.
 
@@ -71,7 +76,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     function where the order lines have one, imports (every third unused), and comments with tags.
     """
     count = _read(spark, sf_dir, "supplier").agg(F.count(F.lit(1)).alias("n"), F.min("s_suppkey").alias("least"))
-    part = _read(spark, sf_dir, "part").crossJoin(F.broadcast(count)).select(F.col("p_partkey").alias("k"), (F.col("p_partkey") % F.col("n") + F.col("least")).alias("s"), (F.col("p_size") % 12).cast("int").alias("b"), "n", "least")
+    part = _read(spark, sf_dir, "part").crossJoin(F.broadcast(count)).select(F.col("p_partkey").alias("k"), (F.col("p_partkey") % F.col("n") + F.col("least")).alias("s"), (F.col("p_size") % 12).cast("int").alias("b"), "n", "least").repartition(_tasks(spark), "s")
     k = F.col("k")
     branch = F.when(F.col("b") > 0, F.concat(F.lit("\n"), F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.col("b"), F.lit(1))), lambda i: F.concat(F.lit("    if x > "), i, F.lit(":\n        x -= 1"))), "\n"))).otherwise(F.lit(""))
     note = F.when(k % 9 == 0, F.concat(F.lit("  # TODO: part "), k)).when(k % 14 == 0, F.concat(F.lit("  # HACK part "), k)).otherwise(F.lit(""))
@@ -168,5 +173,5 @@ def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("s_suppkey")
     after = F.col("least") + (s - F.col("least") + 1) % F.col("n")
     body = F.replace(F.replace(F.lit(CLASSES), F.lit("{s}"), s.cast("string")), F.lit("{n}"), after.cast("string"))
-    rows = _read(spark, sf_dir, "supplier").select("s_suppkey").crossJoin(F.broadcast(count))
+    rows = _read(spark, sf_dir, "supplier").select("s_suppkey").repartition(_tasks(spark)).crossJoin(F.broadcast(count))
     return rows.select(F.concat(F.lit("pkg/x"), s, F.lit(".py")).alias("rel_path"), body.alias("content"), F.lit(1_700_000_000).cast("long").alias("mtime"))

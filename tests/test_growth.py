@@ -127,6 +127,11 @@ def test_python_holds_few_files_at_a_time(run):
     assert sum(sizes) == n and max(sizes) <= parser.SLICE
 
 
+@pytest.mark.parametrize("made", [adapters.classes, adapters.sources])
+def test_modules_to_parse_are_dealt_out(spark, sf_dir, made):
+    assert made(spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_parts_of_texts(spark):
     r = random.Random(9)
     word = lambda n: "".join(r.choice("ab/") for _ in range(n))
