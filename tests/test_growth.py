@@ -119,7 +119,7 @@ def test_hashes_without_a_parser(spark, sf_dir):
     assert "MapIn" not in plan(queries.source_hashes(spark, sf_dir)) and "MapIn" in plan(queries.parse_classes(spark, sf_dir))
 
 
-@pytest.mark.parametrize("run", [parser._run, text._comments])
+@pytest.mark.parametrize("run", [parser._run, text._comments, text._import_lines])
 def test_python_holds_few_files_at_a_time(run):
     n = 10 * parser.SLICE + 1
     batch = pa.RecordBatch.from_pydict({"rel_path": [f"m{i}.py" for i in range(n)], "content": [None if run is parser._run and i == 5 else "import os  # TODO: x\nos\n" for i in range(n)], "file_id": list(range(n)), "linenos": pa.array([[1]] * n, pa.list_(pa.int32()))})
