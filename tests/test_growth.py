@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sorrel.operators import graph, lexical, neighbours, text, walks
 from sorrel.plans import queries
-from sorrel.plans.catalog import CALL, FILE, IMPORT, SYMBOL, Catalog
+from sorrel.plans.catalog import CALL, FILE, IMPORT, SOURCE, SYMBOL, Catalog, from_source
 from sorrel.sources import adapters, parser
 from tests.test_graph import queue_path
 
@@ -127,11 +127,31 @@ def test_python_holds_few_files_at_a_time(run):
     assert sum(sizes) == n and max(sizes) <= parser.SLICE
 
 
+def test_comments_are_tokenised_once(spark):
+    c = from_source(table(spark, SOURCE, [{"rel_path": "m.py", "content": "def f():\n    pass  # TODO: x\n", "mtime": 1}]))
+    found = text.todo_comments(c)
+    assert "MapIn" not in plan(found) and [(x["lineno"], x["qualified_name"]) for x in found.collect()] == [(2, "m.f")]
+
+
 @pytest.mark.parametrize("made", [adapters.classes, adapters.sources])
 def test_modules_to_parse_are_dealt_out(spark, sf_dir, made):
     assert made(spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
+def test_a_line_is_looked_up_once(spark):
+    """2000 calls of one line in a file of 50 symbols."""
+    c = catalog(spark, 1, [])
+    c.symbol = table(spark, SYMBOL, [{"symbol_id": i, "file_id": 0, "qualified_name": f"s{i}", "kind": "function", "lineno": i, "end_lineno": 100 - i} for i in range(50)])
+    lines = spark.range(2000).selectExpr("0L AS file_id", "30 AS lineno", "id AS edge_id")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, n = shuffled(spark, lambda: text.enclosing(c, lines).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert len(rows) == 2000 and {(x["symbol_id"], x["qualified_name"]) for x in rows} == {(30, "s30")} and n < 4000
+
+
 def test_parts_of_texts(spark):
     r = random.Random(9)
     word = lambda n: "".join(r.choice("ab/") for _ in range(n))
