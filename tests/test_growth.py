@@ -138,6 +138,18 @@ def test_modules_to_parse_are_dealt_out(spark, sf_dir, made):
     assert made(spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
+def test_common_tokens_are_counted_before_they_are_sent(spark):
+    c = from_source(table(spark, SOURCE, [{"rel_path": f"m{i}.py", "content": f"def f{i}():\n    pass\n" + "x = x + x\n" * 500, "mtime": 1} for i in range(20)]))
+    names = spark.createDataFrame([("x",), ("f3",)], "token string")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, n = shuffled(spark, lambda: text.token_counts(c, names).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert sorted((x["token"], x["n"]) for x in rows) == [("f3", 1)] + [("x", 1500)] * 20 and n < 5000
+
+
 def test_a_line_is_looked_up_once(spark):
     """2000 calls of one line in a file of 50 symbols."""
     c = catalog(spark, 1, [])
