@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sorrel.operators import graph, lexical, neighbours, text, walks
+from sorrel.operators import graph, lexical, neighbours, text, twostep, walks
 from sorrel.plans import queries
 from sorrel.plans.catalog import CALL, FILE, IMPORT, SOURCE, SYMBOL, Catalog, from_source
 from sorrel.sources import adapters, parser
